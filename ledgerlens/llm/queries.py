@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import quality, token_counts, topk
+from ledgerlens.llm import decontaminate, mixing, pii, quality, token_counts, topk
 from ledgerlens.llm.common import crc_mod, table
 
 
@@ -19,6 +19,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -29,7 +42,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op9_exact_top_k, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_source_mixing, op6_benchmark_decontamination, op8_personal_data, op9_exact_top_k, op10_quality_classifier)}
 
 #: The exact search in SQL: integer inner products of every query against every other row.
 TOP_K_SQL = """
@@ -41,4 +54,4 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) r FROM s) WHERE r <= 5
 """
 
-ORACLES: dict[str, str] = {"op9_exact_top_k": TOP_K_SQL}
+ORACLES: dict[str, str] = {"op4_source_mixing": mixing.SQL.format(docs="documents"), "op9_exact_top_k": TOP_K_SQL}
