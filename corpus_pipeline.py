@@ -1,11 +1,61 @@
-"""The corpus pipeline (filled in below as its operators arrive)."""
+"""The corpus pipeline: quality, near duplicates, benchmark passages, personal data, mixing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``; the last adds ``copy`` and
+``shuffle_key``. A stage sees only what its predecessor kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import decontaminate, mixing, ngram_join, pii, quality
+from ledgerlens.llm.common import stored, table
+
+#: A document goes when the classifier finds it likelier bad than good.
+LEAST_QUALITY = 0.5
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    weights = quality.fit(docs, table(spark, sf_dir, "labels"))
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    scored = quality.quality_scores(docs, weights, keep=("text", *rest))
+    return scored.where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs, stored(ngram_join.join(docs), "pipeline-classes"))
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean_documents(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    new = pii.redact(docs, pii.detect(docs))
+    return new.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else new
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality classifier", drop_low_quality),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_passages),
+    ("personal data", redact_personal_data),
+    ("mixing sources to target weights", mix_sources),
+]
+
+#: SQL cannot express the first two stages; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs, f"pipeline-{i}")
     return docs
