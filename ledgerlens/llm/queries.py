@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, html_text, mixing, ngram_join, pii, quality, token_counts, topk
+from ledgerlens.llm import decontaminate, html_text, mixing, ngram_join, passages, pii, quality, token_counts, topk
 from ledgerlens.llm.common import crc_mod, table
 
 
@@ -23,6 +23,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op4_source_mixing, op5_html_main_text, op6_benchmark_decontamination, op8_personal_data, op9_exact_top_k, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_substring_dedup, op4_source_mixing, op5_html_main_text, op6_benchmark_decontamination, op8_personal_data, op9_exact_top_k, op10_quality_classifier)}
 
 #: The exact search in SQL: integer inner products of every query against every other row.
 TOP_K_SQL = """
