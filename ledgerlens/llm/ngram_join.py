@@ -48,7 +48,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.words
-        new = set(words) - known.keys()
+        new = set(words).difference(known)
         if new:
             if len(known) > 400_000:
                 known.clear()

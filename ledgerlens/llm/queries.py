@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, html_text, mixing, ngram_join, passages, pii, quality, token_counts, topk
+from ledgerlens.llm import decontaminate, html_text, lm_score, mixing, ngram_join, passages, pii, quality, token_counts, topk
 from ledgerlens.llm.common import crc_mod, table
 
 
@@ -40,6 +40,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("text_hash")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
@@ -54,7 +58,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_substring_dedup, op4_source_mixing, op5_html_main_text, op6_benchmark_decontamination, op8_personal_data, op9_exact_top_k, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_substring_dedup, op4_source_mixing, op5_html_main_text, op6_benchmark_decontamination, op7_lm_score, op8_personal_data, op9_exact_top_k, op10_quality_classifier)}
 
 #: The exact search in SQL: integer inner products of every query against every other row.
 TOP_K_SQL = """

@@ -127,7 +127,7 @@ class Counter:
 
     def count(self, texts: Iterable[str]) -> list[int]:
         split = [self.words(t) for t in texts]
-        new = list(set().union(*(w for w, _ in split)) - self.known.keys())
+        new = list(set().union(*(w for w, _ in split)).difference(self.known))
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
             new = list(set().union(*(w for w, _ in split)))
