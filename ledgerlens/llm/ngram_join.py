@@ -144,44 +144,102 @@ def groups(batches: Iterator[pa.RecordBatch], least: int = 2) -> Iterator[pa.Tab
         yield rest
 
 
-def compare(k: np.ndarray, n: np.ndarray, bits: np.ndarray, threshold: float) -> tuple[list, np.ndarray]:
-    """Pairs of one bucket that the sketches leave possible, each row against the leaders before it, and the leaders' places.
+def estimates(n: np.ndarray, words: np.ndarray, i: int, other: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity of set i to others by sketch, and where it may reach the threshold."""
+    ratio = np.minimum(n[other], n[i]) / np.maximum(n[other], n[i])
+    est = 1 - 2 * np.bitwise_count(words[other] ^ words[i]).sum(1) / BINS
+    noise = 3.5 * np.sqrt(0.16 / np.minimum(np.minimum(n[other], n[i]), BINS / 2))
+    return est, (ratio >= threshold) & (est >= threshold - noise)
 
-    A row surely similar to a leader (estimate of 0.1 above the threshold) is tied to it and leads no further.
-    """
+
+def unique_rows(k: np.ndarray, n: np.ndarray, bits: np.ndarray):
     order = np.argsort(k, kind="stable")
     order = order[np.r_[True, np.diff(k[order]) != 0]]
-    k, n, bits = k[order], n[order].astype(np.float64), bits[order]
-    words = bits.view(np.uint64)
-    edges, leaders, left = [], [], np.arange(len(k))
+    return order, k[order], n[order].astype(np.float64), bits[order].view(np.uint64)
+
+
+def tie(k: np.ndarray, n: np.ndarray, bits: np.ndarray, threshold: float, sure: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First pass over a bucket: every row is tied to one leader that it surely resembles, or leads. At most a pair per row.
+
+    The leader is the row nearest to the majority of the sketches that are left, so a text with many variants leads them.
+    """
+    order, k, n, words = unique_rows(k, n, bits)
+    a, b, leaders, left = [], [], [], np.arange(len(k))
     while len(left):
-        p, left = left[0], left[1:]
+        if len(left) > 2:
+            ones = np.unpackbits(words[left].view(np.uint8).reshape(len(left), -1), axis=1).mean(0) >= 0.5
+            p = left[np.bitwise_count(words[left] ^ np.packbits(ones).view(np.uint64)).sum(1).argmin()]
+        else:
+            p = left[0]
+        left = left[left != p]
         leaders.append(order[p])
         if not len(left):
             break
-        ratio = np.minimum(n[left], n[p]) / np.maximum(n[left], n[p])
-        est = 1 - 2 * np.bitwise_count(words[left] ^ words[p]).sum(1) / BINS
-        noise = 3.5 * np.sqrt(0.16 / np.minimum(np.minimum(n[left], n[p]), BINS / 2))
-        near = (ratio >= threshold) & (est >= threshold - noise)
-        edges.append((np.full(near.sum(), k[p]), k[left[near]]))
-        left = left[~(near & (est >= threshold + 0.1))]
-    return edges, np.array(leaders)
+        est, near = estimates(n, words, p, left, threshold)
+        near &= (est >= threshold + sure) | (len(left) == 1)
+        a.append(np.full(near.sum(), k[p]))
+        b.append(k[left[near]])
+        left = left[~near]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b]), np.array(leaders)
+
+
+def cross(k: np.ndarray, n: np.ndarray, bits: np.ndarray, root: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Second pass: all pairs of one bucket that the sketches leave possible and that no group joins yet."""
+    order, k, n, words = unique_rows(k, n, bits)
+    root = root[order]
+    names, size = np.unique(root, return_counts=True)
+    largest = names[size.argmax()]
+    a, b, small = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], root != largest
+    for i in np.flatnonzero(small):
+        other = np.flatnonzero((root != root[i]) & (~small | (np.arange(len(k)) > i)))
+        _, near = estimates(n, words, i, other, threshold)
+        a.append(np.full(near.sum(), k[i]))
+        b.append(k[other[near]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+MEMBER = "a long, b long, home long, path long, k long, n int, bits binary"
+
+
+def sketches(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+
 
+def first_pass(threshold: float, leaders: bool = False):
+    """Pairs (a, b) of every bucket; with ``leaders`` also its leaders (a = b), else its members (path, k, n, bits) for the second pass."""
 
-def bucket_edges(threshold: float, leaders: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
         for t in groups(batches, 1 if leaders else 2):
-            k, n = t["k"].to_numpy(), t["n"].to_numpy()
-            bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint8).reshape(len(k), -1)
-            edges, lead = compare(k, n, bits, threshold)
-            a = np.concatenate([e[0] for e in edges]) if edges else np.zeros(0, np.int64)
-            c = np.concatenate([e[1] for e in edges]) if edges else np.zeros(0, np.int64)
-            if leaders:  # leaders come out as loops, with the bucket that they stay in
-                a, c = np.r_[a, k[lead]], np.r_[c, k[lead]]
-                home = np.full(len(a), t["home"][0].as_py())
-                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64()), "home": pa.array(home, pa.int64())})
-            elif len(a):
-                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
+            a, b, lead = tie(t["k"].to_numpy(), t["n"].to_numpy(), sketches(t), threshold)
+            if leaders:
+                own = t["k"].to_numpy()[lead]
+                a, b = np.r_[a, own], np.r_[b, own]
+            size, void = len(a), pa.nulls
+            home = pa.array(np.full(size, t["home"][0].as_py()), pa.int64()) if leaders else void(size, pa.int64())
+            held.append(pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "home": home, "path": void(size, pa.int64()), "k": void(size, pa.int64()), "n": void(size, pa.int32()), "bits": void(size, pa.binary())}))
+            if not leaders:
+                size = t.num_rows
+                held.append(pa.table({"a": void(size, pa.int64()), "b": void(size, pa.int64()), "home": void(size, pa.int64()), "path": t["path"], "k": t["k"], "n": t["n"], "bits": t["bits"]}))
+            if len(held) > 1000:
+                yield from pa.concat_tables(held).combine_chunks().to_batches()
+                held = []
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+    return run
+
+
+def second_pass(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, 2):
+            root = t["root"].to_numpy()
+            if (root == root[0]).all():
+                continue
+            a, b = cross(t["k"].to_numpy(), t["n"].to_numpy(), sketches(t), root, threshold)
+            if len(a):
+                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -200,64 +258,63 @@ def over(rows: DataFrame, limit: int) -> DataFrame:
     return rows.groupBy("path").agg(F.count("*").alias("c")).where(f"c > {limit}")
 
 
-def candidate_pairs(reps: DataFrame, threshold: float, limit: int, splits: int) -> DataFrame:
-    """Distinct pairs (a < b) of keys that meet in some bucket and look similar."""
+def buckets(reps: DataFrame, limit: int, splits: int) -> tuple[DataFrame, DataFrame | None]:
+    """(path, k, n, bits) of all buckets within the limit, and (home, c, k, n, bits) of those that no path parts."""
     side = reps.select("k", "n", "bits")
     rows = reps.select(F.explode("paths").alias("path"), "k", "n", "bits")
-    done, big = [], over(rows, limit)
+    done, dense, big = [], None, over(rows, limit)
     for level in range(splits + 1):
         big = stored(big, "join-big")
         if big.isEmpty():
             break
         split = rows.join(big, "path")
-        rows = rows.join(big.select("path"), "path", "left_anti")
-        if level == splits:  # near copies, which share all tokens: no path parts them
-            done.append(dense_pairs(split, side, threshold, limit))
+        done.append(rows.join(big.select("path"), "path", "left_anti"))
+        rows = None
+        if level == splits:  # near copies, which share all tokens
+            dense = split.select(F.col("path").alias("home"), "c", "k", "n", "bits")
             break
         more = split.select("path", "k").join(reps.select("k", "toks"), "k").select("path", "k", "toks").mapInArrow(longer, "path long, k long")
-        more = stored(more, "join-split").join(side, "k").select("path", "k", "n", "bits")
-        done.append(rows)
-        rows = more
+        rows = stored(more, "join-split").join(side, "k").select("path", "k", "n", "bits")
         big = over(rows, limit)
-    plain = [rows, *(d for d in done if "a" not in d.columns)]
-    every = plain[0]
-    for d in plain[1:]:
-        every = every.unionByName(d)
-    pairs = every.repartition("path").sortWithinPartitions("path").mapInArrow(bucket_edges(threshold), "a long, b long")
-    for d in done:
-        if "a" in d.columns:
-            pairs = pairs.unionByName(d)
+    every = [*done, rows] if rows is not None else done
+    out = every[0]
+    for d in every[1:]:
+        out = out.unionByName(d)
+    return out, dense
+
+
+def by_path(df: DataFrame) -> DataFrame:
+    return df.repartition("path").sortWithinPartitions("path")
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def dense_pairs(rows: DataFrame, side: DataFrame, threshold: float, limit: int) -> DataFrame:
-    """Pairs of buckets over the limit: chunks are reduced to their leaders, and leaders meet again, until buckets fit or stop shrinking; then chunks meet pairwise."""
-    out, now = [], stored(rows.select(F.col("path").alias("home"), "c", "k", "n", "bits"), "join-dense")
-    while True:
-        chunk = F.pmod(F.xxhash64("k"), F.ceil(F.col("c") / limit))
-        keyed = now.select(F.xxhash64("home", chunk).alias("path"), "k", "n", "bits", "home").repartition("path").sortWithinPartitions("path")
-        found = stored(keyed.mapInArrow(bucket_edges(threshold, True), "a long, b long, home long"), "join-lead")
-        out.append(found.where("a <> b").select("a", "b"))
+def dense_rounds(dense: DataFrame, side: DataFrame, threshold: float, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Buckets over the limit: chunks are reduced to their leaders, which meet again, until they fit or stop shrinking; then chunks meet pairwise.
+
+    Returns pairs found, and the chunks (path, k, n, bits) whose members the second pass compares.
+    """
+    pairs, met, now = [], [], stored(dense, "join-dense")
+    chunk = F.pmod(F.xxhash64("k"), F.ceil(F.col("c") / limit))
+    while not now.isEmpty():
+        keyed = now.select(F.xxhash64("home", chunk).alias("path"), "k", "n", "bits", "home")
+        met.append(keyed.select("path", "k", "n", "bits"))
+        found = stored(by_path(keyed).mapInArrow(first_pass(threshold, True), MEMBER), "join-lead")
+        pairs.append(found.select("a", "b"))
         lead = found.where("a = b").select("home", F.col("a").alias("k")).distinct()
         sizes = lead.groupBy("home").agg(F.count("*").alias("c2"))
-        old = now.select("home", "c").distinct()
-        state = stored(old.join(sizes, "home").where("c > " + str(limit)), "join-size")  # one chunk alone is done
+        state = stored(now.select("home", "c").distinct().join(sizes, "home").where(f"c > {limit}"), "join-size")
         if state.isEmpty():
             break
-        back = lead.join(side, "k")
+        back = stored(lead.join(side, "k"), "join-leaders")
         stuck = state.where(f"c2 > {limit} and c2 > 0.7 * c")
-        if not stuck.isEmpty():
-            both = back.join(stuck, "home").withColumn("m", F.ceil(F.col("c2") / limit).cast("int")).withColumn("x", F.pmod(F.xxhash64("k"), F.col("m")).cast("int"))
-            met = both.select(F.explode(F.expr("transform(sequence(0, m - 1), y -> xxhash64(home, least(x, y), greatest(x, y), 7))")).alias("path"), "k", "n", "bits")
-            out.append(met.repartition("path").sortWithinPartitions("path").mapInArrow(bucket_edges(threshold), "a long, b long"))
+        both = back.join(stuck, "home").withColumn("m", F.ceil(F.col("c2") / limit).cast("int")).withColumn("x", F.pmod(F.xxhash64("k"), F.col("m")).cast("int"))
+        met.append(both.select(F.explode(F.expr("transform(sequence(0, m - 1), y -> xxhash64(home, least(x, y), greatest(x, y), 7))")).alias("path"), "k", "n", "bits"))
         go = state.where(f"not (c2 > {limit} and c2 > 0.7 * c)")
         now = stored(back.join(go.select("home", F.col("c2").alias("c")), "home").select("home", "c", "k", "n", "bits"), "join-dense")
-        if now.isEmpty():
-            break
-    pairs = out[0]
-    for d in out[1:]:
-        pairs = pairs.unionByName(d)
-    return pairs
+    return pairs, met
 
 
 def set_rows(n: int):
@@ -381,13 +438,34 @@ def join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float =
     rows = stored(base.mapInArrow(sketch_rows(n, runs), f"id {kind}, k long, n int, bits binary, toks binary, paths array<long>"), "join-rows")
     reps = rows.where("k is not null and id is not null").groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.first(F.struct("n", "bits", "toks", "paths")).alias("x"))
     reps = stored(reps.select("k", "id", "w", "x.*"), "join-reps")
-    pairs = stored(candidate_pairs(reps, threshold, bucket, splits), "join-candidates")
-    used = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-    used = stored(used.join(reps.select("k", "id"), "k"), "join-used")
+    rows_of, dense = buckets(reps, bucket, splits)
+    once = stored(by_path(rows_of).mapInArrow(first_pass(threshold), MEMBER), "join-first")
+    pairs, members = [once.where("a is not null").select("a", "b")], [once.where("k is not null").select("path", "k", "n", "bits")]
+    if dense is not None:
+        more, met = dense_rounds(dense, reps.select("k", "n", "bits"), threshold, bucket)
+        pairs, members = pairs + more, members + met
+    # members of buckets are all that any pair can name: their sets are made once
+    used = members[0].select("k")
+    for m in members[1:]:
+        used = used.unionByName(m.select("k"))
+    used = stored(used.distinct().join(reps.select("k", "id"), "k"), "join-used")
     texts = base.join(used.select("id").distinct(), "id", "left_semi").select("text").mapInArrow(set_rows(n), "k long, s array<long>")
     sets = stored(texts.join(used.select("k"), "k", "left_semi").dropDuplicates(["k"]), "join-sets")
-    edges = stored(similar(pairs, sets, threshold), "join-edges")
-    roots = stored(components(edges).join(reps.select("k", "id", "w"), "k"), "join-roots")
+    found = pairs[0]
+    for p in pairs[1:]:
+        found = found.unionByName(p)
+    edges = stored(similar(ordered(found), sets, threshold), "join-edges")
+    roots = components(edges)
+    # second pass: whatever the buckets leave possible between groups
+    left = members[0]
+    for m in members[1:]:
+        left = left.unionByName(m)
+    left = left.join(roots, "k", "left").select("path", "k", "n", "bits", F.coalesce("root", "k").alias("root"))
+    again = stored(ordered(by_path(left).mapInArrow(second_pass(threshold), "a long, b long")), "join-second")
+    more = stored(similar(again, sets, threshold), "join-edges")
+    if not more.isEmpty():
+        roots = components(edges.select("a", "b").unionByName(more.select("a", "b")))
+    roots = stored(roots.join(reps.select("k", "id", "w"), "k"), "join-roots")
     links = link_counts(roots.select("k", "root", "w"), sets, threshold, block)
     least = roots.groupBy("root").agg(F.min("id").alias("class_id"))
     known = roots.select("k", "root").join(least, "root").join(links, "k", "left").select("k", "class_id", "links")
