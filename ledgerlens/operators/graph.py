@@ -35,8 +35,8 @@ def pagerank(edges: DataFrame, iterations: int = 10, alpha: float = 0.85, every:
     p = cut(e.join(total, "src").select("src", "dst", (F.col("w") / F.col("tw")).alias("p")))
     sinks = total.select(F.col("src").alias("k"), F.lit(True).alias("sends"))
     nodes = cut(e.select(F.explode(F.array("src", "dst")).alias("k")).distinct().join(sinks, "k", "left").select("k", F.col("sends").isNotNull().alias("sends")))
-    n = nodes.count()
-    x = nodes.withColumn("x", F.lit(1.0 / max(n, 1)))
+    n = max(nodes.count(), 1)
+    x = nodes.withColumn("x", F.lit(1.0 / n))
     for i in range(iterations):
         flow = p.join(x.select(F.col("k").alias("src"), "x"), "src").groupBy(F.col("dst").alias("k")).agg(F.sum(F.col("p") * F.col("x")).alias("f"))
         lost = x.agg(F.coalesce(F.sum(F.when(~F.col("sends"), F.col("x"))), F.lit(0.0)).alias("d"))
