@@ -158,13 +158,22 @@ def unique_rows(k: np.ndarray, n: np.ndarray, bits: np.ndarray):
     return order, k[order], n[order].astype(np.float64), bits[order].view(np.uint64)
 
 
-def tie(k: np.ndarray, n: np.ndarray, bits: np.ndarray, threshold: float, sure: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First pass over a bucket: every row is tied to one leader that it surely resembles, or leads. At most a pair per row.
+def tie(k: np.ndarray, n: np.ndarray, bits: np.ndarray, threshold: float, sure: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First pass over a bucket: pairs of leaders and what resembles them, the leaders' places, and those of rows with any likeness.
 
-    The leader is the row nearest to the majority of the sketches that are left, so a text with many variants leads them.
+    The leader is the row nearest to the majority of the sketches that are left, so a text with many variants leads
+    them; rows that surely resemble it leave with it.
     """
     order, k, n, words = unique_rows(k, n, bits)
     a, b, leaders, left = [], [], [], np.arange(len(k))
+    alike = np.zeros(len(k), bool)
+    for i in range(len(k)):
+        if not alike[i] and len(k) > 1:
+            _, near = estimates(n, words, i, left, threshold)
+            near[i] = False
+            alike |= near
+            alike[i] = near.any()
+    left = left[alike]
     while len(left):
         if len(left) > 2:
             ones = np.unpackbits(words[left].view(np.uint8).reshape(len(left), -1), axis=1).mean(0) >= 0.5
@@ -176,30 +185,51 @@ def tie(k: np.ndarray, n: np.ndarray, bits: np.ndarray, threshold: float, sure:
         if not len(left):
             break
         est, near = estimates(n, words, p, left, threshold)
-        near &= (est >= threshold + sure) | (len(left) == 1)
+        surely = near & (est >= threshold + sure)
+        if a and len(left) > 1:  # the first leader is tried with all that it may resemble, later ones with what they surely do
+            near = surely
         a.append(np.full(near.sum(), k[p]))
         b.append(k[left[near]])
-        left = left[~near]
+        left = left[~surely]
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b]), np.array(leaders)
-
-
-def cross(k: np.ndarray, n: np.ndarray, bits: np.ndarray, root: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Second pass: all pairs of one bucket that the sketches leave possible and that no group joins yet."""
-    order, k, n, words = unique_rows(k, n, bits)
-    root = root[order]
-    names, size = np.unique(root, return_counts=True)
-    largest = names[size.argmax()]
-    a, b, small = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], root != largest
-    for i in np.flatnonzero(small):
-        other = np.flatnonzero((root != root[i]) & (~small | (np.arange(len(k)) > i)))
-        _, near = estimates(n, words, i, other, threshold)
-        a.append(np.full(near.sum(), k[i]))
-        b.append(k[other[near]])
-    return np.concatenate(a), np.concatenate(b)
+    lone = order[~alike]
+    return np.concatenate([none, *a]), np.concatenate([none, *b]), np.r_[np.array(leaders, np.int64), lone], order[alike]
+
+
+def cross(k: np.ndarray, root: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Second pass: links between groups within one bucket, by brute force on the sets; one link joins two groups, as more change nothing."""
+    _, first = np.unique(k, return_index=True)
+    k, root, sets = k[first], root[first], [sets[i] for i in first]
+    size = np.array([len(x) for x in sets])
+    names, count = np.unique(root, return_counts=True)
+    small = np.flatnonzero(root != names[count.argmax()])
+    small = small[np.argsort(root[small], kind="stable")]
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(k)), size)
+    by = np.argsort(flat, kind="stable")
+    flat, owner = flat[by], owner[by]
+    group = dict(zip(names.tolist(), names.tolist()))
+
+    def top(r):
+        while group[r] != r:
+            r = group[r]
+        return r
+
+    out = []
+    for i in small:
+        lo, hi = np.searchsorted(flat, sets[i]), np.searchsorted(flat, sets[i], side="right")
+        n = hi - lo
+        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        inter = np.bincount(owner[at], minlength=len(k))
+        for j in np.flatnonzero((root != root[i]) & (inter / (size + size[i] - inter) >= threshold)):
+            x, y = top(root[i]), top(root[j])
+            if x != y:
+                group[max(x, y)] = min(x, y)
+                out.append((int(k[i]), int(k[j])))
+    return out
 
 
-MEMBER = "a long, b long, home long, path long, k long, n int, bits binary"
+MEMBER = "a long, b long, home long, path long, k long"
 
 
 def sketches(t: pa.Table) -> np.ndarray:
@@ -207,26 +237,34 @@ def sketches(t: pa.Table) -> np.ndarray:
 
 
 def first_pass(threshold: float, leaders: bool = False):
-    """Pairs (a, b) of every bucket; with ``leaders`` also its leaders (a = b), else its members (path, k, n, bits) for the second pass."""
+    """Pairs (a, b) of every bucket, and its members (path, k) that resemble another; with ``leaders`` also its leaders (a = b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        held: list[tuple] = []
+
+        def flush():
+            a, b, home, path, k = (np.concatenate(c) for c in zip(*held))
+            member = path != 0
+            column = lambda x, ok: pa.array(x, pa.int64(), mask=~ok)
+            return pa.record_batch({"a": column(a, ~member), "b": column(b, ~member), "home": column(home, ~member), "path": column(path, member), "k": column(k, member)})
+
+        size = 0
         for t in groups(batches, 1 if leaders else 2):
-            a, b, lead = tie(t["k"].to_numpy(), t["n"].to_numpy(), sketches(t), threshold)
+            k = t["k"].to_numpy()
+            a, b, lead, alike = tie(k, t["n"].to_numpy(), sketches(t), threshold)
             if leaders:
-                own = t["k"].to_numpy()[lead]
-                a, b = np.r_[a, own], np.r_[b, own]
-            size, void = len(a), pa.nulls
-            home = pa.array(np.full(size, t["home"][0].as_py()), pa.int64()) if leaders else void(size, pa.int64())
-            held.append(pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "home": home, "path": void(size, pa.int64()), "k": void(size, pa.int64()), "n": void(size, pa.int32()), "bits": void(size, pa.binary())}))
-            if not leaders:
-                size = t.num_rows
-                held.append(pa.table({"a": void(size, pa.int64()), "b": void(size, pa.int64()), "home": void(size, pa.int64()), "path": t["path"], "k": t["k"], "n": t["n"], "bits": t["bits"]}))
-            if len(held) > 1000:
-                yield from pa.concat_tables(held).combine_chunks().to_batches()
-                held = []
+                a, b = np.r_[a, k[lead]], np.r_[b, k[lead]]
+            home = np.full(len(a), t["home"][0].as_py() if leaders else 0)
+            path = t["path"][0].as_py() or 1
+            m = len(alike)
+            none, void = np.zeros(len(a), np.int64), np.zeros(m, np.int64)
+            held.append((np.r_[a, void], np.r_[b, void], np.r_[home, void], np.r_[none, np.full(m, path)], np.r_[none, k[alike]]))
+            size += len(a) + m
+            if size > 50_000:
+                yield flush()
+                held, size = [], 0
         if held:
-            yield from pa.concat_tables(held).combine_chunks().to_batches()
+            yield flush()
 
     return run
 
@@ -234,11 +272,10 @@ def first_pass(threshold: float, leaders: bool = False):
 def second_pass(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, 2):
-            root = t["root"].to_numpy()
-            if (root == root[0]).all():
-                continue
-            a, b = cross(t["k"].to_numpy(), t["n"].to_numpy(), sketches(t), root, threshold)
-            if len(a):
+            sets = [np.asarray(x.values) for x in t["s"].combine_chunks()]
+            pairs = cross(t["k"].to_numpy(), t["root"].to_numpy(), sets, threshold)
+            if pairs:
+                a, b = zip(*pairs)
                 yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -294,15 +331,15 @@ def ordered(pairs: DataFrame) -> DataFrame:
 def dense_rounds(dense: DataFrame, side: DataFrame, threshold: float, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Buckets over the limit: chunks are reduced to their leaders, which meet again, until they fit or stop shrinking; then chunks meet pairwise.
 
-    Returns pairs found, and the chunks (path, k, n, bits) whose members the second pass compares.
+    Returns pairs found, and the chunks (path, k) whose members the second pass compares.
     """
     pairs, met, now = [], [], stored(dense, "join-dense")
     chunk = F.pmod(F.xxhash64("k"), F.ceil(F.col("c") / limit))
     while not now.isEmpty():
         keyed = now.select(F.xxhash64("home", chunk).alias("path"), "k", "n", "bits", "home")
-        met.append(keyed.select("path", "k", "n", "bits"))
         found = stored(by_path(keyed).mapInArrow(first_pass(threshold, True), MEMBER), "join-lead")
-        pairs.append(found.select("a", "b"))
+        pairs.append(found.where("a is not null").select("a", "b"))
+        met.append(found.where("k is not null").select("path", "k"))
         lead = found.where("a = b").select("home", F.col("a").alias("k")).distinct()
         sizes = lead.groupBy("home").agg(F.count("*").alias("c2"))
         state = stored(now.select("home", "c").distinct().join(sizes, "home").where(f"c > {limit}"), "join-size")
@@ -311,7 +348,7 @@ def dense_rounds(dense: DataFrame, side: DataFrame, threshold: float, limit: int
         back = stored(lead.join(side, "k"), "join-leaders")
         stuck = state.where(f"c2 > {limit} and c2 > 0.7 * c")
         both = back.join(stuck, "home").withColumn("m", F.ceil(F.col("c2") / limit).cast("int")).withColumn("x", F.pmod(F.xxhash64("k"), F.col("m")).cast("int"))
-        met.append(both.select(F.explode(F.expr("transform(sequence(0, m - 1), y -> xxhash64(home, least(x, y), greatest(x, y), 7))")).alias("path"), "k", "n", "bits"))
+        met.append(both.select(F.explode(F.expr("transform(sequence(0, m - 1), y -> xxhash64(home, least(x, y), greatest(x, y), 7))")).alias("path"), "k"))
         go = state.where(f"not (c2 > {limit} and c2 > 0.7 * c)")
         now = stored(back.join(go.select("home", F.col("c2").alias("c")), "home").select("home", "c", "k", "n", "bits"), "join-dense")
     return pairs, met
@@ -440,11 +477,11 @@ def join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float =
     reps = stored(reps.select("k", "id", "w", "x.*"), "join-reps")
     rows_of, dense = buckets(reps, bucket, splits)
     once = stored(by_path(rows_of).mapInArrow(first_pass(threshold), MEMBER), "join-first")
-    pairs, members = [once.where("a is not null").select("a", "b")], [once.where("k is not null").select("path", "k", "n", "bits")]
+    pairs, members = [once.where("a is not null").select("a", "b")], [once.where("k is not null").select("path", "k")]
     if dense is not None:
         more, met = dense_rounds(dense, reps.select("k", "n", "bits"), threshold, bucket)
         pairs, members = pairs + more, members + met
-    # members of buckets are all that any pair can name: their sets are made once
+    # only these can be linked: their sets are made once
     used = members[0].select("k")
     for m in members[1:]:
         used = used.unionByName(m.select("k"))
@@ -456,15 +493,16 @@ def join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float =
         found = found.unionByName(p)
     edges = stored(similar(ordered(found), sets, threshold), "join-edges")
     roots = components(edges)
-    # second pass: whatever the buckets leave possible between groups
+    # second pass: brute force between the groups that a bucket holds and that nothing joins yet
     left = members[0]
     for m in members[1:]:
         left = left.unionByName(m)
-    left = left.join(roots, "k", "left").select("path", "k", "n", "bits", F.coalesce("root", "k").alias("root"))
-    again = stored(ordered(by_path(left).mapInArrow(second_pass(threshold), "a long, b long")), "join-second")
-    more = stored(similar(again, sets, threshold), "join-edges")
+    left = stored(left.distinct().join(roots, "k", "left").select("path", "k", F.coalesce("root", "k").alias("root")), "join-members")
+    open_ = left.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("path")
+    tried = by_path(left.join(open_, "path").join(sets, "k").select("path", "k", "root", "s")).mapInArrow(second_pass(threshold), "a long, b long")
+    more = stored(tried, "join-second")
     if not more.isEmpty():
-        roots = components(edges.select("a", "b").unionByName(more.select("a", "b")))
+        roots = components(edges.select("a", "b").unionByName(more))
     roots = stored(roots.join(reps.select("k", "id", "w"), "k"), "join-roots")
     links = link_counts(roots.select("k", "root", "w"), sets, threshold, block)
     least = roots.groupBy("root").agg(F.min("id").alias("class_id"))
