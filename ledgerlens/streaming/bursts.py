@@ -40,4 +40,4 @@ def running_intensity(edges: DataFrame, mu: float = 0.01, alpha: float = 0.5, be
         state.update((last, excited))
         yield pd.DataFrame({"account_id": [key[0]], "hawkes_intensity": [mu + excited]})
 
-    return edges.groupBy(F.col("src").alias("account_id")).applyInPandasWithState(step, "account_id string, hawkes_intensity double", "last long, excited double", "update", GroupStateTimeout.NoTimeout)
+    return edges.withColumnRenamed("src", "account_id").groupBy("account_id").applyInPandasWithState(step, "account_id string, hawkes_intensity double", "last long, excited double", "update", GroupStateTimeout.NoTimeout)
