@@ -28,11 +28,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.clean_documents(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    return decontaminate.clean_documents(docs, stored(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")), "pipeline-leaks"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    new = pii.redact(docs, pii.detect(docs))
+    new = pii.redact(docs, stored(pii.detect(docs), "pipeline-spans"))
     return new.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long"))) if "n_chars" in docs.columns else new
 
 

@@ -39,3 +39,8 @@ def require(df: DataFrame, *cols: str) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
+
+
+def small_side(df: DataFrame, most: int) -> DataFrame:
+    """``df`` (cheap to count) marked for broadcast if it has at most ``most`` rows; larger ones are left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df

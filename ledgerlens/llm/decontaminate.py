@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import require, stored
+from ledgerlens.llm.common import require, small_side, stored
 
 WINDOW = 8
 #: Words taken as units when they follow a number, and titles that precede a name.
@@ -87,7 +87,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, mi
 
 
 def clean_documents(docs: DataFrame, pairs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, columns unchanged."""
+    """The rows of ``docs`` that hold no benchmark item, columns unchanged. ``pairs`` is a stored result, as it is counted; up to 200,000 are broadcast."""
     bad = pairs.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th")).distinct()
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
-    return docs.join(bad, on, "left_anti")
+    return docs.join(small_side(bad, 200_000), on, "left_anti")
