@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,3 +45,9 @@ def require(df: DataFrame, *cols: str) -> None:
 def small_side(df: DataFrame, most: int) -> DataFrame:
     """``df`` (cheap to count) marked for broadcast if it has at most ``most`` rows; larger ones are left to a shuffled join."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of finished steps: Spark deletes their shuffle files once the driver has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
