@@ -95,6 +95,31 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_edited_passages_by_brute_force(spark):
+    r, texts, want = np.random.default_rng(8), [], {}
+    fill = lambda n: " ".join(f"f{v}" for v in r.integers(0, 10**9, n))
+    for n in range(50, 61):
+        for edits in range(3, 9):
+            even = np.linspace(0, n - 1, edits + 2)[1:-1].astype(int)
+            for at in (even, r.choice(np.arange(1, n - 1), edits, replace=False)):
+                shared = [f"w{v}" for v in r.integers(0, 10**9, n)]
+                other = edited(" ".join(shared), *at)
+                kept = sum(a == b for a, b in zip(shared, other.split()))
+                texts += [f"{fill(30)} {' '.join(shared)} {fill(20)}", f"{fill(25)} {other} {fill(35)}"]
+                if kept / n >= 0.8:
+                    want[len(texts) - 1] = n
+    # seeds that several first holders share: each half of a passage stands in an earlier document too
+    whole = [f"h{v}" for v in r.integers(0, 10**9, 60)]
+    start = len(texts)
+    texts += [f"{' '.join(whole[:25])} {fill(40)}", f"{fill(40)} {' '.join(whole[27:])}", f"{fill(9)} {' '.join(whole)} {fill(9)}", f"{fill(9)} {edited(' '.join(whole), 10, 26, 40)} {fill(9)}"]
+    want[start + 3] = 60
+    got = {}
+    for row in passages.repeated_passages(docs_of(spark, texts)).collect():
+        got[row.doc_id] = max(got.get(row.doc_id, 0), row.n_words)
+    assert {i: (n, got.get(i)) for i, n in want.items() if not n - 3 <= got.get(i, 0) <= n + 3} == {}
+    assert set(got) <= set(want) | {start + 2}
+
+
 def test_chains_and_alignment_by_brute_force():
     x, y = np.array([0, 5, 10, 15, 20, 90, 95]), np.array([100, 105, 3, 115, 120, 190, 195])
     assert [c.tolist() for c in passages.chains(x, y)] == [[0, 1, 3, 4], [5, 6]]
