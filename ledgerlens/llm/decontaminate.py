@@ -2,8 +2,8 @@
 
 Texts become templates: numbers, units after numbers and names turn into typed placeholders, the rest into
 lower-case words. Windows of template tokens are hashed and joined with the benchmark's; where the windows
-have slots, their values must map one to one onto the benchmark's, so that a re-parameterised question
-matches and a chance likeness with clashing values doesn't.
+have slots, each value of the item must stand for one value throughout an occurrence, so that a re-parameterised
+question matches and a chance likeness with clashing values doesn't.
 """
 
 from __future__ import annotations
@@ -36,20 +36,27 @@ def windows(tok: str, w: int) -> str:
 
 
 def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, w: int) -> DataFrame:
-    """Windows of every item with their slot values; an item shorter than ``w`` tokens is one window. Windows with fewer than four plain words say too little and are left out."""
+    """Windows of every item with their slot values; an item shorter than ``w`` tokens is one window.
+
+    Windows with fewer than four plain words say too little and are left out. An item of ``w`` tokens or more that has
+    no others keeps those of three different tokens, marked ``exact``: they count with equal values only.
+    """
     items = bench.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), tokens(F.col(text_col), True).alias("tv"))
     items = items.withColumn("w", F.least(F.lit(w), F.size("tv"))).where("w > 0")
-    rows = items.withColumn("b_pos", F.explode(F.expr("sequence(0, size(tv) - w)"))).withColumn("win", F.expr("slice(tv, b_pos + 1, w)"))
+    items = items.withColumn("all", F.expr("transform(sequence(0, size(tv) - w), i -> struct(i as b_pos, slice(tv, i + 1, w) as win))"))
+    items = items.withColumn("usable", F.expr("filter(all, x -> size(filter(x.win, t -> not startswith(t, '<'))) >= 4)"))
+    items = items.withColumn("exact", F.expr("size(usable) = 0")).withColumn("keep", F.expr(f"case when not exact then usable when w >= {w} then filter(all, x -> size(array_distinct(x.win)) >= 3) end"))
+    rows = items.select("item", "w", "exact", F.size("keep").alias("n_item"), F.explode("keep").alias("x")).select("item", "w", "exact", "n_item", "x.*")
     rows = rows.withColumn("template", F.expr("transform(win, t -> regexp_replace(t, '=.*', '>'))"))
-    rows = rows.where("size(filter(template, t -> not startswith(t, '<'))) >= least(4, w) and size(filter(template, t -> not startswith(t, '<'))) >= 4")
-    return rows.select("item", "w", "b_pos", F.expr("xxhash64(w, template)").alias("h"), "template", F.expr("transform(filter(win, t -> startswith(t, '<')), t -> regexp_replace(t, '^<[a-z]+=|>$', ''))").alias("b_slots"), F.expr("size(tv) - w + 1").alias("n_item"))
+    return rows.select("item", "w", "b_pos", F.expr("xxhash64(w, template)").alias("h"), "template", F.expr("transform(filter(win, t -> startswith(t, '<')), t -> regexp_replace(t, '^<[a-z]+=|>$', ''))").alias("b_slots"), "n_item", "exact")
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, min_share: float = 0.3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_rows: int = 200_000) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, min_share: float = 0.3, min_run: int = 32, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_rows: int = 200_000) -> DataFrame:
     """``id, text_hash, item_id, n_windows, n_item_windows, share, reparameterised`` for each document and item that it holds.
 
-    A pair counts when the slot values of its matching windows map one to one onto the item's and at least
-    ``min_share`` of the item's windows match. Null and empty texts hold nothing; a null item id or text is left
+    Windows count by occurrence, where document and item run side by side, if each slot value of the item stands for
+    one value there. A pair counts when at least ``min_share`` of the item's usable windows match so, or ``min_run``
+    tokens in a row. ``reparameterised`` is that of the occurrence of most windows. Null and empty texts hold nothing; a null item id or text is left
     out; repeated rows give one pair; extra columns are ignored; an empty table on either side gives no rows.
     Documents are scanned once for matches and once more for the few that have any. The benchmark's windows are
     broadcast only up to ``broadcast_rows`` of them and shuffled beyond that.
@@ -73,16 +80,18 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, mi
     at = again.select("id", "th", "tv", "tok", F.explode(F.expr(f"concat({', '.join(per_w)})")).alias("x")).select("id", "th", "x.*", F.expr("slice(tv, x.pos + 1, x.w)").alias("win"), F.expr("slice(tok, x.pos + 1, x.w)").alias("template"))
     pairs = at.join(hint(known), ["h", "w", "template"])
     slots = F.expr("transform(filter(win, t -> startswith(t, '<')), t -> regexp_replace(t, '^<[a-z]+=|>$', ''))")
-    pairs = pairs.select("id", "th", "item", "b_pos", "n_item", F.col("pos") - F.col("b_pos"), F.explode_outer(F.arrays_zip(F.col("b_slots").alias("b"), slots.alias("d"))).alias("s"))
-    # values are compared over all windows of a pair of document and item
-    both = F.struct("s.b", "s.d")
-    filled = F.col("s").isNotNull()
-    out = pairs.groupBy("id", "th", "item").agg(
-        F.count_distinct("b_pos").alias("n_windows"), F.max("n_item").alias("n_item_windows"),
-        F.count_distinct(F.when(filled, both)).alias("np"), F.count_distinct(F.when(filled, F.col("s.b"))).alias("nb"), F.count_distinct(F.when(filled, F.col("s.d"))).alias("nd"),
-        F.max(F.coalesce(F.col("s.b") != F.col("s.d"), F.lit(False))).alias("reparameterised"),
+    pairs = pairs.withColumn("d_slots", slots).where("not exact or b_slots = d_slots")
+    pairs = pairs.select("id", "th", "item", "w", "b_pos", "n_item", (F.col("pos") - F.col("b_pos")).alias("diagonal"), F.explode_outer(F.arrays_zip(F.col("b_slots").alias("b"), F.col("d_slots").alias("d"))).alias("s"))
+    # values are compared over the windows of one occurrence
+    once = pairs.groupBy("id", "th", "item", "w", "diagonal").agg(F.array_sort(F.collect_set("b_pos")).alias("at"), F.max("n_item").alias("n_item"), F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s.b", "s.d"))).alias("v"))
+    once = once.where("size(v) = size(array_distinct(transform(v, x -> x.b)))").withColumn("new", F.expr("exists(v, x -> x.b <> x.d)"))
+    # windows that overlap or touch make one run of tokens
+    run = F.expr("aggregate(at, struct(-1000000 as first, -1000000 as last, 0 as best), (a, p) -> struct(if(p - a.last <= w, a.first, p) as first, p as last, greatest(a.best, p + w - if(p - a.last <= w, a.first, p)) as best), a -> a.best)")
+    out = once.withColumn("run", run).groupBy("id", "th", "item").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"), F.max("n_item").alias("n_item_windows"), F.max("run").alias("run"),
+        F.max_by("new", F.struct(F.size("at"), ~F.col("new"))).alias("reparameterised"),
     )
-    out = out.withColumn("share", F.col("n_windows") / F.col("n_item_windows")).where(f"np = nb and np = nd and share >= {min_share}")
+    out = out.withColumn("share", F.col("n_windows") / F.col("n_item_windows")).where(f"share >= {min_share} or run >= {min_run}")
     return out.select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.col("item").alias(item_col), "n_windows", "n_item_windows", "share", "reparameterised")
 
 

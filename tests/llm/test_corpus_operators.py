@@ -192,6 +192,23 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(d, b.limit(0)).count() == 0 and decontaminate.decontaminate(d.limit(0), b).count() == 0
 
 
+def test_decontamination_by_occurrence(spark):
+    q = "A farmer sells 12 crates with 30 apples each and keeps some crates for the winter market in town"
+    twice = "The first big red box costs 5 coins today and the first big red box costs 7 coins today"
+    heavy = "add 3 5 8 13 21 34 55 89 144 then 233"
+    half = "Nobody in our street knew why the lamp 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20"
+    long = prose(600, 70)
+    b = spark.createDataFrame([(1, q), (2, twice), (3, heavy), (4, half), (5, long)], "item_id long, text string")
+    other = lambda a, c: q.replace("12", a).replace("30", c)
+    texts = [
+        f"{other('45', '9')} {prose(60, 71)} {other('60', '8')}", f"{q} {prose(60, 72)} {other('60', '8')}", other("7", "7"), f"{prose(9, 73)} {twice} {prose(9, 74)}",
+        f"{prose(20, 75)} {heavy} {prose(20, 76)}", heavy.replace("3 5 8", "4 6 9").replace("89", "90").replace("34", "35"), f"{prose(20, 77)}. Nobody in our street knew why the lamp 3 {prose(20, 78)}", " ".join(long.split()[100:150]), " ".join(long.split()[100:120]), prose(300, 79),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.decontaminate(docs_of(spark, texts), b).collect()}
+    assert set(got) == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 3), (6, 4), (7, 5)}
+    assert got[0, 1].reparameterised and not got[1, 1].reparameterised and not got[3, 2].reparameterised and got[7, 5].share < 0.3
+
+
 # ---- language model
 
 
