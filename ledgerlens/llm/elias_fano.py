@@ -80,47 +80,54 @@ class EliasFano:
         return out
 
 
-CODES = 65535
-FLOOR = -16.0  # log10 of the least probability that a code stands for
+STEPS = 4000.0  # codes of a decade
 
 
-def encode(p: np.ndarray) -> np.ndarray:
-    """Probabilities as 16-bit codes, even in the logarithm; 0 stands for none."""
-    code = np.zeros(len(p), np.uint16)
-    some = p > 0
-    code[some] = np.clip(np.rint((np.log10(p[some]) / FLOOR) * (CODES - 1)), 0, CODES - 1).astype(np.uint16) + 1
-    return code
-
+def count_code(count: np.ndarray) -> np.ndarray:
+    """Counts as 16-bit codes, even in the logarithm and so within 0.03 % up to 10^16; 0 stands for none.
 
-def decode(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10.0 ** ((code.astype(np.float64) - 1) / (CODES - 1) * FLOOR), 0.0)
+    A count over that of all training tokens is the joint probability that the code stands for.
+    """
+    code = np.zeros(len(count), np.uint16)
+    some = count > 0
+    code[some] = np.minimum(np.rint(np.log10(count[some]) * STEPS), 65534).astype(np.uint16) + 1
+    return code
 
 
-SUCCESSOR_BITS = 40
+def count_of(code: np.ndarray) -> np.ndarray:
+    return np.where(code > 0, 10.0 ** ((code.astype(np.float64) - 1) / STEPS), 0.0)
 
 
 class TrieLevel:
-    """Contexts, monotone pointers to their successors, and each successor's quantised probability.
+    """Contexts, monotone pointers to their successors, successors relative to their context, and quantised probabilities.
 
-    A successor is stored relative to its context: context rank and word together rise along the level, so that one
-    Elias-Fano sequence holds the level, and a lookup is a search among the context's own successors.
+    Contexts and pointers are Elias-Fano sequences; a lookup finds the context, then searches among its own successors.
     """
 
-    def __init__(self, contexts: np.ndarray, rank: np.ndarray, word: np.ndarray, p: np.ndarray):
-        """contexts ascending; rank and word of every successor in ascending order."""
-        self.contexts = EliasFano(contexts)
-        self.pointers = EliasFano(np.searchsorted(rank, np.arange(len(contexts) + 1)))
-        self.level = EliasFano((rank.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | word)
-        self.codes = mapped(encode(p))
-
-    def lookup(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the probabilities (0 where absent) and places in the level (-1)."""
-        c = self.contexts.find(context)
-        at = np.where(c >= 0, self.level.find((np.maximum(c, 0).astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | word), -1)
-        return np.where(at >= 0, self.codes[np.maximum(at, 0)] if len(self.codes) else 0, 0).astype(np.uint16), at
-
-    def mass(self) -> np.ndarray:
-        """Sum of each context's successor probabilities, as decoded."""
-        cut = self.pointers.values().astype(np.int64)
-        total = np.r_[0.0, np.cumsum(decode(self.codes))]
-        return total[cut[1:]] - total[cut[:-1]]
+    def __init__(self, context: np.ndarray, successor: np.ndarray, codes: np.ndarray):
+        """Context and successor of every n-gram, ascending by both."""
+        new = np.flatnonzero(np.r_[True, context[1:] != context[:-1]][: len(context)])
+        self.contexts = EliasFano(context[new])
+        self.pointers = EliasFano(np.r_[new, len(context)])
+        self.successors = mapped(successor.astype(np.uint32))
+        self.codes = mapped(codes)
+
+    def lookup(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Codes of the n-grams' probabilities, 0 where absent; ``context`` ascends."""
+        out = np.zeros(len(context), np.uint16)
+        new = np.r_[True, context[1:] != context[:-1]][: len(context)]
+        place = self.contexts.find(context[new])[np.cumsum(new) - 1]
+        ask = np.flatnonzero(place >= 0)
+        pointers = self.pointers.values().astype(np.int64)
+        lo, hi = pointers[place[ask]], pointers[place[ask] + 1]
+        want = successor[ask].astype(np.uint32)
+        while len(ask):
+            mid = (lo + hi) >> 1
+            v = self.successors[mid]
+            hit = v == want
+            out[ask[hit]] = self.codes[mid[hit]]
+            less = v < want
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            live = ~hit & (lo < hi)
+            ask, lo, hi, want = ask[live], lo[live], hi[live], want[live]
+        return out

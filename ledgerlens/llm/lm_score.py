@@ -1,13 +1,14 @@
-"""Language-model scores from an Elias-Fano n-gram trie that is sharded by context.
+"""Language-model scores from an Elias-Fano n-gram trie that is dealt to shards.
 
-Texts are packed in blocks of token ids. For each order a block sends its distinct n-grams, as compressed
-arrays, to the shards of their contexts; a shard sums the training counts, builds its part of the trie and
-answers every block with quantised probabilities. No table of the corpus reaches the driver or every executor,
-and a context that holds more than its share of the tokens is dealt to several shards by successor.
+Texts are packed in blocks of token ids. A block sends each shard its own distinct n-grams of all orders, as sorted
+keys with their training counts; a shard sums the counts of all blocks, builds its part of the trie, looks every
+asked n-gram up and answers with quantised probabilities. Nothing of the corpus reaches the driver, no part of the
+model is sent to every task, and each block moves once. N-grams go to shards by their own hash, so a context with
+many successors is spread over all of them, and no n-gram is left out.
 
-The model interpolates orders by absolute discounting: p(w|h) = (c(h,w) - D) / c(h) + b(h) p(w|h'), over n-grams
-seen twice or more, b(h) being the mass they leave. The lowest order is the smoothed unigram of the base score.
-A document's first context is the end token.
+A trie level holds contexts, pointers to their successors, and each successor's probability of occurring after that
+context among all training tokens. The model smooths with Dirichlet priors: p(w|h) = (P(hw) + m p(w|h')) / (P(h) + m)
+with m = prior / N; the lowest order is the smoothed unigram of the base score. A document starts after an end token.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import release, require, stored
-from ledgerlens.llm.elias_fano import SUCCESSOR_BITS, TrieLevel, decode
+from ledgerlens.llm.common import require
+from ledgerlens.llm.elias_fano import TrieLevel, count_code, count_of
 from ledgerlens.llm.ngram_join import mix
 
-DISCOUNT = 0.75
 END = np.uint64(0x454E44)
-WORD_MASK = np.uint64((1 << SUCCESSOR_BITS) - 1)
-REPLY = "blk long, n int, shard int, body binary"
+REPLY = "blk long, shard int, body binary, total long, kinds long"
+#: Weight of the lower order against counts of the context, for bigrams, trigrams and on.
+PRIORS = (1000.0, 10.0)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -53,8 +54,17 @@ def unpack(body: bytes) -> list[np.ndarray]:
     return out
 
 
+def gaps(sorted_keys: np.ndarray) -> np.ndarray:
+    """Ascending numbers as differences, in which they compress."""
+    return np.diff(sorted_keys, prepend=np.uint64(0))
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32 if counts.max(initial=0) < 2**32 else np.uint64)
+
+
 def block_rows(folds: int, held: int, block_bytes: int):
-    """Blocks of documents: ids, and compressed token ids, lengths, training flags and word hashes."""
+    """Blocks of documents: ids, and compressed token ids, lengths, training flags and word hashes. A block's name is the hash of what it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -64,7 +74,8 @@ def block_rows(folds: int, held: int, block_bytes: int):
         def flush():
             words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))
             body = pack(np.concatenate(toks), np.array(lens, np.int32), np.array(train, np.uint8), np.r_[END, words])
-            return pa.record_batch({"blk": pa.array([part << 24 | made], pa.int64()), "ids": pa.array([ids], pa.list_(kind)), "body": pa.array([body], pa.binary())})
+            name = xxhash.xxh3_64_intdigest(f"{part} {made} {ids}".encode() + body) - (1 << 63)
+            return pa.record_batch({"blk": pa.array([name], pa.int64()), "ids": pa.array([ids], pa.list_(kind)), "body": pa.array([body], pa.binary())})
 
         kind = pa.int64()
         for b in batches:
@@ -91,230 +102,169 @@ def block_rows(folds: int, held: int, block_bytes: int):
 
 
 class Block:
-    """A block's tokens, with what the shards have answered so far."""
+    """A block's tokens and its distinct n-grams of each order, dealt to shards."""
 
-    def __init__(self, body: bytes, replies: dict[int, list[tuple[int, bytes]]]):
+    def __init__(self, body: bytes, order: int, shards: int, bits: tuple[int, int]):
         self.tok, self.lens, self.train, self.words = unpack(body)
         self.start = np.r_[0, np.cumsum(self.lens)[:-1]]
-        self.doc = np.repeat(np.arange(len(self.lens), dtype=np.int32), self.lens)
-        self.replies = replies
-
-    def unigram_request(self, shards: int):
-        own = np.bincount(self.tok[self.train[self.doc] > 0], minlength=len(self.words)).astype(np.uint32)
-        to = (mix(self.words) % np.uint64(shards)).astype(np.int64)
-        return to, own
-
-    def counts(self, shards: int) -> np.ndarray:
-        """Training count of every word of the block in the whole corpus."""
-        to, _ = self.unigram_request(shards)
-        c = np.zeros(len(self.words), np.int64)
-        for s, body in self.replies[1]:
-            c[to == s] = unpack(body)[0]
-        return c
-
-    def grams(self, n: int, c: np.ndarray, total: int, shards: int, lower: dict | None) -> dict:
-        """Distinct contexts and n-grams of order ``n`` whose parts all occur twice or more.
-
-        ``gram`` and ``context`` number each token's n-gram and context (-1: none). ``lower`` is the same table of order
-        n - 1 with its counts, for n > 2. Contexts are known by the number they have one order below.
+        self.taught = np.repeat(self.train > 0, self.lens)
+        self.order, self.shards, self.bits = order, shards, bits
+
+    def levels(self) -> Iterator[dict]:
+        """For each order: every token's n-gram and context by number, and of the n-grams the key, the shard and the order by (shard, key).
+
+        Contexts are numbered as the n-grams of one order below, from 1; 0 is the text's start. A key holds bits of the
+        context over those of the successor in it; with the shard that tells n-grams apart. Words have all 64 bits.
         """
-        before = np.zeros(len(self.tok), np.int32)
-        if n == 2:
-            names, count = self.words, c
-            before[1:] = self.tok[:-1]
-            before[self.start] = 0  # the end token opens a document
-            whole = c[self.tok] >= 2
-        else:
-            names, count, gram = lower["key"], lower["count"], lower["gram"]
-            before[1:] = gram[:-1]
-            before[self.start] = -1
-            whole = np.append(count, 0)[gram] >= 2
-        often = np.append(count >= 2, False)  # the last place answers for -1
-        has = often[before]
-        seen = np.zeros(len(count) + 1, bool)
-        seen[before[has]] = True
-        ids = np.flatnonzero(seen)
-        number = np.full(len(count) + 1, -1, np.int32)
-        number[ids] = np.arange(len(ids), dtype=np.int32)
-        context = number[before]
-        at = np.flatnonzero(has & whole)
-        pair, inverse = np.unique(context[at].astype(np.uint64) << np.uint64(32) | self.tok[at], return_inverse=True)
-        inverse = inverse.astype(np.int32)
-        gram = np.full(len(self.tok), -1, np.int32)
-        gram[at] = inverse
-        own = np.bincount(inverse[self.train[self.doc[at]] > 0], minlength=len(pair)).astype(np.uint32)
-        g_ctx, word = (pair >> np.uint64(32)).astype(np.int64), self.words[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        ctx, ctx_count = names[ids], count[ids]
-        spread = np.maximum(1, np.ceil(2.0 * ctx_count * shards / max(1, total))).astype(np.int64)
-        return {"gram": gram, "context": context, "key": mix(ctx[g_ctx] + mix(word)), "g_ctx": g_ctx, "g_word": word & WORD_MASK, "own": own, "ctx": ctx, "ctx_count": ctx_count, "spread": spread}
-
-    def deal(self, g: dict, shards: int) -> list[tuple]:
-        """For each shard: its n-grams, their keys, its (context, part) rows by key, and the keys. A hot context has several parts."""
-        def keyed(ctx, p):
-            return ctx + mix(p.astype(np.uint64)) * (p > 0)
-
-        part = (mix(g["g_word"]) % g["spread"][g["g_ctx"]].astype(np.uint64)).astype(np.int64) if len(g["g_ctx"]) else np.zeros(0, np.int64)
-        c_row = np.repeat(np.arange(len(g["ctx"])), g["spread"])
-        c_part = np.arange(len(c_row)) - np.repeat(np.cumsum(g["spread"]) - g["spread"], g["spread"])
-        key, c_key = keyed(g["ctx"][g["g_ctx"]], part), keyed(g["ctx"][c_row], c_part)
-        to, c_to = ((mix(k) % np.uint64(shards)).astype(np.int64) for k in (key, c_key))
-        by, c_by = np.argsort(to, kind="stable"), np.lexsort((c_key, c_to))
-        cut, c_cut = np.searchsorted(to[by], np.arange(shards + 1)), np.searchsorted(c_to[c_by], np.arange(shards + 1))
-        out = []
-        for s in range(shards):
-            rows, cs = by[cut[s] : cut[s + 1]], c_by[c_cut[s] : c_cut[s + 1]]
-            out.append((rows, key[rows], c_row[cs], c_key[cs]))
-        return out
-
-    def requests(self, n: int, total: int, shards: int):
-        if n == 1:
-            to, own = self.unigram_request(shards)
-            for s in range(shards):
-                m = to == s
-                if m.any():
-                    yield s, pack(self.words[m], own[m])
-            return
-        g = self.level(n, total, shards)[-1]
-        for s, (rows, key, c_row, c_key) in enumerate(self.deal(g, shards)):
-            if len(c_row):
-                w = g["g_word"][rows]
-                yield s, pack(c_key, g["ctx_count"][c_row].astype(np.int64), np.searchsorted(c_key, key).astype(np.uint32), w.astype(np.uint32), (w >> np.uint64(32)).astype(np.uint8), g["own"][rows])
-
-    def level(self, upto: int, total: int, shards: int) -> list[dict]:
-        """The n-gram tables of orders 2..upto; those below ``upto`` with the shards' answers."""
-        c, out = self.counts(shards), []
-        for n in range(2, upto + 1):
-            g = self.grams(n, c, total, shards, out[-1] if out else None)
-            prob, count, mass = np.zeros(len(g["key"])), np.zeros(len(g["key"]), np.int64), np.zeros(len(g["ctx"]))
-            dealt = self.deal(g, shards) if n in self.replies else []
-            for s, body in self.replies.get(n, []):
-                code, seen, m = unpack(body)
-                rows, _, c_row, _ = dealt[s]
-                prob[rows], count[rows] = decode(code), seen
-                np.add.at(mass, c_row, m)
-            g |= {"prob": prob, "count": count, "mass": mass}
-            out.append(g)
-        return out
-
-    def scores(self, total: int, vocabulary: int, shards: int, order: int):
-        c = self.counts(shards)[self.tok]
-        base = (c + 0.5) / (total + 0.5 * (vocabulary + 1))
-        p = base.copy()
-        for g in self.level(order, total, shards):
-            ctx, gram = g["context"], g["gram"]
-            p *= np.append(1.0 - np.minimum(g["mass"], 0.999999), 1.0)[ctx]
-            p += np.append(g["prob"], 0.0)[gram]
+        gram, names, before = self.tok, self.words, None
+        yield self.dealt(gram, before, names, names)
+        for n in range(2, self.order + 1):
+            if n == 2:
+                before, known = np.r_[np.uint32(0), self.tok[:-1]], names  # the end token is number 0
+            else:
+                before, known = np.r_[np.uint32(0), gram[:-1] + np.uint32(1)], np.r_[END + np.uint64(n), names]
+            before[self.start] = 0
+            pair, gram = np.unique(before.astype(np.uint64) << np.uint64(32) | self.tok, return_inverse=True)
+            gram = gram.astype(np.uint32)
+            ctx = known[(pair >> np.uint64(32)).astype(np.int64)]
+            names = mix(ctx + mix(self.words[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]))
+            key = mix(ctx) >> np.uint64(64 - self.bits[0]) << np.uint64(self.bits[1]) | names >> np.uint64(64 - self.bits[1])
+            yield self.dealt(gram, before, names, key)
+
+    def dealt(self, gram, before, names, key) -> dict:
+        to = (names % np.uint64(self.shards)).astype(np.uint16 if self.shards < 65536 else np.uint32)
+        by = np.argsort(key)
+        by = by[np.argsort(to[by], kind="stable")]
+        return {"gram": gram, "before": before, "key": key, "by": by, "cut": np.searchsorted(to[by], np.arange(self.shards + 1))}
+
+    def requests(self) -> Iterator[bytes]:
+        """What to ask of each shard: keys and training counts of each order."""
+        asked = []
+        for g in self.levels():
+            own = np.bincount(g["gram"][self.taught], minlength=len(g["key"]))[g["by"]]
+            asked.append((g["key"][g["by"]], own, g["cut"]))
+        for s in range(self.shards):
+            parts = [(key[cut[s] : cut[s + 1]], own[cut[s] : cut[s + 1]]) for key, own, cut in asked]
+            yield pack(*(x for key, own in parts for x in (gaps(key), narrow(own))))
+
+    def scores(self, replies: dict[int, bytes], total: int, vocabulary: int, priors: tuple[float, ...]):
+        """Known words, base score and model score of every document."""
+        answers = {s: unpack(body) for s, body in replies.items()}
+        p = count = None
+        for n, g in enumerate(self.levels(), 1):
+            above = count
+            count = np.zeros(len(g["key"]))
+            for s, a in answers.items():
+                count[g["by"][g["cut"][s] : g["cut"][s + 1]]] = a[n - 1] if n == 1 else count_of(a[n - 1])
+            if n == 1:
+                first = count[0]  # a start is what follows an end
+                known = count[g["gram"]]
+                base = p = (known + 0.5) / (total + 0.5 * (vocabulary + 1))
+            else:
+                prior = priors[min(n, len(priors) + 1) - 2]
+                of = (above if n == 2 else np.r_[first, above])[g["before"]]
+                p = np.minimum((count[g["gram"]] + prior * p) / (of + prior), 1.0)
         add = lambda x: np.add.reduceat(x, self.start)
-        return add((c > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(p))
+        return add((known > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(p))
+
 
+def key_bits(size: int, shards: int) -> tuple[int, int]:
+    """Bits of context and successor in a key, so that with the shard an n-gram is taken for another once in millions, on a corpus of ``size`` bytes."""
+    bits = min(64, max(40, 22 + max(1, size // 4).bit_length() - shards.bit_length()))
+    return max(16, bits - 32), min(32, bits - 16)
 
-def unigram_rows(shards: int):
-    """What each block asks of the shards of single words; the blocks themselves stay where they are."""
 
+def request_rows(order: int, shards: int, bits: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for blk, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                asked = list(Block(body, {}).requests(1, 0, shards))
-                yield pa.record_batch({"blk": pa.array([blk] * len(asked), pa.int64()), "n": pa.array([1] * len(asked), pa.int32()), "shard": pa.array([a[0] for a in asked], pa.int32()), "body": pa.array([a[1] for a in asked], pa.binary())})
+            for blk, body in zip(b.column("blk").to_pylist(), b.column("body")):
+                asked, first = [], 0
+                for s, message in enumerate(Block(body.as_py(), order, shards, bits).requests()):
+                    asked.append(message)
+                    if len(asked) == 4096 or s + 1 == shards:
+                        yield pa.record_batch({"blk": pa.array([blk] * len(asked), pa.int64()), "shard": pa.array(range(first, s + 1), pa.int32()), "body": pa.array(asked, pa.binary())})
+                        asked, first = [], s + 1
+                pa.default_memory_pool().release_unused()
 
     return run
 
 
-def request_rows(n: int, total: int, shards: int):
-    def run(_key, blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        rows = [(int(k), s, b) for k, block in opened(blocks, replies) for s, b in block.requests(n, total, shards)]
-        pa.default_memory_pool().release_unused()
-        return pa.table({"blk": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([n] * len(rows), pa.int32()), "shard": pa.array([r[1] for r in rows], pa.int32()), "body": pa.array([r[2] for r in rows], pa.binary())})
+def answer_rows(bits: tuple[int, int]):
+    """One shard: build its part of the trie from all blocks' counts, and answer each block."""
+    low, mask = np.uint64(bits[1]), np.uint64((1 << bits[1]) - 1)
+
+    def run(t: pa.Table) -> pa.Table:
+        return answer(t, low, mask)
 
     return run
 
 
-def opened(blocks: pa.Table, replies: pa.Table | None):
-    for i in range(blocks.num_rows):
-        held: dict[int, list] = {}
-        if replies is not None:
-            for n, s, b in zip(replies["n"].to_pylist(), replies["shard"].to_pylist(), replies["body"].to_pylist()):
-                held.setdefault(n, []).append((s, b))
-        yield blocks["blk"][i].as_py(), Block(blocks["body"][i].as_py(), held)
-
-
-def answer(t: pa.Table) -> pa.Table:
-    """One shard of one order: build its part of the trie from all blocks' counts, and answer each of them."""
-    n = t["n"][0].as_py()
-    asked = [unpack(b) for b in t["body"].to_pylist()]
-    if n == 1:
-        words, where = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        c = np.zeros(len(words), np.int64)
-        np.add.at(c, where, np.concatenate([a[1] for a in asked]))
-        cut, out = np.cumsum([0, *(len(a[0]) for a in asked)]), []
-        for i in range(len(asked)):
-            out.append(pack(c[where[cut[i] : cut[i + 1]]]))
-        seen = [int(c.sum()), int((c > 0).sum())]
-    else:
-        ctx, where = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        size = np.zeros(len(ctx), np.int64)
-        size[where] = np.concatenate([a[1] for a in asked])
-        cut = np.cumsum([0, *(len(a[0]) for a in asked)])
-        rank = [where[cut[i] : cut[i + 1]][a[2]] for i, a in enumerate(asked)]
-        word = [a[3].astype(np.uint64) | a[4].astype(np.uint64) << np.uint64(32) for a in asked]
-        full = np.concatenate([(r.astype(np.uint64) << np.uint64(SUCCESSOR_BITS)) | w for r, w in zip(rank, word)])
-        uniq, at = np.unique(full, return_inverse=True)
-        c = np.zeros(len(uniq), np.int64)
-        np.add.at(c, at, np.concatenate([a[5] for a in asked]))
-        kept = c >= 2
-        r = (uniq[kept] >> np.uint64(SUCCESSOR_BITS)).astype(np.int64)
-        p = np.minimum((c[kept] - DISCOUNT) / np.maximum(size[r], 1), 1.0)
-        trie = TrieLevel(ctx, r, uniq[kept] & WORD_MASK, p)
-        mass, count, out = trie.mass(), c[kept], []
-        for i, a in enumerate(asked):
-            code, place = trie.lookup(ctx[rank[i]], word[i])
-            got = np.where(place >= 0, count[np.maximum(place, 0)] if len(count) else 0, 0)
-            out.append(pack(code, got.astype(np.uint32), mass[where[cut[i] : cut[i + 1]]]))
-        seen = [0, 0]
-    return pa.table({"blk": t["blk"], "n": t["n"], "shard": t["shard"], "body": pa.array(out, pa.binary()), "total": pa.array([seen[0]] + [0] * (len(out) - 1), pa.int64()), "kinds": pa.array([seen[1]] + [0] * (len(out) - 1), pa.int64())})
-
-
-def score_rows(total: int, vocabulary: int, shards: int, order: int, kind: pa.DataType):
+def answer(t: pa.Table, low: np.uint64, mask: np.uint64) -> pa.Table:
+    asked = [unpack(b.as_py()) for b in t["body"]]
+    replies: list[list[np.ndarray]] = [[] for _ in asked]
+    total = kinds = 0
+    for n in range(1, len(asked[0]) // 2 + 1):
+        keys = [np.cumsum(a[2 * n - 2]) for a in asked]
+        cut = np.cumsum([0, *map(len, keys)])
+        key, where = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(where, np.concatenate([a[2 * n - 1] for a in asked]), minlength=len(key)).astype(np.int64)
+        if n == 1:
+            total, kinds, told = int(count.sum()), int((count > 0).sum()), count
+        else:
+            seen = count > 0
+            trie = TrieLevel(key[seen] >> low, key[seen] & mask, count_code(count[seen]))
+            told = trie.lookup(key >> low, key & mask)
+        told = told[where]
+        for i, r in enumerate(replies):
+            part = told[cut[i] : cut[i + 1]]
+            r.append(narrow(part) if n == 1 else part)
+    pa.default_memory_pool().release_unused()
+    return pa.table({
+        "blk": t["blk"], "shard": t["shard"], "body": pa.array([pack(*r) for r in replies], pa.binary()),
+        "total": pa.array([total] * len(asked), pa.int64()), "kinds": pa.array([kinds] * len(asked), pa.int64()),
+    })
+
+
+def score_rows(order: int, shards: int, bits: tuple[int, int], priors: tuple[float, ...], kind: pa.DataType):
+    """A block with all shards' answers to its documents' scores; the shards' totals add up to those of the corpus."""
+
     def run(_key, blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        parts = []
-        for i, (_, block) in enumerate(opened(blocks, replies)):
-            known, base, score = block.scores(total, vocabulary, shards, order)
-            parts.append(pa.table({"id": pa.array(blocks["ids"][i].as_py(), kind), "held_out": pa.array(block.train == 0), "n_tokens": pa.array(block.lens, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base), "score": pa.array(score)}))
+        if blocks.num_rows != 1 or replies.num_rows != shards:
+            raise RuntimeError(f"{blocks.num_rows} blocks meet {replies.num_rows} of {shards} answers: the documents changed while they were read")
+        total, kinds = sum(replies["total"].to_pylist()), sum(replies["kinds"].to_pylist())
+        block = Block(blocks["body"][0].as_py(), order, shards, bits)
+        known, base, score = block.scores(dict(zip(replies["shard"].to_pylist(), replies["body"].to_pylist())), total, kinds, priors)
         pa.default_memory_pool().release_unused()
-        return pa.concat_tables(parts)
+        return pa.table({
+            "id": pa.array(blocks["ids"][0].as_py(), kind), "held_out": pa.array(block.train == 0), "n_tokens": pa.array(block.lens, pa.int64()),
+            "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([total] * len(known), pa.int64()), "base_score": pa.array(base), "score": pa.array(score),
+        })
 
     return run
 
 
-def lm_scores(docs: DataFrame, *, order: int = 2, folds: int = 5, held: int = 1, shards: int | None = None, block_bytes: int = 5_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, *, order: int = 3, folds: int = 5, held: int = 1, priors: tuple[float, ...] = PRIORS, shards: int | None = None, shard_bytes: int = 6_000_000, block_bytes: int = 10_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row's whole text.
 
     Documents whose crc32 of the id as text, modulo ``folds``, is ``held`` teach the model nothing. A null text is
     empty (one end token); a null id is scored, with a null id, and teaches; repeated rows are texts of their own;
-    extra columns are ignored; an empty table gives no rows. ``shards`` follows the corpus by default.
+    extra columns are ignored; an empty table gives no rows; a text of any length is one block at most. ``docs`` must
+    give the same rows in the same order when it is read twice, as files do; a change is noticed and raises an error.
+
+    Blocks and shards follow the corpus: each block sends each shard one message, so both sizes should grow with the
+    executors' memory on large corpora (256 MB each at 100 TB makes messages of some hundred n-grams).
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     require(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if shards is None:
-        size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(64, -(-size // 8_000_000))
-    blocks = stored(base.mapInArrow(block_rows(folds, held, block_bytes), f"blk long, ids array<{kind.simpleString()}>, body binary"), "lm-blocks")
-    answers, total, kinds = None, 0, 0
-    for n in range(1, order + 1):
-        if n == 1:
-            asked = blocks.select("blk", "body").mapInArrow(unigram_rows(shards), REPLY)
-        else:
-            asked = blocks.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(request_rows(n, total, shards), REPLY)
-        told = stored(asked.groupBy("shard").applyInArrow(answer, REPLY + ", total long, kinds long"), f"lm-answers-{n}")
-        if n == 1:
-            total, kinds = (int(x or 0) for x in told.agg(F.sum("total"), F.sum("kinds")).first())
-        told = told.select("blk", "n", "shard", "body")
-        del asked
-        release(docs.sparkSession)
-        answers = told if answers is None else answers.unionByName(told)
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    schema = f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = blocks.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(score_rows(total, kinds, shards, order, to_arrow_type(kind)), schema)
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = shards or max(16, -(-size // shard_bytes))
+    parts, bits = max(16, -(-size // block_bytes)), key_bits(size, shards)
+    blocks = base.mapInArrow(block_rows(folds, held, block_bytes), f"blk long, ids array<{kind.simpleString()}>, body binary").repartition(parts, "blk")
+    asked = blocks.mapInArrow(request_rows(order, shards, bits), "blk long, shard int, body binary")
+    told = asked.repartition(max(16, shards // 2), "shard").groupBy("shard").applyInArrow(answer_rows(bits), REPLY)
+    schema = f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = blocks.groupBy("blk").cogroup(told.groupBy("blk")).applyInArrow(score_rows(order, shards, bits, tuple(priors), to_arrow_type(kind)), schema)
+    return out.withColumnRenamed("id", id_col)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,41 +218,56 @@ def test_elias_fano_round_trip():
         v = np.sort(R.integers(0, 1 << 50, n).astype(np.uint64))
         e = elias_fano.EliasFano(v)
         assert (e.values() == v).all() and (not n or (v[e.find(v)] == v).all()) and (e.find(v + np.uint64(1))[~np.isin(v + np.uint64(1), v)] == -1).all()
-    t = elias_fano.TrieLevel(np.array([3, 9], np.uint64), np.array([0, 0, 1]), np.array([1, 7, 7], np.uint64), np.array([0.5, 0.25, 0.125]))
-    code, at = t.lookup(np.array([3, 9, 9, 4], np.uint64), np.array([7, 7, 1, 1], np.uint64))
-    assert at.tolist() == [1, 2, -1, -1] and elias_fano.decode(code) == pytest.approx([0.25, 0.125, 0, 0], rel=1e-3) and t.mass() == pytest.approx([0.75, 0.125], rel=1e-3)
+    t = elias_fano.TrieLevel(np.array([3, 3, 9], np.uint64), np.array([1, 7, 7], np.uint64), elias_fano.count_code(np.array([5, 1, 70000])))
+    code = t.lookup(np.array([3, 3, 4, 9, 9], np.uint64), np.array([7, 8, 7, 1, 7], np.uint64))
+    assert elias_fano.count_of(code) == pytest.approx([1, 0, 0, 0, 70000], rel=3e-4)
+    none = np.zeros(0, np.uint64)
+    assert elias_fano.TrieLevel(none, none, none.astype(np.uint16)).lookup(np.array([1], np.uint64), np.array([1], np.uint64)).tolist() == [0]
 
 
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_language_model(spark, order):
-    texts = [" ".join(WORDS[:6] * 3), prose(60, 1), prose(60, 1), None, "", "A\tb  C", *(prose(25, 10 + i) for i in range(20))]
-    got = {r.doc_id: r for r in lm_score.lm_scores(docs_of(spark, texts), order=order, shards=5, block_bytes=300).collect()}
-    toks = [(t or "").lower().split() + ["</>"] for t in texts]
-    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
-    grams = [Counter() for _ in range(order + 1)]
+    texts = [" ".join(WORDS[:6] * 3), prose(60, 1), prose(60, 1), None, "", "A\tb  C", *(prose(25, 10 + i) for i in range(20)), " ".join(WORDS[:3] * 400)]
+    d = docs_of(spark, texts).unionByName(docs_of(spark, [prose(30, 2)]).withColumn("doc_id", F.lit(None).cast("long")))
+    ids, texts = [*range(len(texts)), None], [*texts, prose(30, 2)]
+    got = {r.doc_id: r for r in lm_score.lm_scores(d, order=order, priors=(20.0, 2.0), shards=5, block_bytes=300).collect()}
+    toks = [["</>", *(t or "").lower().split(), "</>"] for t in texts]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i in ids]
+    grams = Counter()
     for t, h in zip(toks, held):
         if not h:
-            p = ["</>", *t]
-            for n in range(1, order + 1):
-                for i in range(1 if n == 1 else 0, len(p) - n + 1):
-                    if n < 3 or i + n <= len(p):
-                        grams[n][tuple(p[i : i + n])] += 1
-    total, kinds = sum(grams[1].values()), len(grams[1])
-    for i, t in enumerate(toks):
-        assert got[i].held_out == held[i] and got[i].n_tokens == len(t) and got[i].n_known == sum(grams[1][(w,)] > 0 for w in t) and got[i].train_tokens == total
-        assert got[i].base_score == pytest.approx(sum(np.log10((grams[1][(w,)] + 0.5) / (total + 0.5 * (kinds + 1))) for w in t))
-    if order == 2:
-        after = Counter()
-        for (a, b), c in grams[2].items():
-            if c >= 2 and grams[1][(a,)] >= 2 and grams[1][(b,)] >= 2:
-                after[a] += (c - 0.75) / grams[1][(a,)]
-        for i, t in enumerate(toks):
-            s = 0.0
-            for a, b in zip(["</>", *t], t):
-                c = grams[2][(a, b)] if grams[1][(a,)] >= 2 and grams[1][(b,)] >= 2 else 0
-                s += np.log10(((c - 0.75) / grams[1][(a,)] if c >= 2 else 0) + (1 - min(after[a], 0.999999)) * (grams[1][(b,)] + 0.5) / (total + 0.5 * (kinds + 1)))
-            assert got[i].score == pytest.approx(s, rel=2e-3)
-    assert lm_score.lm_scores(docs_of(spark, texts).limit(0)).count() == 0
+            grams.update(tuple(t[max(0, i - n + 1) : i + 1]) for n in range(1, order + 1) for i in range(1, len(t)) if n == 1 or i >= n - 1)
+    total, kinds = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    begins = grams[("</>",)]
+    for i, t, h in zip(ids, toks, held):
+        base = [(grams[(w,)] + 0.5) / (total + 0.5 * (kinds + 1)) for w in t[1:]]
+        assert got[i].held_out == h and got[i].n_tokens == len(base) and got[i].n_known == sum(grams[(w,)] > 0 for w in t[1:]) and got[i].train_tokens == total
+        assert got[i].base_score == pytest.approx(sum(np.log10(base)))
+        score = 0.0
+        for j, p in enumerate(base, 1):
+            for n in range(2, order + 1):
+                prior = (20.0, 2.0)[min(n, 3) - 2]
+                if j >= n - 1:
+                    ctx = tuple(t[j - n + 1 : j])
+                    c, of = grams[(*ctx, t[j])], grams[ctx]
+                else:  # texts begin: a context of ends alone, as often as texts are; then what follows it
+                    c = of = 0
+                    c, of = starts(grams, t, j, n, begins)
+                p = min(1.0, (c + prior * p) / (of + prior))
+            score += np.log10(p)
+        assert got[i].score == pytest.approx(score, rel=1e-3, abs=2e-4 * len(t)), i
+    assert lm_score.lm_scores(docs_of(spark, texts).limit(0), order=order).count() == 0
+
+
+def starts(grams, t, j, n, begins):
+    """Counts of a short context at a text's start: it counts as often as what it holds of the text after its start."""
+    shorter = grams[tuple(t[: j + 1])]
+    return shorter, begins if j == 1 else grams[tuple(t[:j])]
+
+
+def test_language_model_notices_changed_documents():
+    with pytest.raises(RuntimeError):
+        lm_score.score_rows(2, 3, (16, 24), (1.0,), None)(None, pa.table({"blk": [1]}), pa.table({"shard": [0]}))
 
 
 # ---- personal data
