@@ -38,13 +38,8 @@ def grid(raw: np.ndarray) -> np.ndarray:
     return np.concatenate([raw, np.zeros((n - 1) * STRIDE + WIDTH - len(raw), np.uint8)])
 
 
-def halves(n: int) -> int:
-    return max(1, -(-n // STEP))
-
-
-def pooled(raw: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
-    """Max-pooled filter responses of every chunk of one text; a slice at a time, so memory doesn't grow with the text."""
-    data, tops = grid(raw), []
+def responses(data: np.ndarray, p: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+    """Filter responses of all windows, a slice at a time in whole steps, so memory doesn't grow with the text; the last is padded."""
     windows = (len(data) - WIDTH) // STRIDE + 1
     for at in range(0, windows, SLICE):
         n = min(SLICE, windows - at)
@@ -54,8 +49,12 @@ def pooled(raw: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
         pad = -n % STEP
         if pad:
             act = np.concatenate([act, np.full((pad, FILTERS), -np.inf, np.float32)])
-        tops.append(act.reshape(-1, STEP, FILTERS).max(1))
-    half = np.concatenate(tops)
+        yield act.reshape(-1, STEP, FILTERS)
+
+
+def pooled(raw: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+    """Max-pooled filter responses of every chunk of one text."""
+    half = np.concatenate([act.max(1) for act in responses(grid(raw), p)])
     both = np.maximum(half[:-1], half[1:]) if len(half) > 1 else half
     return np.maximum(both + p["bias"], 0)
 
@@ -67,28 +66,38 @@ def score_text(raw: bytes, p: dict[str, np.ndarray]) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def strongest(data: np.ndarray, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every chunk and filter the greatest response and its window."""
+    top, arg, at = [], [], 0
+    for act in responses(data, p):
+        best = act.argmax(1)
+        top.append(np.take_along_axis(act, best[:, None], 1)[:, 0])
+        arg.append(best + (at + np.arange(len(act)) * STEP)[:, None])
+        at += act.shape[0] * STEP
+    top, arg = np.concatenate(top), np.concatenate(arg)
+    if len(top) > 1:
+        later = top[1:] > top[:-1]
+        top, arg = np.where(later, top[1:], top[:-1]), np.where(later, arg[1:], arg[:-1])
+    return top, arg
+
+
 def gradients(raws: list[bytes], ys: np.ndarray, ws: np.ndarray, p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Mean gradient over whole texts; only the windows that won a chunk take part, a slice at a time."""
     g = {k: np.zeros_like(v) for k, v in p.items()}
     for raw, y, w in zip(raws, ys, ws):
         data = grid(np.frombuffer(raw, np.uint8))
-        at = np.arange((len(data) - WIDTH) // STRIDE + 1)[:, None] * STRIDE + np.arange(WIDTH)
-        ids = data[at]
-        rows = p["emb"][ids].reshape(len(ids), -1)
-        act = rows @ p["conv"] + p["bias"]
-        n = halves(len(act))
-        spans = [(i * STEP, min(len(act), i * STEP + CHUNK)) for i in range(max(1, n - 1))]
-        arg = np.stack([act[a:b].argmax(0) + a for a, b in spans])
-        top = np.maximum(act[arg, np.arange(FILTERS)], 0)
+        best, arg = strongest(data, p)
+        top = np.maximum(best + p["bias"], 0)
         pre = top @ p["hid"] + p["hbias"]
         h = np.maximum(pre, 0)
-        best = h.argmax(0)
-        both = np.concatenate([h.mean(0), h[best, np.arange(HIDDEN)]])
+        peak = h.argmax(0)
+        both = np.concatenate([h.mean(0), h[peak, np.arange(HIDDEN)]])
         z = np.clip(both @ p["out"] + p["obias"][0], -30, 30)
         d = np.float32(w * (1 / (1 + np.exp(-z)) - y))
         g["out"] += d * both
         g["obias"] += d
         dh = np.tile(d * p["out"][:HIDDEN] / len(h), (len(h), 1))
-        np.add.at(dh, (best, np.arange(HIDDEN)), d * p["out"][HIDDEN:])
+        np.add.at(dh, (peak, np.arange(HIDDEN)), d * p["out"][HIDDEN:])
         dh *= pre > 0
         g["hid"] += top.T @ dh
         g["hbias"] += dh.sum(0)
@@ -97,8 +106,11 @@ def gradients(raws: list[bytes], ys: np.ndarray, ws: np.ndarray, p: dict[str, np
         used, inverse = np.unique(arg, return_inverse=True)
         dact = np.zeros((len(used), FILTERS), np.float32)
         np.add.at(dact, (inverse.reshape(arg.shape), np.arange(FILTERS)), dtop)
-        g["conv"] += rows[used].T @ dact
-        np.add.at(g["emb"], ids[used].reshape(-1), (dact @ p["conv"].T).reshape(-1, EMBED))
+        for i in range(0, len(used), SLICE):
+            ids, d_act = data[used[i : i + SLICE, None] * STRIDE + np.arange(WIDTH)], dact[i : i + SLICE]
+            g["conv"] += p["emb"][ids].reshape(len(ids), -1).T @ d_act
+            flat, add = ids.reshape(-1), (d_act @ p["conv"].T).reshape(-1, EMBED)
+            g["emb"] += np.stack([np.bincount(flat, add[:, j], 256) for j in range(EMBED)], 1).astype(np.float32)
     return {k: v / len(raws) for k, v in g.items()}
 
 
@@ -127,35 +139,45 @@ def train(raws: list[bytes], labels: list[int], *, epochs: int = 6, batch: int =
     return p
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held: int = 2, sample: int = 3000, sample_bytes: int = 8192, epochs: int = 6) -> dict[str, np.ndarray]:
-    """Train on at most ``sample`` labelled rows outside the held-out fold, those of least hashed id.
+def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held: int = 2, sample: int = 3000, sample_bytes: int = 64_000_000, epochs: int = 6) -> dict[str, np.ndarray]:
+    """Train on a bounded sample of labelled rows outside the held-out fold: those of least hashed id, ``sample`` rows and ``sample_bytes`` of text at most.
 
-    Of a training text at most ``sample_bytes`` bytes are used, from a place that the id's hash gives; scoring reads whole
-    texts. Rows with a null id, text or label are left out; of repeated labels the least counts.
+    Training texts are whole. Rows with a null id, text or label are left out; of repeated labels the least counts, of
+    texts that repeat an id the least. Empty tables give a model that scores 0.5.
     """
     y = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     y = y.where(crc_mod("doc_id", folds) != held)
     chosen = y.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).orderBy("h", "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    n = F.greatest(F.lit(0), F.length("text") - sample_bytes // 2)
-    cut = rows.select("h", "doc_id", "quality", F.expr("text").alias("text"), n.alias("n")).selectExpr("h", "doc_id", "quality", f"cast(substring(text, cast(pmod(h, n + 1) as int) + 1, {sample_bytes // 2}) as binary) as raw")
-    got = sorted(map(tuple, cut.dropDuplicates(["doc_id"]).collect()), key=lambda r: (r[0], r[1]))
-    return train([bytes(r[3]) for r in got], [r[2] for r in got], epochs=epochs)
-
-
-def quality_scores(docs: DataFrame, weights: dict[str, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id``, the columns in ``keep`` and ``score`` for every row, from the whole text's bytes alone.
-
-    One map pass, no shuffle. A null text scores as the empty text; a null id stays; repeated rows repeat.
+    sizes = rows.groupBy("h", "doc_id").agg(F.max(F.octet_length("text")).alias("n")).orderBy("h", "doc_id").collect()  # ``sample`` rows at most
+    room, last = sample_bytes, None
+    for r in sizes:
+        room -= r["n"]
+        if room < 0:
+            break
+        last = r["h"]
+    if last is None:
+        return train([], [], epochs=epochs)
+    got = rows.where(F.col("h") <= last).groupBy("h", "doc_id", "quality").agg(F.min("text").alias("text")).orderBy("h", "doc_id").collect()
+    return train([r["text"].encode() for r in got], [r["quality"] for r in got], epochs=epochs)
+
+
+def quality_scores(docs: DataFrame, weights: dict[str, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
+    """``id``, the columns in ``keep`` and ``score_col`` for every row, from the whole text's bytes alone.
+
+    One map pass, no shuffle. A null text scores as the empty text; a null id stays; repeated rows repeat; an empty
+    table gives no rows; other columns are ignored, and one in ``keep`` may not be named as the score.
     """
     require(docs, id_col, text_col)
+    held = [id_col, *keep]
+    if score_col.lower() in [c.lower() for c in held]:
+        raise ValueError(f"{score_col} is kept: name the score otherwise")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = [score_text(x.as_buffer().to_pybytes() if x.is_valid else b"", weights) for x in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], score_col])
 
-    held = [id_col, *keep]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in held) + ", score double"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in held) + f", `{score_col}` double"
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__raw")
     return docs.select(*held, raw).mapInArrow(run, schema)
