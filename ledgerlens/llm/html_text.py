@@ -22,7 +22,9 @@ from ledgerlens.llm.common import require
 S, C, B = 0, 1, 2
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
 ATTR = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
+BARE = re.compile(r"(?:^|\s)hidden(?=\s*=?\s|/|=|$)", re.I)
+STYLE = re.compile(r"(?:^|\s)style\s*=\s*(?:\"[^\"]*(?:display\s*:\s*none|visibility\s*:\s*hidden)|'[^']*(?:display\s*:\s*none|visibility\s*:\s*hidden)|display:none)", re.I)
 #: HTML's elements by how they behave.
 RAW = frozenset("script style noscript template iframe textarea title svg math object select button".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -80,16 +82,24 @@ def kind_of(attrs: str) -> int:
     return 0
 
 
+def hidden(attrs: str | None) -> bool:
+    """Whether an element's attributes keep it from being shown; classes and values that only name hiding don't."""
+    if not attrs or attrs.isspace():
+        return False
+    return bool(STYLE.search(attrs) or BARE.search(QUOTED.sub("= ", attrs)))
+
+
 def parse(source: str) -> Page:
-    """The DOM's blocks and text runs, with omitted end tags put in. Never fails: what isn't markup is text."""
-    page, stack, run, links, in_link, at = Page(), [("html", 0)], [], 0, False, 0
+    """The DOM's blocks and text runs, with omitted end tags put in and hidden elements left out. Never fails: what isn't markup is text."""
+    page, stack, run, links, in_link, at = Page(), [("html", 0, False)], [], 0, False, 0
+    veil, veils = "", 0  # the hidden inline element that is open, and how many of its name
     low = None
 
     def flush():
         nonlocal links
         if run:
             text = " ".join(html.unescape("".join(run)).split())
-            if text:
+            if text and not stack[-1][2]:
                 page.add(stack[-1][1], "#text", 0, text, min(links, len(text)))
             run.clear()
         links = 0
@@ -100,7 +110,7 @@ def parse(source: str) -> Page:
     while at < size:
         m = search(source, at, last) if at < last else None
         piece = source[at : m.start()] if m else source[at:]
-        if piece:
+        if piece and not veils:
             run.append(piece)
             if in_link:
                 links += len(piece)
@@ -113,10 +123,13 @@ def parse(source: str) -> Page:
         name = name.lower()
         if name == "br":
             run.append(" ")
-        elif name == "a":
-            in_link = not m.group(1)
         elif name in INLINE:
-            pass
+            if name == "a":
+                in_link = not m.group(1)
+            if veils and name == veil:
+                veils += -1 if m.group(1) else 1
+            elif not veils and not m.group(1) and hidden(m.group(3)):
+                veil, veils = name, 1
         elif name in RAW:
             if not m.group(1):
                 low = source.lower() if low is None else low
@@ -132,9 +145,9 @@ def parse(source: str) -> Page:
             else:
                 run.append(" ")
         elif m.group(1):
-            if any(t == name for t, _ in stack):
+            if any(x[0] == name for x in stack):
                 flush()
-                in_link = False
+                in_link, veils = False, 0
                 while stack[-1][0] != name:
                     stack.pop()
                 if len(stack) > 1:
@@ -143,7 +156,7 @@ def parse(source: str) -> Page:
                 flush()
         else:
             flush()
-            in_link = False
+            in_link, veils = False, 0
             if name in ("html", "body", "head"):
                 if name != "body":
                     continue
@@ -159,10 +172,7 @@ def parse(source: str) -> Page:
                     if stack[i][0] in SCOPE:
                         break
             attrs = m.group(3)
-            kind = kind_of(attrs)
-            if attrs and HIDDEN.search(attrs):
-                kind = KINDS.index("notice")
-            stack.append((name, page.add(stack[-1][1], name, kind)))
+            stack.append((name, page.add(stack[-1][1], name, kind_of(attrs)), stack[-1][2] or hidden(attrs)))
     flush()
     return page
 

@@ -178,6 +178,20 @@ def test_main_text(spark):
     assert got[2].text == got[3].text == "" and got[None].text.startswith("The story") and html_text.extract(d.limit(0)).count() == 0
 
 
+def test_hidden_parts():
+    model = html_text.Model(html_text.labelled_pages())
+    body = "The story goes on for a good while here, so that nobody takes it for a menu."
+    cases = {
+        f"<main><h1>T</h1><p>{body}<span style='display:none'>SECRET</span> End.</p></main>": f"T\n\n{body} End.",
+        f"<main><h1>T</h1><p>{body} <span hidden>SE<span>CR</span>ET</span>End.</p></main>": f"T\n\n{body} End.",
+        f"<main><h1>T</h1><div style=\"color:red; display: none\"><p>SECRET words that stay unseen</p></div><p>{body}</p></main>": f"T\n\n{body}",
+        f"<main><h1>T</h1><div hidden><p>SECRET</div><p>{body}</p></main>": f"T\n\n{body}",
+        f"<main class='overflow-hidden'><h1>T</h1><p aria-hidden=\"false\" title='a hidden one'>{body}</p></main>": f"T\n\n{body}",
+        f"<nav><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></nav><main><h1>T</h1><p>{body}</p></main><footer><ul><li><a>Imprint</a></li></ul></footer>": f"T\n\n{body}",
+    }
+    assert {k: html_text.main_texts([k], model)[0] for k in cases} == cases
+
+
 def test_messages_equal_enumeration():
     model, page = html_text.Model(html_text.labelled_pages(60)), html_text.parse("<body><div><p>some words here</p></div><ul><li><a>x</a></li></ul></body>")
     f, n = html_text.features(page), len(page.parent)
