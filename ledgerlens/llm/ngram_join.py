@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import require, small_side, stored
 
 BINS, TOKENS = 256, 64
-LAMBDA = 0.8
 DEPTH = 3
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
@@ -72,13 +71,15 @@ def runs_for(recall: float, depth: int = DEPTH) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - q))
 
 
-LIMIT32 = np.uint64(int(2**64 / (LAMBDA * TOKENS)) - 1)
+def choice(threshold: float) -> np.uint64:
+    """Hashes under this choose a token: so many that two sets at the threshold choose one in common on each path, in the mean."""
+    return np.uint64(min(2**64 - 1, int(2**64 / (threshold * TOKENS))))
 
 
-def extend(path: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def extend(path: np.ndarray, tokens: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """Each path followed by every token that its hash chooses: (index of the path, longer path)."""
     h = mix(path[:, None] + tokens[None, :])
-    at, tok = np.nonzero(h < LIMIT32)
+    at, tok = np.nonzero(h < limit)
     return at, mix(h[at, tok] + tokens[tok])
 
 
@@ -87,12 +88,12 @@ def signature(u: np.ndarray) -> np.ndarray:
     return u[np.searchsorted(u, STARTS) % len(u)]
 
 
-def paths(tokens: np.ndarray, runs: int, depth: int = DEPTH) -> np.ndarray:
+def paths(tokens: np.ndarray, runs: int, limit: np.uint64, depth: int = DEPTH) -> np.ndarray:
     p = mix(np.arange(1, runs + 1, dtype=np.uint64))
     for _ in range(depth):
         if not len(p):
             break
-        p = extend(p, tokens)[1]
+        p = extend(p, tokens, limit)[1]
     return np.unique(p)
 
 
@@ -100,7 +101,7 @@ def tokens_of(sig: np.ndarray) -> np.ndarray:
     return mix(sig[:: BINS // TOKENS] + np.arange(TOKENS, dtype=np.uint64))
 
 
-def sketch_rows(n: int, runs: int):
+def sketch_rows(n: int, runs: int, limit: np.uint64):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for b in batches:
@@ -117,7 +118,7 @@ def sketch_rows(n: int, runs: int):
                 size.append(len(u))
                 bits.append(np.packbits((sig * M1 >> np.uint64(63)).astype(np.uint8)).tobytes())
                 toks.append(t.tobytes())
-                path.append(paths(t, runs).view(np.int64))
+                path.append(paths(t, runs, limit).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(key, pa.int64()), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), pa.array(toks, pa.binary()), pa.array(path, pa.list_(pa.int64()))],
                 names=["id", "k", "n", "bits", "toks", "paths"],
@@ -148,7 +149,7 @@ def estimates(n: np.ndarray, words: np.ndarray, i: int, other: np.ndarray, thres
     """Similarity of set i to others by sketch, and where it may reach the threshold."""
     ratio = np.minimum(n[other], n[i]) / np.maximum(n[other], n[i])
     est = 1 - 2 * np.bitwise_count(words[other] ^ words[i]).sum(1) / BINS
-    noise = 3.5 * np.sqrt(0.16 / np.minimum(np.minimum(n[other], n[i]), BINS / 2))
+    noise = 3.5 * np.sqrt(threshold * (1 - threshold) / np.minimum(np.minimum(n[other], n[i]), BINS / 2))
     return est, (ratio >= threshold) & (est >= threshold - noise)
 
 
@@ -281,21 +282,24 @@ def second_pass(threshold: float):
     return run
 
 
-def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        path, k = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-        for i in range(len(k)):
-            t = np.frombuffer(b.column(2)[i].as_py(), np.uint64)
-            p = extend(path[i : i + 1], t)[1].view(np.int64)
-            if len(p):
-                yield pa.record_batch({"path": pa.array(p), "k": pa.array(np.full(len(p), k[i]))})
+def longer(limit: np.uint64):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            path, k = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+            for i in range(len(k)):
+                t = np.frombuffer(b.column(2)[i].as_py(), np.uint64)
+                p = extend(path[i : i + 1], t, limit)[1].view(np.int64)
+                if len(p):
+                    yield pa.record_batch({"path": pa.array(p), "k": pa.array(np.full(len(p), k[i]))})
+
+    return run
 
 
 def over(rows: DataFrame, limit: int) -> DataFrame:
     return rows.groupBy("path").agg(F.count("*").alias("c")).where(f"c > {limit}")
 
 
-def buckets(reps: DataFrame, limit: int, splits: int) -> tuple[DataFrame, DataFrame | None]:
+def buckets(reps: DataFrame, limit: int, splits: int, chosen: np.uint64) -> tuple[DataFrame, DataFrame | None]:
     """(path, k, n, bits) of all buckets within the limit, and (home, c, k, n, bits) of those that no path parts."""
     side = reps.select("k", "n", "bits")
     rows = reps.select(F.explode("paths").alias("path"), "k", "n", "bits")
@@ -310,7 +314,7 @@ def buckets(reps: DataFrame, limit: int, splits: int) -> tuple[DataFrame, DataFr
         if level == splits:  # near copies, which share all tokens
             dense = split.select(F.col("path").alias("home"), "c", "k", "n", "bits")
             break
-        more = split.select("path", "k").join(reps.select("k", "toks"), "k").select("path", "k", "toks").mapInArrow(longer, "path long, k long")
+        more = split.select("path", "k").join(reps.select("k", "toks"), "k").select("path", "k", "toks").mapInArrow(longer(chosen), "path long, k long")
         rows = stored(more, "join-split").join(side, "k").select("path", "k", "n", "bits")
         big = over(rows, limit)
     every = [*done, rows] if rows is not None else done
@@ -328,18 +332,20 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def dense_rounds(dense: DataFrame, side: DataFrame, threshold: float, limit: int) -> tuple[list[DataFrame], list[DataFrame]]:
+def dense_rounds(dense: DataFrame, side: DataFrame, threshold: float, limit: int) -> tuple[list[DataFrame], list[DataFrame], list[tuple[DataFrame, DataFrame]]]:
     """Buckets over the limit: chunks are reduced to their leaders, which meet again, until they fit or stop shrinking; then chunks meet pairwise.
 
-    Returns pairs found, and the chunks (path, k) whose members the second pass compares.
+    Returns pairs found, the chunks (path, k) whose members the second pass compares, and of each round its chunks
+    (home, path, k) and what left with which leader (home, a, b).
     """
-    pairs, met, now = [], [], stored(dense, "join-dense")
-    chunk = F.pmod(F.xxhash64("k"), F.ceil(F.col("c") / limit))
+    pairs, met, rounds, now = [], [], [], stored(dense, "join-dense")
+    chunk = F.pmod(F.xxhash64("home", "k"), F.ceil(F.col("c") / limit))
     while not now.isEmpty():
         keyed = now.select(F.xxhash64("home", chunk).alias("path"), "k", "n", "bits", "home")
         found = stored(by_path(keyed).mapInArrow(first_pass(threshold, True), MEMBER), "join-lead")
         pairs.append(found.where("a is not null").select("a", "b"))
         met.append(found.where("k is not null").select("path", "k"))
+        rounds.append((keyed.select("home", "path", "k"), found.where("a <> b").select("home", "a", "b")))
         lead = found.where("a = b").select("home", F.col("a").alias("k")).distinct()
         sizes = lead.groupBy("home").agg(F.count("*").alias("c2"))
         state = stored(now.select("home", "c").distinct().join(sizes, "home").where(f"c > {limit}"), "join-size")
@@ -351,7 +357,20 @@ def dense_rounds(dense: DataFrame, side: DataFrame, threshold: float, limit: int
         met.append(both.select(F.explode(F.expr("transform(sequence(0, m - 1), y -> xxhash64(home, least(x, y), greatest(x, y), 7))")).alias("path"), "k"))
         go = state.where(f"not (c2 > {limit} and c2 > 0.7 * c)")
         now = stored(back.join(go.select("home", F.col("c2").alias("c")), "home").select("home", "c", "k", "n", "bits"), "join-dense")
-    return pairs, met
+    return pairs, met, rounds
+
+
+def parted(chunks: DataFrame, tied: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Buckets (path, k) for rows that left a dense bucket with a leader although the sets link them to none: each of them meets all chunks of its bucket."""
+    group = lambda c: roots.select(F.col("k").alias(c), F.col("root").alias(f"{c}_root"))
+    both = tied.join(group("a"), "a", "left").join(group("b"), "b", "left")
+    lost = both.groupBy("home", "b").agg(F.max(F.coalesce(F.col("a_root") == F.col("b_root"), F.lit(False))).alias("linked")).where("not linked")
+    lost = stored(lost.select("home", F.col("b").alias("k")), "join-lost")
+    if lost.isEmpty():
+        return None
+    path = F.xxhash64("path", F.lit("lost")).alias("path")
+    every = chunks.join(lost.select("home").distinct(), "home", "left_semi")
+    return every.select(path, "k").unionByName(every.select("home", "path").distinct().join(lost, "home").select(path, "k"))
 
 
 def set_rows(n: int):
@@ -465,25 +484,26 @@ def join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float =
     ``class_id`` is the least id of the group that links of similarity ``threshold`` or more connect, ``n_links`` the
     number of other rows at least so similar (copies among them), ``copies`` the rows with the same set. Rows without
     words and rows with a null id link to nothing (a null id has a null class); repeated rows are copies of each other;
-    extra columns are ignored; an empty table gives no rows. Recall at the threshold is ``recall`` for a pair that no
-    third text connects, higher above it.
+    extra columns are ignored; an empty table gives no rows. Recall at the threshold, whatever it is, is ``recall`` for a
+    pair that no third text connects, higher above it.
     """
     require(docs, id_col, text_col)
-    runs = runs_for(recall)
+    runs, limit = runs_for(recall), choice(threshold)
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = stored(base.mapInArrow(sketch_rows(n, runs), f"id {kind}, k long, n int, bits binary, toks binary, paths array<long>"), "join-rows")
+    rows = stored(base.mapInArrow(sketch_rows(n, runs, limit), f"id {kind}, k long, n int, bits binary, toks binary, paths array<long>"), "join-rows")
     reps = rows.where("k is not null and id is not null").groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.first(F.struct("n", "bits", "toks", "paths")).alias("x"))
     reps = stored(reps.select("k", "id", "w", "x.*"), "join-reps")
-    rows_of, dense = buckets(reps, bucket, splits)
+    rows_of, dense = buckets(reps, bucket, splits, limit)
     once = stored(by_path(rows_of).mapInArrow(first_pass(threshold), MEMBER), "join-first")
     pairs, members = [once.where("a is not null").select("a", "b")], [once.where("k is not null").select("path", "k")]
+    rounds: list[tuple[DataFrame, DataFrame]] = []
     if dense is not None:
-        more, met = dense_rounds(dense, reps.select("k", "n", "bits"), threshold, bucket)
+        more, met, rounds = dense_rounds(dense, reps.select("k", "n", "bits"), threshold, bucket)
         pairs, members = pairs + more, members + met
     # only these can be linked: their sets are made once
     used = members[0].select("k")
-    for m in members[1:]:
+    for m in [*members[1:], *(chunks for chunks, _ in rounds)]:
         used = used.unionByName(m.select("k"))
     used = stored(used.distinct().join(reps.select("k", "id"), "k"), "join-used")
     texts = base.join(used.select("id").distinct(), "id", "left_semi").select("text").mapInArrow(set_rows(n), "k long, s array<long>")
@@ -495,7 +515,7 @@ def join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float =
     roots = components(edges)
     # second pass: brute force between the groups that a bucket holds and that nothing joins yet
     left = members[0]
-    for m in members[1:]:
+    for m in [*members[1:], *filter(None, (parted(chunks, tied, roots) for chunks, tied in rounds))]:
         left = left.unionByName(m)
     left = stored(left.distinct().join(roots, "k", "left").select("path", "k", F.coalesce("root", "k").alias("root")), "join-members")
     open_ = left.groupBy("path").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("path")

@@ -76,6 +76,32 @@ def test_ngram_join(spark, small):
     assert {i: r.class_id for i, r in got.items()} == dict(enumerate(root))
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.9])
+def test_ngram_join_at_other_thresholds(spark, threshold):
+    r, texts = np.random.default_rng(4), []
+    for i in range(60):
+        base = prose(200, 1000 + i).split()
+        texts.append(" ".join(base))
+        for changes in r.integers(1, 1 + round(40 * (1 - threshold)), 2):
+            at = r.choice(200, changes, replace=False)
+            texts.append(" ".join(f"n{i}x{j}" if j in at else w for j, w in enumerate(base)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = {i: sum(len(sets[i] & x) / len(sets[i] | x) >= threshold for j, x in enumerate(sets) if j != i and j // 3 == i // 3) for i in range(len(texts))}
+    got = {r.doc_id: r.n_links for r in ngram_join.join(docs_of(spark, texts), threshold=threshold).collect()}
+    assert sum(links.values()) > 40 and sum(got[i] != links[i] for i in links) <= 2
+
+
+def test_rows_that_left_with_a_leader_they_are_not_linked_to(spark):
+    chunks = spark.createDataFrame([(1, 10, k) for k in (5, 6, 7)] + [(1, 11, k) for k in (8, 9)] + [(2, 12, 5)], "home long, path long, k long")
+    tied = spark.createDataFrame([(1, 5, 6), (1, 5, 7), (1, 8, 9)], "home long, a long, b long")
+    roots = spark.createDataFrame([(5, 5), (6, 5), (8, 8), (9, 8)], "k long, root long")
+    got = {}
+    for r in ngram_join.parted(chunks, tied, roots).distinct().collect():
+        got.setdefault(r.path, set()).add(r.k)
+    assert sorted(map(sorted, got.values())) == [[5, 6, 7], [7, 8, 9]]
+    assert ngram_join.parted(chunks, tied, roots.unionByName(spark.createDataFrame([(7, 5)], "k long, root long"))) is None
+
+
 def test_one_of_each_keeps_null_ids(spark):
     d = docs_of(spark, [prose(60, 1), prose(60, 1), prose(60, 2)]).unionByName(docs_of(spark, [prose(60, 1)]).withColumn("doc_id", F.lit(None).cast("long")))
     kept = ngram_join.one_of_each(d, ngram_join.join(d))
