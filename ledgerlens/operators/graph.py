@@ -2,47 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.flow import collapse, neighbours, undirected
+from ledgerlens.sources.shared import stored
 
 HOUR = 3_600_000_000
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage ended by a table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-"))
-        root = spark.sparkContext.getCheckpointDir()
-    path = f"{root}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, "graph")
 
 
-def pagerank(edges: DataFrame, iterations: int = 10, alpha: float = 0.85, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, iterations: int = 10, alpha: float = 0.85) -> DataFrame:
     """account_id, pagerank: damped power iteration on summed amounts; rank of nodes without outflow is spread evenly.
 
-    The ranks of one step need one join on the sender and one sum by receiver; edges keep their partitioning.
+    One step is a join on the sender and a sum by receiver, and is stored, so that plans don't grow with the steps.
     """
     e = collapse(edges)
     total = e.groupBy("src").agg(F.sum("w").alias("tw"))
     p = cut(e.join(total, "src").select("src", "dst", (F.col("w") / F.col("tw")).alias("p")))
-    sinks = total.select(F.col("src").alias("k"), F.lit(True).alias("sends"))
-    nodes = cut(e.select(F.explode(F.array("src", "dst")).alias("k")).distinct().join(sinks, "k", "left").select("k", F.col("sends").isNotNull().alias("sends")))
+    nodes = cut(e.select(F.explode(F.array("src", "dst")).alias("k")).where("k is not null").distinct())
     n = max(nodes.count(), 1)
     x = nodes.withColumn("x", F.lit(1.0 / n))
     for i in range(iterations):
-        flow = p.join(x.select(F.col("k").alias("src"), "x"), "src").groupBy(F.col("dst").alias("k")).agg(F.sum(F.col("p") * F.col("x")).alias("f"))
-        lost = x.agg(F.coalesce(F.sum(F.when(~F.col("sends"), F.col("x"))), F.lit(0.0)).alias("d"))
-        x = nodes.join(flow, "k", "left").join(F.broadcast(lost)).select("k", "sends", (alpha * (F.coalesce("f", F.lit(0.0)) + F.col("d") / n) + (1 - alpha) / n).alias("x"))
-        if i % every == every - 1:
-            x = cut(x)
+        # the ranks of the last step are read once: each sends its flow, or without outflow a row to nobody
+        sent = x.join(p.withColumnRenamed("src", "k"), "k", "left").select("dst", (F.col("x") * F.coalesce("p", F.lit(1.0))).alias("f"))
+        flow = cut(sent.groupBy("dst").agg(F.sum("f").alias("f")))
+        lost = flow.where("dst is null").agg(F.coalesce(F.sum("f"), F.lit(0.0)).alias("d"))
+        x = nodes.join(flow.withColumnRenamed("dst", "k"), "k", "left").join(F.broadcast(lost)).select("k", (alpha * (F.coalesce("f", F.lit(0.0)) + F.col("d") / n) + (1 - alpha) / n).alias("x"))
     return x.select(F.col("k").alias("account_id"), F.col("x").alias("pagerank"))
 
 
