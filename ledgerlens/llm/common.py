@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.sources.shared import stored as stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(col: str, m: int):
     """crc32 of an id written as text, modulo ``m``."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % m
@@ -42,12 +23,11 @@ def require(df: DataFrame, *cols: str) -> None:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
 
 
-def small_side(df: DataFrame, most: int) -> DataFrame:
-    """``df`` (cheap to count) marked for broadcast if it has at most ``most`` rows; larger ones are left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= most else df
+def fits(df: DataFrame, row_bytes: str, most: int = 16_000_000) -> bool:
+    """Whether the rows of ``df`` (cheap to read), at ``row_bytes`` (SQL) each, come to ``most`` bytes at most."""
+    return (df.agg(F.sum(F.expr(f"cast({row_bytes} as long)"))).first()[0] or 0) <= most
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of finished steps: Spark deletes their shuffle files once the driver has collected their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def small_side(df: DataFrame, row_bytes: str, most: int = 16_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it ``fits``; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if fits(df, row_bytes, most) else df

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import require, small_side, stored
+from ledgerlens.llm.common import fits, require, small_side, stored
 
 WINDOW = 8
 #: Words taken as units when they follow a number, and titles that precede a name.
@@ -51,7 +51,7 @@ def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, w: int) ->
     return rows.select("item", "w", "b_pos", F.expr("xxhash64(w, template)").alias("h"), "template", F.expr("transform(filter(win, t -> startswith(t, '<')), t -> regexp_replace(t, '^<[a-z]+=|>$', ''))").alias("b_slots"), "n_item", "exact")
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, min_share: float = 0.3, min_run: int = 32, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_rows: int = 200_000) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, min_share: float = 0.3, min_run: int = 32, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_bytes: int = 32_000_000) -> DataFrame:
     """``id, text_hash, item_id, n_windows, n_item_windows, share, reparameterised`` for each document and item that it holds.
 
     Windows count by occurrence, where document and item run side by side, if each slot value of the item stands for
@@ -59,14 +59,14 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, mi
     tokens in a row. ``reparameterised`` is that of the occurrence of most windows. Null and empty texts hold nothing; a null item id or text is left
     out; repeated rows give one pair; extra columns are ignored; an empty table on either side gives no rows.
     Documents are scanned once for matches and once more for the few that have any. The benchmark's windows are
-    broadcast only up to ``broadcast_rows`` of them and shuffled beyond that.
+    broadcast only up to ``broadcast_bytes`` of them and shuffled beyond that.
     """
     require(docs, id_col, text_col)
     require(bench, item_col, text_col)
     known = stored(benchmark_windows(bench, item_col, text_col, window).distinct(), "decon-windows")
-    seen = known.agg(F.count("*").alias("n"), F.collect_set("w").alias("w")).first()
+    seen = known.agg(F.collect_set("w").alias("w")).first()  # widths: at most ``window`` of them
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
-    small = seen["n"] <= broadcast_rows
+    small = fits(known, "100 + octet_length(array_join(template, '        ')) + octet_length(array_join(b_slots, '        '))", broadcast_bytes)
     hint = F.broadcast if small else (lambda df: df)
     keys = hint(known.select("h").distinct())
     tok = base.where("text is not null").select("id", "th", tokens(F.col("text"), False).alias("tok"))
@@ -96,7 +96,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, mi
 
 
 def clean_documents(docs: DataFrame, pairs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, columns unchanged. ``pairs`` is a stored result, as it is counted; up to 200,000 are broadcast."""
+    """The rows of ``docs`` that hold no benchmark item, columns unchanged. ``pairs`` is a stored result, as it is measured; up to 16 MB of ids are broadcast."""
     bad = pairs.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th")).distinct()
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
-    return docs.join(small_side(bad, 200_000), on, "left_anti")
+    return docs.join(small_side(bad, "24 + coalesce(octet_length(cast(__id as string)), 0)"), on, "left_anti")

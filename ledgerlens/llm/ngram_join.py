@@ -536,10 +536,10 @@ def join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float =
 def one_of_each(docs: DataFrame, classes: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are alone or bear their class's id, columns unchanged; of rows that repeat that id with the same text one stays. Rows with a null id stay.
 
-    ``classes`` is a stored result of ``join``, as it is counted. Up to 500,000 ids that go are broadcast, so texts don't move.
+    ``classes`` is a stored result of ``join``, as it is measured. Up to 16 MB of ids that go are broadcast, so texts don't move.
     """
     other = classes.where(f"`{id_col}` <> class_id").select(F.col(id_col).alias("__id")).distinct()
-    kept = docs.join(small_side(other, 500_000), F.col(id_col) == F.col("__id"), "left_anti")
+    kept = docs.join(small_side(other, "16 + coalesce(octet_length(cast(__id as string)), 0)"), F.col(id_col) == F.col("__id"), "left_anti")
     twice = classes.where(f"`{id_col}` is not null").groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("c")).where("c > 1").select("__id")
     if twice.isEmpty():
         return kept

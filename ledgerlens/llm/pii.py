@@ -291,11 +291,11 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every found span replaced by its kind in capitals, as in <EMAIL>; columns unchanged. Overlapping spans become one.
 
-    ``found`` is a stored result of ``detect``, as it is counted; up to 50,000 rows with spans are broadcast.
+    ``found`` is a stored result of ``detect``, as it is measured; up to 16 MB of spans are broadcast.
     """
     hit = found.where("size(spans) > 0").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__th"])
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
-    both = docs.join(small_side(hit, 50_000), on, "left")
+    both = docs.join(small_side(hit, "64 + 48 * size(__spans)"), on, "left")
     walk = (
         f"aggregate(__spans, struct('' as out, 0L as at), (a, s) -> case when s.start >= a.at then struct(concat(a.out, substring({text_col}, int(a.at) + 1, int(s.start - a.at)), '<', upper(s.kind), '>') as out, s.stop as at) "
         f"else struct(a.out as out, greatest(a.at, s.stop) as at) end, a -> concat(a.out, substring({text_col}, int(a.at) + 1)))"
