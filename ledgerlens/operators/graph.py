@@ -42,6 +42,21 @@ def degrees(edges: DataFrame) -> DataFrame:
     return flow_features(edges).select("account_id", "in_degree", "out_degree", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
 
 
+def triangles(pairs: DataFrame) -> DataFrame:
+    """x, y, z of every triangle of undirected pairs (u, v), once each.
+
+    Pairs point from the account of fewer neighbours to that of more, so a hub opens few of the two-step paths that the
+    third side has to close.
+    """
+    deg = neighbours(pairs).groupBy("k").agg(F.count("*").alias("d"))
+    end = lambda c: deg.select(F.col("k").alias(c), F.struct(F.col("d"), F.col("k")).alias(f"r{c}"))
+    ranked = pairs.select("u", "v").distinct().join(end("u"), "u").join(end("v"), "v")
+    e = cut(ranked.select(F.least("ru", "rv").alias("lo"), F.greatest("ru", "rv").alias("hi")))
+    wedge = e.select(F.col("lo").alias("x"), F.col("hi").alias("y")).join(e.select(F.col("lo").alias("x"), F.col("hi").alias("z")), "x").where("y < z")
+    closed = wedge.join(e.select(F.col("lo").alias("y"), F.col("hi").alias("z")), ["y", "z"])
+    return closed.select("x.k", "y.k", "z.k").toDF("x", "y", "z")
+
+
 def burt_constraint(edges: DataFrame, accounts: DataFrame | None = None, sink_policy: str = "one") -> DataFrame:
     """account_id, structural_constraint; accounts that send nothing are 1 under ``sink_policy`` 'one', as are isolated ones always. Self-loops don't count."""
     e = edges.where("src <> dst").select("src", "dst").distinct()
@@ -49,9 +64,11 @@ def burt_constraint(edges: DataFrame, accounts: DataFrame | None = None, sink_po
     m = both.groupBy("u", "v").agg(F.count("*").alias("m"))
     d = m.groupBy("u").agg(F.sum("m").alias("d"))
     p = cut(m.join(d, "u").select("u", "v", (F.col("m") / F.col("d")).alias("p")))
-    # two-step ties end at a neighbour: joined to the neighbour list, so only closed triples survive
-    two = p.alias("a").join(p.alias("b"), F.expr("a.v = b.u and a.u <> b.v")).select(F.expr("a.u as u"), F.expr("b.v as v"), F.expr("a.p * b.p as q"))
-    two = two.groupBy("u", "v").agg(F.sum("q").alias("q"))
+    # only ties over a third account that is a neighbour of both count: triangles, each found once
+    t = triangles(p.where("u < v").select("u", "v"))
+    six = t.select(F.explode(F.expr("array(struct(x as u, y as m, z as v), struct(x as u, z as m, y as v), struct(y as u, x as m, z as v), struct(y as u, z as m, x as v), struct(z as u, x as m, y as v), struct(z as u, y as m, x as v))")).alias("t")).select("t.*")
+    two = six.join(p.select("u", F.col("v").alias("m"), F.col("p").alias("p1")), ["u", "m"]).join(p.select(F.col("u").alias("m"), "v", F.col("p").alias("p2")), ["m", "v"])
+    two = two.groupBy("u", "v").agg(F.sum(F.col("p1") * F.col("p2")).alias("q"))
     c = p.join(two, ["u", "v"], "left").groupBy("u").agg(F.sum(F.pow(F.col("p") + F.coalesce("q", F.lit(0.0)), F.lit(2.0))).alias("c"))
     sends = e.select(F.col("src").alias("u"), F.lit(True).alias("s")).distinct()
     out = c.join(sends, "u", "left").select(F.col("u").alias("account_id"), (F.when(F.col("s").isNull(), 1.0).otherwise(F.col("c")) if sink_policy == "one" else F.col("c")).alias("structural_constraint"))
@@ -86,8 +103,9 @@ def scan(edges: DataFrame, accounts: DataFrame, epsilon: float = 0.6, mu: int =
     und = cut(und)
     nb = neighbours(und)
     deg = nb.groupBy("k").agg(F.count("*").alias("d"))
-    # common neighbours of adjacent pairs: each edge looks up the shorter list first
-    common = und.join(nb.select(F.col("k").alias("u"), "o"), "u").join(nb.select(F.col("k").alias("v"), "o"), ["v", "o"]).groupBy("u", "v").agg(F.count("*").alias("c"))
+    # common neighbours of adjacent pairs: each triangle is one for each of its sides
+    side = triangles(und).select(F.explode(F.expr("array(array(x, y), array(x, z), array(y, z))")).alias("s"))
+    common = side.select(F.array_min("s").alias("u"), F.array_max("s").alias("v")).groupBy("u", "v").agg(F.count("*").alias("c"))
     sim = und.join(common, ["u", "v"], "left").join(deg.select(F.col("k").alias("u"), F.col("d").alias("du")), "u").join(deg.select(F.col("k").alias("v"), F.col("d").alias("dv")), "v")
     sim = sim.withColumn("s", (F.coalesce("c", F.lit(0)) + 2) / F.sqrt((F.col("du") + 1) * (F.col("dv") + 1) + 1e-9))
     eps = cut(neighbours(sim.where(f"s >= {epsilon}").select("u", "v")))
@@ -173,61 +191,71 @@ def label_propagation(edges: DataFrame, accounts: DataFrame, rounds: int = 5) ->
     return label.join(least, "l").select(F.col("k").alias("account_id"), F.col("c").alias("community_id"))
 
 
-def leiden(edges: DataFrame, accounts: DataFrame, max_nodes: int = 20000, rounds: int = 10) -> DataFrame:
-    """account_id, community_id by local moving for modularity with refinement, per connected component.
+def local_moves(e: DataFrame, label: DataFrame, rounds: int) -> DataFrame:
+    """k, c: communities after rounds of moves for modularity on weighted links (k, o, w; both ways, self-loops count twice).
 
-    Nodes move in order of id, ties to the least community, so runs agree. Components over ``max_nodes`` accounts,
-    which one worker couldn't hold, are labelled by propagation instead.
+    In each round half of the nodes, by hash, may go to the neighbouring community of greatest gain, ties to the least,
+    and a round that raises modularity no more ends the moves. A round is joins and sums over the links, whatever the
+    size of communities and components.
     """
-    pairs = cut(undirected(edges))
-    comp = connected_components(pairs)
-    size = comp.groupBy("root").agg(F.count("*").alias("n"))
-    labelled = pairs.join(comp.select(F.col("k").alias("u"), "root"), "u").join(size, "root")
-    small = labelled.where(f"n <= {max_nodes}").select("root", "u", "v")
-
-    def move(pdf):
-        import pandas as pd
-
-        ids = sorted(set(pdf.u) | set(pdf.v))
-        at = {k: i for i, k in enumerate(ids)}
-        adj: list[set[int]] = [set() for _ in ids]
-        for u, v in zip(pdf.u, pdf.v):
-            adj[at[u]].add(at[v])
-            adj[at[v]].add(at[u])
-        two_m, lab = sum(map(len, adj)), list(range(len(ids)))
-        weight = [len(a) for a in adj]
-        total = weight[:]
-        for _ in range(rounds):
-            moved = False
-            for i in range(len(ids)):
-                own = lab[i]
-                total[own] -= weight[i]
-                links: dict[int, int] = {own: 0}
-                for j in adj[i]:
-                    links[lab[j]] = links.get(lab[j], 0) + 1
-                best = min(links, key=lambda c: (-(links[c] - weight[i] * total[c] / two_m), c))
-                total[best] += weight[i]
-                if best != own:
-                    lab[i], moved = best, True
-            if not moved:
+    deg = cut(e.groupBy("k").agg(F.sum("w").alias("d")))
+    two_m = deg.agg(F.sum("d")).first()[0]
+
+    def modularity(label: DataFrame) -> float:
+        c = e.join(label, "k").join(label.select(F.col("k").alias("o"), F.col("c").alias("oc")), "o")
+        inside = c.agg(F.coalesce(F.sum(F.when(F.col("c") == F.col("oc"), F.col("w"))), F.lit(0.0))).first()[0]
+        total = deg.join(label, "k").groupBy("c").agg(F.sum("d").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
+        return inside / two_m - total / two_m**2
+
+    best, idle = modularity(label), 0
+    for i in range(rounds):
+        total = deg.join(label, "k").groupBy("c").agg(F.sum("d").alias("t"))
+        near = e.where("k <> o").join(label.select(F.col("k").alias("o"), "c"), "o").groupBy("k", "c").agg(F.sum("w").alias("w"))
+        own = label.join(deg, "k").select("k", F.col("c").alias("was"), "d")
+        stay = label.select("k", "c", F.lit(0.0).alias("w"))
+        gain = near.unionByName(stay).groupBy("k", "c").agg(F.sum("w").alias("w")).join(own, "k").join(total, "c")
+        gain = gain.withColumn("g", F.col("w") - F.col("d") * (F.col("t") - F.when(F.col("c") == F.col("was"), F.col("d")).otherwise(0.0)) / two_m)
+        to = gain.groupBy("k", "was").agg(F.min(F.struct((-F.round("g", 9)).alias("g"), (F.col("c") != F.col("was")).alias("moves"), "c")).alias("b"))
+        new = cut(to.select("k", F.when(F.pmod(F.xxhash64("k", F.lit(i // 2)), F.lit(2)) == i % 2, F.col("b.c")).otherwise(F.col("was")).alias("c")))
+        q = modularity(new)
+        if q > best + 1e-9:
+            best, label, idle = q, new, 0
+        else:
+            idle += 1
+            if idle == 2:  # neither half gains
                 break
-        # refinement: a community that fell apart becomes its connected parts
-        part = [-1] * len(ids)
-        for i in range(len(ids)):
-            if part[i] < 0:
-                stack, part[i] = [i], i
-                while stack:
-                    for j in adj[stack.pop()]:
-                        if part[j] < 0 and lab[j] == lab[i]:
-                            part[j] = i
-                            stack.append(j)
-        return pd.DataFrame({"account_id": ids, "community_id": [ids[p] for p in part]})
-
-    found = small.groupBy("root").applyInPandas(move, "account_id string, community_id string")
-    large = labelled.where(f"n > {max_nodes}")
-    if not large.isEmpty():
-        found = found.unionByName(label_propagation(large.select(F.col("u").alias("src"), F.col("v").alias("dst")), large.select(F.explode(F.array("u", "v")).alias("account_id")).distinct()))
-    return accounts.select("account_id").join(found, "account_id", "left").select("account_id", F.coalesce("community_id", "account_id").alias("community_id"))
+    return label
+
+
+def leiden(edges: DataFrame, accounts: DataFrame, rounds: int = 12, levels: int = 8) -> DataFrame:
+    """account_id, community_id by moves for modularity, refinement and aggregation, at any size; a community is named by its least account.
+
+    A level moves nodes (``local_moves``), splits each community into its connected parts and makes the parts the nodes
+    of the next level, which start in the communities that they came from. Levels end when moves join nothing more.
+    Accounts without links are communities of their own.
+    """
+    pairs = cut(undirected(edges))
+    alone = accounts.select("account_id")
+    if pairs.isEmpty():
+        return alone.select("account_id", F.col("account_id").alias("community_id"))
+    e = cut(pairs.select(F.col("u").alias("k"), F.col("v").alias("o"), F.lit(1.0).alias("w")).unionByName(pairs.select(F.col("v").alias("k"), F.col("u").alias("o"), F.lit(1.0).alias("w"))))
+    place = e.select("k").distinct().select("k", F.col("k").alias("node"))  # account to node of the level
+    label, size = e.select("k").distinct().select("k", F.col("k").alias("c")), None
+    for _ in range(levels):
+        label = local_moves(e, label, rounds)
+        inside = e.where("k < o").join(label, "k").join(label.select(F.col("k").alias("o"), F.col("c").alias("oc")), "o").where("c = oc")
+        own = label.select(F.col("k").alias("u"), F.col("k").alias("v"))
+        part = connected_components(inside.select(F.col("k").alias("u"), F.col("o").alias("v")).unionByName(own))
+        place = cut(place.join(part.select(F.col("k").alias("node"), "root"), "node").select("k", F.col("root").alias("node")))
+        n = part.select("root").distinct().count()
+        if n == size:
+            break
+        size = n
+        label = cut(label.join(part, "k").groupBy("root").agg(F.min("c").alias("c")).withColumnRenamed("root", "k"))
+        up = part.select("k", "root")
+        e = cut(e.join(up, "k").join(up.select(F.col("k").alias("o"), F.col("root").alias("ro")), "o").groupBy(F.col("root").alias("k"), F.col("ro").alias("o")).agg(F.sum("w").alias("w")))
+    found = place.select(F.col("k").alias("account_id"), F.col("node").alias("community_id"))
+    return alone.join(found, "account_id", "left").select("account_id", F.coalesce("community_id", "account_id").alias("community_id"))
 
 
 def two_hop_subgraph(edges: DataFrame, account: str, limit: int = 200) -> DataFrame:

@@ -11,9 +11,40 @@ from pyspark.sql import types as T
 
 from ledgerlens.operators.flow import both_ends
 
-#: Column names under which labels and ids are known.
-LABELS = ("is_suspicious", "is_suspicious_tx", "label", "target", "suspicious", "is_laundering")
-IDS = ("account_id", "account", "id", "node_id", "Account", "acct_id")
+#: Column names under which labels and accounts are known, in order of preference, and columns that are no features.
+LABELS = (
+    "is_suspicious",
+    "is_suspicious_tx",
+    "is_laundering",
+    "Is_laundering",
+    "label",
+    "target",
+)
+IDS = (
+    "account_id",
+    "account",
+    "node",
+    "node_id",
+    "Sender_account",
+    "sender_account",
+)
+NO_FEATURES = (
+    "row_index",
+    "Date",
+    "Time",
+    "date_transaction",
+    "account_id",
+    "account",
+    "account_number",
+    "Sender_account",
+    "Receiver_account",
+    "sender_account",
+    "receiver_account",
+    "name",
+    "tax_number",
+    "report_id",
+    "xml_file",
+)
 
 
 def account_table(edges: DataFrame, value_columns: tuple[str, ...] = ("amount", "cb"), volume_columns: tuple[str, ...] = ("amount",), label: str | None = None) -> DataFrame:
@@ -49,12 +80,13 @@ def attach_labels(features: DataFrame, labels: DataFrame | None = None) -> DataF
 
 def feature_columns(df: DataFrame, target: str = "is_suspicious") -> list[str]:
     """Columns that are neither id nor label and take more than one value, found in one pass."""
-    cols = [c for c in df.columns if c not in IDS and c not in LABELS and c != target]
+    cols = [c for c in df.columns if c not in IDS and c not in NO_FEATURES and c not in LABELS and c != target]
     row = df.agg(*[(F.min(c) < F.max(c)).alias(c) for c in cols]).first() if cols else {}
     return [c for c in cols if row[c]]
 
 
-def pipeline(df: DataFrame, cols: list[str], *, trees: int = 40, depth: int = 4, rate: float = 0.1, seed: int = 42) -> Pipeline:
+def pipeline(df: DataFrame, cols: list[str], *, trees: int = 350, depth: int = 4, rate: float = 0.04, share: float = 0.9, least: int = 2, seed: int = 42) -> Pipeline:
+    """Imputed and one-hot features into boosted trees: their number, depth and step, the share of rows and the least of them that a leaf needs."""
     numeric = [c for c in cols if isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))]
     other = [c for c in cols if c not in numeric]
     stages = []
@@ -63,16 +95,17 @@ def pipeline(df: DataFrame, cols: list[str], *, trees: int = 40, depth: int = 4,
     for c in other:
         stages += [StringIndexer(inputCol=c, outputCol=f"{c}__x", handleInvalid="keep"), OneHotEncoder(inputCol=f"{c}__x", outputCol=f"{c}__v")]
     stages.append(VectorAssembler(inputCols=[f"{c}__i" for c in numeric] + [f"{c}__v" for c in other], outputCol="features", handleInvalid="keep"))
-    stages.append(GBTClassifier(labelCol="is_suspicious", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed))
+    stages.append(GBTClassifier(labelCol="is_suspicious", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=share, minInstancesPerNode=least, seed=seed))
     return Pipeline(stages=stages)
 
 
 def train_and_score(labelled: DataFrame, **params) -> tuple[DataFrame, object, list[str]]:
-    """(account_id, risk_score for every row; the fitted pipeline; its features). Four fifths of each class train, by hash; classes weigh alike."""
+    """(account_id, risk_score for every row; the fitted pipeline; its features). Four fifths of the accounts of each class, those of least hash, train; classes weigh alike."""
     cols = feature_columns(labelled)
-    casts = [F.col(c).cast("double").alias(c) if isinstance(labelled.schema[c].dataType, (T.NumericType, T.BooleanType)) else F.col(c).cast("string").alias(c) for c in cols]
-    data = labelled.select("account_id", "is_suspicious", *casts)
-    train = data.where(F.pmod(F.xxhash64("account_id", F.lit(42)), F.lit(5)) > 0)
+    data = model_input(labelled, cols)
+    order = data.withColumn("_h", F.pmod(F.xxhash64("account_id", F.lit(42)), F.lit(1_000_000)))
+    cut = {r["is_suspicious"]: r["h"] for r in order.groupBy("is_suspicious").agg(F.percentile_approx("_h", 0.8, 1_000_000).alias("h")).collect()}
+    train = order.where(F.col("_h") <= F.when(F.col("is_suspicious") == 1, F.lit(cut.get(1))).otherwise(F.lit(cut.get(0)))).drop("_h")
     n = {r["is_suspicious"]: r["count"] for r in train.groupBy("is_suspicious").count().collect()}
     if len(n) < 2:
         raise ValueError("training needs accounts of both classes")
@@ -96,16 +129,20 @@ def pr_metrics(scored: DataFrame, score: str = "score", label: str = "label") ->
     )
 
 
+def slots(model) -> list[str]:
+    """The column that each place of the feature vector comes from."""
+    sizes = {s.getOutputCol(): int(s.categorySizes[0]) for s in model.stages if hasattr(s, "categorySizes")}
+    kept = {s.getOutputCol(): int(s.getDropLast()) for s in model.stages if hasattr(s, "categorySizes")}
+    out: list[str] = []
+    for c in model.stages[-2].getInputCols():
+        out += [c.rsplit("__", 1)[0]] * (sizes[c] - kept[c] if c in sizes else 1)
+    return out
+
+
 def importance(model, cols: list[str], top: int = 50) -> list[tuple[str, float, int]]:
     """(feature, importance, rank): the trees' gains, one-hot parts summed back to their column."""
-    gains, names = model.stages[-1].featureImportances.toArray(), []
-    meta = model.stages[-2].getInputCols()
-    sizes = {f"{s.getOutputCol()}": s for s in model.stages if hasattr(s, "categorySizes")}
-    for c in meta:
-        k = int(sizes[c].categorySizes[0]) if c in sizes else 1
-        names += [c.rsplit("__", 1)[0]] * k
     total: dict[str, float] = {}
-    for n, g in zip(names, gains):
+    for n, g in zip(slots(model), model.stages[-1].featureImportances.toArray()):
         total[n] = total.get(n, 0.0) + float(g)
     return [(n, g, i + 1) for i, (n, g) in enumerate(sorted(total.items(), key=lambda x: (-x[1], x[0]))[:top])]
 
@@ -131,50 +168,73 @@ def tree_paths(tree) -> tuple:
     return walk(n)
 
 
-def tree_shap(model, data: DataFrame, cols: list[str]) -> DataFrame:
-    """account_id, feature, shap_value, abs_shap_value of the fitted trees' margin, for numeric features.
+def leaves(tree: tuple, weight: float) -> list[tuple[float, list[tuple[int, list[tuple[float, bool]], float]]]]:
+    """Each leaf of a tree: its weighted value, and for every feature on its path the tests passed (threshold, left) and the share of rows that pass them."""
+    out = []
 
-    Path-dependent Shapley values by enumeration of the features on each tree (at most 2 ** depth - 1, so a few
-    subsets of few features), in Arrow batches; values plus base add up to the margin.
-    """
-    from itertools import combinations
+    def walk(t: tuple, path: dict) -> None:
+        if len(t) == 2:
+            out.append((weight * t[0], [(f, tests, share) for f, (tests, share) in path.items()]))
+            return
+        for child, left in ((t[2], True), (t[3], False)):
+            tests, share = path.get(t[0], ([], 1.0))
+            walk(child, {**path, t[0]: ([*tests, (t[1], left)], share * child[-1] / t[-1])})
+
+    walk(tree, {})
+    return out
+
+
+def leaf_shares(o: list, z: list[float]) -> list:
+    """Shapley values of the product over features of (o if known else z), for columns o of 0 and 1: polynomial in the path's length."""
+    import numpy as np
     from math import factorial
 
-    gbt = model.stages[-1]
-    trees = [(tree_paths(t), w) for t, w in zip(gbt.trees, gbt.treeWeights)]
-    names = [c.rsplit("__", 1)[0] for c in model.stages[-2].getInputCols()]
+    d, out = len(o), []
+    for j in range(d):
+        poly = [np.ones_like(o[j])]  # by the number of known features among the others
+        for i in range(d):
+            if i != j:
+                poly = [(poly[k] * z[i] if k < len(poly) else 0) + (poly[k - 1] * o[i] if k else 0) for k in range(len(poly) + 1)]
+        out.append((o[j] - z[j]) * sum(c * (factorial(k) * factorial(d - 1 - k) / factorial(d)) for k, c in enumerate(poly)))
+    return out
 
-    def used(t) -> set:
-        return set() if len(t) == 2 else {t[0]} | used(t[2]) | used(t[3])
 
-    def value(t, x, known) -> float:
-        if len(t) == 2:
-            return t[0]
-        if t[0] in known:
-            return value(t[2] if x[t[0]] <= t[1] else t[3], x, known)
-        a, b = t[2][-1], t[3][-1]
-        return (a * value(t[2], x, known) + b * value(t[3], x, known)) / (a + b)
-
-    def shap(x) -> list[float]:
-        out = [0.0] * len(names)
-        for t, w in trees:
-            f = sorted(used(t))
-            m = len(f)
-            seen = {s: value(t, x, s) for k in range(m + 1) for s in map(frozenset, combinations(f, k))}
-            for i in f:
-                for s, v in seen.items():
-                    if i not in s:
-                        out[i] += w * factorial(len(s)) * factorial(m - len(s) - 1) / factorial(m) * (seen[s | {i}] - v)
-        return out
+def tree_shap(model, data: DataFrame) -> DataFrame:
+    """account_id, feature, shap_value, abs_shap_value of the fitted trees' margin; one-hot parts are summed to their column.
+
+    Path-dependent Shapley values, leaf by leaf in time polynomial in the depth, over columns of Arrow batches; values
+    plus the mean prediction add up to the margin.
+    """
+    gbt = model.stages[-1]
+    every = [leaf for t, w in zip(gbt.trees, gbt.treeWeights) for leaf in leaves(tree_paths(t), w)]
+    of = slots(model)
+    names = list(dict.fromkeys(of))
+    place = [names.index(n) for n in of]
 
     def run(batches):
+        import numpy as np
         import pandas as pd
 
         for pdf in batches:
-            rows = [(a, n, v, abs(v)) for a, x in zip(pdf.account_id, pdf.x) for n, v in zip(names, shap(x)) if v]
-            yield pd.DataFrame(rows, columns=["account_id", "feature", "shap_value", "abs_shap_value"])
+            if not len(pdf):
+                continue
+            x = np.stack(pdf.x.to_numpy())
+            out = np.zeros((len(pdf), len(names)))
+            for value, path in every:
+                o = [np.logical_and.reduce([(x[:, f] <= t) == left for t, left in tests]).astype(float) for f, tests, _ in path]
+                for (f, _, _), share in zip(path, leaf_shares(o, [z for *_, z in path])):
+                    out[:, place[f]] += value * share
+            row, col = np.nonzero(out)
+            v = out[row, col]
+            yield pd.DataFrame({"account_id": pdf.account_id.to_numpy()[row], "feature": np.array(names)[col], "shap_value": v, "abs_shap_value": np.abs(v)})
 
     from pyspark.ml.functions import vector_to_array
 
     ready = model.transform(data).select("account_id", vector_to_array("features").alias("x"))
     return ready.mapInPandas(run, "account_id string, feature string, shap_value double, abs_shap_value double")
+
+
+def model_input(labelled: DataFrame, cols: list[str]) -> DataFrame:
+    """account_id, label and the features as the model takes them: numbers as doubles, others as text."""
+    casts = [F.col(c).cast("double").alias(c) if isinstance(labelled.schema[c].dataType, (T.NumericType, T.BooleanType)) else F.col(c).cast("string").alias(c) for c in cols]
+    return labelled.select("account_id", "is_suspicious", *casts)

@@ -42,7 +42,7 @@ def structuring(features: DataFrame, *, min_recipients: int = 3, min_share: floa
     return alert(hit, "Structuring Star", F.least(0.7 + 0.3 * F.col("tps_score"), F.lit(0.99)), F.format_string("%d receivers below the threshold", F.col("band_recipients").cast("int")))
 
 
-def carousel(edges: DataFrame, *, max_hours: float = 24.0, conservation: float = 0.98, max_nodes: int = 4) -> DataFrame:
+def carousel(edges: DataFrame, *, max_hours: float = 24.0, conservation: float = 0.98, max_nodes: int = 6) -> DataFrame:
     """Members of cycles of 3 to ``max_nodes`` accounts over each pair's latest edge, in time order from some start, amounts alike.
 
     Each cycle is grown from the leg its time order starts with, so the order prunes every join.

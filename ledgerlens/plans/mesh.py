@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import embed, flow, graph, learn, risk, text, typology
 
 
-def run(accounts: DataFrame, edges: DataFrame, entities: DataFrame | None = None, labels: DataFrame | None = None, *, train_model: bool = True, embeddings: bool = True) -> dict[str, DataFrame]:
+def run(accounts: DataFrame, edges: DataFrame, entities: DataFrame | None = None, labels: DataFrame | None = None, *, train_model: bool = True, embeddings: bool = True, **params) -> dict[str, DataFrame]:
     """features, alerts, links, verification, scores, metrics (and attributions, if a model was trained).
 
     Shared inputs are cut once: the edges, the core features and the alerts. Without labels of both classes the
-    heuristic score stands in for the model, and ``metrics`` says so.
+    heuristic score stands in for the model, and ``metrics`` says so. ``params`` are those of ``learn.pipeline``.
     """
     edges = graph.cut(edges)
     comm = graph.cut(graph.leiden(edges, accounts))
@@ -37,7 +37,7 @@ def run(accounts: DataFrame, edges: DataFrame, entities: DataFrame | None = None
     if links is not None:
         out["links"] = links
     found = [
-        typology.layering(edges, f), typology.structuring(f), typology.carousel(edges, max_nodes=6), typology.mule(f), typology.accumulate_disperse(edges), typology.ghost_flow(edges), typology.loan_back(edges, f), typology.ghost_payroll(edges, f),
+        typology.layering(edges, f), typology.structuring(f), typology.carousel(edges), typology.mule(f), typology.accumulate_disperse(edges), typology.ghost_flow(edges), typology.loan_back(edges, f), typology.ghost_payroll(edges, f),
         typology.shell_layering(edges, f, comm),
     ]
     alerts = found[0]
@@ -48,9 +48,9 @@ def run(accounts: DataFrame, edges: DataFrame, entities: DataFrame | None = None
     if train_model and labels is not None:
         data = graph.cut(learn.attach_labels(f.drop("community_id", "scan_cluster"), labels))
         if data.select("is_suspicious").distinct().count() == 2:
-            scores, model, cols = learn.train_and_score(data)
+            scores, model, cols = learn.train_and_score(data, **params)
             trained = True
-            out["attributions"] = learn.tree_shap(model, data.select("account_id", *[F.col(c).cast("double").alias(c) for c in cols]), cols) if "acct_type" not in cols else learn.linear_shap(f, {c: 1.0 for c in ("tps_score", "hawkes_intensity")})
+            out["attributions"] = learn.tree_shap(model, learn.model_input(data, cols))
     if not trained:
         scores = risk.heuristic_score(f)
     fused = graph.cut(risk.fuse(scores, f, out["alerts"], out["verification"]))

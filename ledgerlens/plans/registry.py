@@ -174,16 +174,16 @@ def community_cb_ratio(spark, d):
     return rounded(graph.community_cb_ratio(ev(spark, d), communities(acc(spark, d))))
 
 
-@query("""s AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst AND amount > 90), m AS (SELECT u, v, count(*) m FROM (SELECT src u, dst v FROM s UNION ALL SELECT dst, src FROM s) GROUP BY ALL),
+@query("""s AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst), m AS (SELECT u, v, count(*) m FROM (SELECT src u, dst v FROM s UNION ALL SELECT dst, src FROM s) GROUP BY ALL),
 p AS (SELECT u, v, m / sum(m) OVER (PARTITION BY u) p FROM m), t AS (SELECT x.u, y.v, sum(x.p * y.p) q FROM p x JOIN p y ON x.v = y.u AND x.u <> y.v GROUP BY ALL),
 c AS (SELECT p.u, sum(pow(p.p + coalesce(q, 0), 2)) c FROM p LEFT JOIN t ON t.u = p.u AND t.v = p.v GROUP BY p.u)
 SELECT account_id, round(CASE WHEN c.u IS NULL OR account_id NOT IN (SELECT src FROM s) THEN 1.0 ELSE c END, 6) AS structural_constraint FROM a LEFT JOIN c ON c.u = account_id""")
 def burt_constraint(spark, d):
-    return rounded(graph.burt_constraint(ev(spark, d).where("amount > 90"), acc(spark, d)))
+    return rounded(graph.burt_constraint(ev(spark, d), acc(spark, d)))
 
 
 SCAN_SQL = """
-und AS (SELECT DISTINCT least(src, dst) u, greatest(src, dst) v FROM e WHERE src <> dst AND amount > 60 AND src IN (SELECT account_id FROM a) AND dst IN (SELECT account_id FROM a)),
+und AS (SELECT DISTINCT least(src, dst) u, greatest(src, dst) v FROM e WHERE src <> dst AND src IN (SELECT account_id FROM a) AND dst IN (SELECT account_id FROM a)),
 nb AS (SELECT u k, v o FROM und UNION ALL SELECT v, u FROM und), dg AS (SELECT k, count(*) d FROM nb GROUP BY k),
 sm AS (SELECT u, v FROM (SELECT u, v, (SELECT count(*) FROM nb x JOIN nb y ON x.o = y.o WHERE x.k = und.u AND y.k = und.v) c FROM und) q JOIN dg a1 ON a1.k = u JOIN dg a2 ON a2.k = v WHERE (c + 2) / sqrt((a1.d + 1) * (a2.d + 1) + 1e-9) >= 0.3),
 ep AS (SELECT u k, v o FROM sm UNION ALL SELECT v, u FROM sm), co AS (SELECT k FROM ep GROUP BY k HAVING count(*) + 1 >= 3),
@@ -196,7 +196,7 @@ SELECT account_id, coalesce(root, CASE WHEN n >= 2 THEN 'HUB' ELSE 'OUTLIER' END
 
 @query(SCAN_SQL)
 def scan_clusters(spark, d):
-    return graph.scan(ev(spark, d).where("amount > 60"), acc(spark, d), epsilon=0.3)
+    return graph.scan(ev(spark, d), acc(spark, d), epsilon=0.3)
 
 
 @query("""ac AS (SELECT * FROM e WHERE src IN (SELECT account_id FROM a) AND dst IN (SELECT account_id FROM a)), q AS (SELECT quantile_cont(amount, 0.1) lo, quantile_cont(amount, 0.98) hi FROM ac),
@@ -223,14 +223,14 @@ def subgraph_2hop(spark, d):
 
 @query(f"""f1 AS (SELECT '{ACCOUNT}' k UNION SELECT dst FROM s WHERE src = '{ACCOUNT}' UNION SELECT src FROM s WHERE dst = '{ACCOUNT}'),
 f2 AS (SELECT k FROM f1 UNION SELECT dst FROM s WHERE src IN (SELECT k FROM f1) UNION SELECT src FROM s WHERE dst IN (SELECT k FROM f1))
-SELECT tx_id, src, dst, amount, us, cb FROM s WHERE src IN (SELECT k FROM f2) AND dst IN (SELECT k FROM f2)""".replace("f1 AS", "s AS (SELECT * FROM e WHERE amount > 95), f1 AS", 1))
+SELECT tx_id, src, dst, amount, us, cb FROM s WHERE src IN (SELECT k FROM f2) AND dst IN (SELECT k FROM f2)""".replace("f1 AS", "s AS (SELECT * FROM e), f1 AS", 1))
 def ego_subgraph(spark, d):
-    return graph.ego_subgraph(ev(spark, d).where("amount > 95"), ACCOUNT)
+    return graph.ego_subgraph(ev(spark, d), ACCOUNT)
 
 
-@query(f"SELECT count(*) AS n, round(CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE), 6) AS amount FROM e WHERE src = '{ACCOUNT}' OR dst = '{ACCOUNT}'")
+@query(f"SELECT count(*) AS n, round(CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE), 6) AS amount FROM (SELECT * FROM e WHERE src = '{ACCOUNT}' OR dst = '{ACCOUNT}' ORDER BY us, tx_id LIMIT 2500)")
 def account_transactions(spark, d):
-    t = ledger.transactions_of(ev(spark, d), ACCOUNT, limit=1_000_000)
+    t = ledger.transactions_of(ev(spark, d), ACCOUNT)
     return rounded(t.agg(F.count("*").alias("n"), flow.money_sum("amount").alias("amount")))
 
 
@@ -260,12 +260,14 @@ def structuring_stars(spark, d):
     return rounded(typology.structuring(core(spark, d), min_share=0.05))
 
 
-@query("""l AS (SELECT * FROM (SELECT src, dst, amount, us, row_number() OVER (PARTITION BY src, dst ORDER BY us DESC, tx_id DESC) r FROM e WHERE src <> dst) WHERE r = 1),
-c3 AS (SELECT [x.src, y.src, z.src] p FROM l x JOIN l y ON y.src = x.dst AND y.us >= x.us AND y.dst <> x.src JOIN l z ON z.src = y.dst AND z.dst = x.src AND z.us >= y.us AND z.us <= x.us + 259200000000
-       WHERE y.us <= x.us + 259200000000 AND least(x.amount, y.amount, z.amount) / greatest(x.amount, y.amount, z.amount) >= 0.5),
-c4 AS (SELECT [x.src, y.src, z.src, w.src] p FROM l x JOIN l y ON y.src = x.dst AND y.us >= x.us AND y.dst <> x.src JOIN l z ON z.src = y.dst AND z.us >= y.us AND z.dst <> x.src AND z.dst <> y.src JOIN l w ON w.src = z.dst AND w.dst = x.src AND w.us >= z.us AND w.us <= x.us + 259200000000
-       WHERE least(x.amount, y.amount, z.amount, w.amount) / greatest(x.amount, y.amount, z.amount, w.amount) >= 0.5)
-SELECT k AS account_id, 'Carousel Cycle' AS typology, CAST(0.94 AS DOUBLE) AS confidence, min(s) AS details FROM (SELECT unnest(p) k, array_to_string(p, ' -> ') s FROM (SELECT * FROM c3 UNION ALL SELECT * FROM c4)) GROUP BY k""")
+CYCLES = """l AS (SELECT * FROM (SELECT src, dst, amount, us, row_number() OVER (PARTITION BY src, dst ORDER BY us DESC, tx_id DESC) r FROM e WHERE src <> dst) WHERE r = 1),
+cp AS (SELECT [src] p, src s, dst last, us t0, us t, amount lo, amount hi, 1 n FROM l
+       UNION ALL SELECT list_append(p, l.src), s, l.dst, t0, l.us, least(lo, l.amount), greatest(hi, l.amount), n + 1 FROM cp JOIN l ON l.src = cp.last
+       WHERE n < 6 AND cp.last <> s AND NOT list_contains(p, l.src) AND l.us >= t AND l.us <= t0 + 259200000000 AND least(lo, l.amount) / greatest(hi, l.amount) >= 0.5),
+cy AS (SELECT k, min(array_to_string(p, ' -> ')) dt FROM (SELECT p, unnest(p) k FROM cp WHERE last = s AND n BETWEEN 3 AND 6) GROUP BY k)"""
+
+
+@query(CYCLES + " SELECT k AS account_id, 'Carousel Cycle' AS typology, CAST(0.94 AS DOUBLE) AS confidence, dt AS details FROM cy")
 def carousel_cycles(spark, d):
     return typology.carousel(ev(spark, d), max_hours=72.0, conservation=0.5)
 
@@ -293,8 +295,10 @@ def ghost_flows(spark, d):
     return typology.ghost_pairs(ev(spark, d)).select("cb_tx", "dom_tx", "sender", "receiver")
 
 
-@query(FLOW + "," + PR + """, lb AS (SELECT account_id FROM cf JOIN x10 ON x10.k = account_id WHERE x > 0.0001 AND fr BETWEEN 0.95 AND 1.05 AND account_id IN (SELECT p.src FROM e p JOIN e q ON p.src = q.dst AND p.dst = q.src))
-          SELECT account_id, 'Loan-Back' AS typology, CAST(0.80 AS DOUBLE) AS confidence FROM lb""")
+LOAN = PR + """, lb AS (SELECT account_id FROM cf JOIN x10 ON x10.k = account_id WHERE x > 0.0001 AND fr BETWEEN 0.95 AND 1.05 AND account_id IN (SELECT p.src FROM e p JOIN e q ON p.src = q.dst AND p.dst = q.src))"""
+
+
+@query(FLOW + "," + LOAN + """ SELECT account_id, 'Loan-Back' AS typology, CAST(0.80 AS DOUBLE) AS confidence FROM lb""")
 def loan_back(spark, d):
     f = core(spark, d).join(graph.pagerank(ev(spark, d)), "account_id")
     return typology.loan_back(ev(spark, d), f, pagerank=0.0001).drop("details")
@@ -322,13 +326,16 @@ def all_alerts(spark, d) -> DataFrame:
     e, f = ev(spark, d), graph.cut(core(spark, d))
     found = typology.structuring(f, min_share=0.05).unionByName(typology.mule(f, hawkes=0.1, low=0.9, high=1.1, volume=1000.0)).unionByName(typology.layering(e, f, start_volume=1000.0))
     found = found.unionByName(typology.accumulate_disperse(e, tolerance=0.2, volume=500.0)).unionByName(typology.ghost_payroll(e, f, volume=60.0)).unionByName(typology.shell_layering(e, f, communities(acc(spark, d)), share=0.15, volume=500.0))
+    ranked = graph.cut(f.join(graph.pagerank(e), "account_id"))
+    found = found.unionByName(typology.carousel(e, max_hours=72.0, conservation=0.5)).unionByName(typology.loan_back(e, ranked, pagerank=0.0001))
     return typology.dedup(found.unionByName(typology.ghost_flow(e, max_alerts=None)))
 
 
-ALERTS = FLOW + "," + LAYER + "," + ACCD + "," + GHOST + "," + PAY + "," + SHELL + """,
+ALERTS = FLOW + "," + LAYER + "," + ACCD + "," + GHOST + "," + PAY + "," + SHELL + "," + CYCLES + "," + LOAN + """,
 al AS (SELECT account_id, 'Structuring Star' typology, least(0.7 + 0.3 * tps, 0.99) confidence FROM cf WHERE br >= 3 AND tps > 0.05 UNION SELECT account_id, 'Mule Account', 0.88 FROM cf WHERE hi > 0.1 AND fr BETWEEN 0.9 AND 1.1 AND vout > 1000
   UNION SELECT account_id, 'Layering Chain', 0.95 FROM la UNION SELECT k, 'Accumulate and Disperse', 0.89 FROM ax UNION SELECT hub, 'Ghost Payroll', 0.92 FROM pt UNION SELECT target, 'Ghost Payroll', 0.92 FROM pt
   UNION SELECT account_id, 'Shell Layering', 0.87 FROM cf JOIN sv ON sv.k = account_id WHERE acct_type = 'CURRENT' AND fr > 0.95 AND own / v > 0.15 AND v > 500
+  UNION SELECT k, 'Carousel Cycle', 0.94 FROM cy UNION SELECT account_id, 'Loan-Back', 0.8 FROM lb
   UNION SELECT sender, 'Hawala Ghost Flow', 0.9 FROM gp UNION SELECT receiver, 'Hawala Ghost Flow', 0.9 FROM gp)"""
 
 
@@ -579,16 +586,20 @@ def labelled(spark, d) -> DataFrame:
     return graph.cut(learn.attach_labels(f, y))
 
 
+#: Trees of the registered models; the operator's own default is 350, which only takes longer (see README).
+TREES = 40
+
+
 @query()
 def gbt_scores(spark, d):
-    return learn.train_and_score(labelled(spark, d), trees=10)[0]
+    return learn.train_and_score(labelled(spark, d), trees=TREES)[0]
 
 
 @query()
 def shap_long(spark, d):
-    data = labelled(spark, d).drop("acct_type")
-    _, model, cols = learn.train_and_score(data, trees=5, depth=3)
-    return learn.tree_shap(model, data.select("account_id", *[F.col(c).cast("double").alias(c) for c in cols]), cols)
+    data = labelled(spark, d)
+    _, model, cols = learn.train_and_score(data, trees=TREES)
+    return learn.tree_shap(model, learn.model_input(data, cols))
 
 
 @query("""SELECT src AS account_id, round(CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE), 6) AS volume FROM e GROUP BY src ORDER BY 2 DESC, 1 LIMIT 15""")
@@ -618,12 +629,12 @@ def label_correlation(spark, d):
 
 @query()
 def leiden(spark, d):
-    return graph.leiden(ev(spark, d).where("amount > 60"), acc(spark, d))
+    return graph.leiden(ev(spark, d), acc(spark, d))
 
 
 @query()
 def label_propagation(spark, d):
-    return graph.label_propagation(ev(spark, d).where("amount > 60"), acc(spark, d))
+    return graph.label_propagation(ev(spark, d), acc(spark, d))
 
 
 def ranked_features(spark, d) -> DataFrame:
@@ -642,4 +653,4 @@ def tgat_embedding(spark, d):
 
 @query()
 def netmf_embedding(spark, d):
-    return embed.wide(embed.netmf(ev(spark, d).where("amount > 60"), acc(spark, d)), "dw")
+    return embed.wide(embed.netmf(ev(spark, d), acc(spark, d)), "dw")

@@ -57,8 +57,8 @@ def read_csv(spark: SparkSession, paths: list[str], schema: T.StructType | None
 
 
 def transactions_of(df: DataFrame, account: str, limit: int = 2500) -> DataFrame:
-    """An account's transactions, at most ``limit``; filter and limit reach the scan."""
-    return df.where((F.col("src") == account) | (F.col("dst") == account)).limit(limit)
+    """An account's transactions, the first ``limit`` by time and id; the filter reaches the scan."""
+    return df.where((F.col("src") == account) | (F.col("dst") == account)).orderBy("us", "tx_id").limit(limit)
 
 
 _S = T.StringType()
