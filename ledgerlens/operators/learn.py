@@ -155,7 +155,7 @@ def linear_shap(features: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def tree_paths(tree) -> tuple:
-    """A fitted regression tree as nested tuples (feature, threshold, left, right, cover) or (value, cover)."""
+    """A fitted regression tree as nested tuples (feature, test, left, right, cover) or (value, cover); a test is a threshold or the tuple of categories that go left."""
     n = tree._call_java("rootNode")
 
     def walk(node):
@@ -163,13 +163,14 @@ def tree_paths(tree) -> tuple:
         if node.getClass().getSimpleName() == "LeafNode":
             return (node.prediction(), cover)
         s = node.split()
-        return (s.featureIndex(), s.threshold(), walk(node.leftChild()), walk(node.rightChild()), cover)
+        test = s.threshold() if s.getClass().getSimpleName() == "ContinuousSplit" else tuple(s.leftCategories())
+        return (s.featureIndex(), test, walk(node.leftChild()), walk(node.rightChild()), cover)
 
     return walk(n)
 
 
 def leaves(tree: tuple, weight: float) -> list[tuple[float, list[tuple[int, list[tuple[float, bool]], float]]]]:
-    """Each leaf of a tree: its weighted value, and for every feature on its path the tests passed (threshold, left) and the share of rows that pass them."""
+    """Each leaf of a tree: its weighted value, and for every feature on its path the tests passed (test, left) and the share of rows that pass them."""
     out = []
 
     def walk(t: tuple, path: dict) -> None:
@@ -221,7 +222,7 @@ def tree_shap(model, data: DataFrame) -> DataFrame:
             x = np.stack(pdf.x.to_numpy())
             out = np.zeros((len(pdf), len(names)))
             for value, path in every:
-                o = [np.logical_and.reduce([(x[:, f] <= t) == left for t, left in tests]).astype(float) for f, tests, _ in path]
+                o = [np.logical_and.reduce([(np.isin(x[:, f], t) if isinstance(t, tuple) else x[:, f] <= t) == left for t, left in tests]).astype(float) for f, tests, _ in path]
                 for (f, _, _), share in zip(path, leaf_shares(o, [z for *_, z in path])):
                     out[:, place[f]] += value * share
             row, col = np.nonzero(out)

@@ -46,6 +46,12 @@ def account_features(features: DataFrame, account: str) -> DataFrame:
     return row.select(*clean)
 
 
+def records(rows: DataFrame) -> DataFrame:
+    """Each row as one JSON text, keys in column order; NaN and missing values are nulls, which are kept."""
+    clean = [F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes]
+    return rows.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("record"))
+
+
 def account_shap(attributions: DataFrame, account: str, top: int = 15) -> DataFrame:
     return attributions.where(F.col("account_id") == account).orderBy(F.desc("abs_shap_value"), "feature").limit(top)
 

@@ -30,8 +30,8 @@ def normalise_accounts(df: DataFrame) -> DataFrame:
     return df.withColumn("tax_number", F.regexp_replace(F.col("tax_number").cast("string"), r"\.0$", ""))
 
 
-def normalise_transactions(df: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Rows of a transaction table as edges; a time that doesn't parse is null, one that is missing is ``as_of``."""
+def normalise_transactions(df: DataFrame, as_of: str | None = None, label=None) -> DataFrame:
+    """Rows of a transaction table as edges; a time that doesn't parse is null, one that is missing is ``as_of``. With ``label`` it comes along."""
     if {"Date", "Time"} <= set(df.columns):
         ts = F.expr("try_to_timestamp(concat_ws(' ', Date, Time))")
     else:
@@ -41,17 +41,18 @@ def normalise_transactions(df: DataFrame, as_of: str | None = None) -> DataFrame
     return df.select(
         tx_id.cast("long").alias("tx_id"), F.col("Sender_account").cast("string").alias("src"), F.col("Receiver_account").cast("string").alias("dst"),
         amount.alias("amount"), F.unix_micros(ts).alias("us"), F.coalesce(first_existing(df, ["cross_border_flag"], 0).cast("int"), F.lit(0)).alias("cb"),
+        *([label.cast("int").alias("label")] if label is not None else []),
     )
 
 
-def read_csv(spark: SparkSession, paths: list[str], schema: T.StructType | None = None) -> DataFrame:
-    """The first path that exists, as strings unless a schema is given."""
+def read_csv(spark: SparkSession, paths: list[str], schema: T.StructType | None = None, infer: bool = False) -> DataFrame:
+    """The first path that exists, as strings unless a schema is given or types are to be inferred."""
     fs = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark._jsc.hadoopConfiguration()
     for p in paths:
         at = fs(p)
         if at.getFileSystem(conf).exists(at):
-            reader = spark.read.option("header", True)
+            reader = spark.read.option("header", True).option("inferSchema", infer and schema is None)
             return (reader.schema(schema) if schema else reader).csv(p)
     raise FileNotFoundError(f"none of {paths}")
 
@@ -78,18 +79,44 @@ def people(report: str = "r"):
     return F.expr(f"filter(array({t}.t_from_my_client.from_account.signatory.t_person, {t}.t_from_my_client.from_person, {t}.t_to.to_account.signatory.t_person, {t}.t_to.to_person), p -> p is not null)")
 
 
-def entities(reports: DataFrame, file_name=None) -> DataFrame:
-    """A row per person of each parsed report ``r``: report_id (or the file's name), names, tax number, narrative. Reports that don't parse have no people."""
+def entities(reports: DataFrame, file_name=None, found: str | None = None, narrative=None) -> DataFrame:
+    """A row per person of each parsed report ``r``: report_id (or the file's name), names, tax number, narrative. Reports that don't parse have no people.
+
+    ``found`` names a column of people found elsewhere in the report, ``narrative`` is what a report without a reason tells.
+    """
     rid = F.coalesce(F.nullif(F.trim("r.report_id"), F.lit("")), file_name if file_name is not None else F.lit(""))
-    each = reports.select(rid.alias("report_id"), F.coalesce("r.reason", F.lit("")).alias("narrative"), F.explode(people()).alias("p"))
+    told = F.coalesce(F.nullif(F.col("r.reason"), F.lit("")), narrative if narrative is not None else F.lit(""), F.lit(""))
+    each = reports.select(rid.alias("report_id"), told.alias("narrative"), F.explode(F.col(found) if found else people()).alias("p"))
     return each.select("report_id", *[F.coalesce(F.trim(f"p.{c}"), F.lit("")).alias(c) for c in PERSON.names], "narrative")
 
 
+def parsed_reports(texts: DataFrame) -> DataFrame:
+    """Entities of XML texts (value, f: the file's name): every ``t_person`` at any depth and the parties named directly; a reason that is missing is the first text of over 150 characters."""
+    each = texts.select("f", F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<report\b[^>]*>.*?</report>"), F.lit(0))).alias("x"))
+    person = PERSON.simpleString()
+    r = each.select("f", "x", F.from_xml("x", REPORT.simpleString()).alias("r"), F.regexp_extract_all("x", F.lit(r"(?s)<t_person\b[^>]*>.*?</t_person>"), F.lit(0)).alias("parts"))
+    inside = F.expr(f"transform(parts, t -> from_xml(t, '{person}'))")
+    direct = F.expr("filter(array(r.transaction.t_from_my_client.from_person, r.transaction.t_to.to_person), p -> p.first_name is not null or p.last_name is not null)")
+    rows = r.withColumn("people", F.concat(inside, F.coalesce(direct, F.expr(f"from_json('[]', 'array<{person}>')"))))
+    long = F.regexp_extract("x", r">\s*([^<\s][^<]{149,}[^<\s])\s*<", 1)
+    return entities(rows, F.col("f"), "people", long)
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Entities of a folder of XML reports; every value is read as text, broken files give no rows."""
-    xml = spark.read.format("xml").option("rowTag", "report").option("mode", "PERMISSIVE").schema(REPORT).load(path)
-    named = xml.select(F.struct(*REPORT.names).alias("r"), F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\.xml$", "").alias("f"))
-    return entities(named, F.col("f"))
+    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.xml").text(path)
+    return parsed_reports(texts.select("value", F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\.xml$", "").alias("f")))
+
+
+def read_features(spark: SparkSession, *paths: str) -> DataFrame:
+    """The first feature table that exists, in order of preference, with types inferred; a table of transactions is summed up by account."""
+    df = read_csv(spark, list(paths), infer=True)
+    if {"Sender_account", "Receiver_account"} <= set(df.columns):
+        from ledgerlens.operators.learn import LABELS, account_table
+
+        keyed = df if "tx_id" in df.columns else df.withColumn("tx_id", F.monotonically_increasing_id())
+        return account_table(normalise_transactions(keyed, label=first_existing(keyed, list(LABELS), 0)), label="label")
+    return df
 
 
 def event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

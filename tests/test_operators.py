@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import indel_ratio, phonetic, risk_band
 from ledgerlens.operators import flow, graph, learn, risk, text, typology
-from ledgerlens.sources import ledger
+from ledgerlens.sources import ledger, sinks
 
 HOUR = 3_600_000_000
 
@@ -188,3 +188,91 @@ def test_xml_reports(spark, tmp_path):
     (tmp_path / "r2.xml").write_text("<report><broken")
     r = ledger.read_reports(spark, str(tmp_path)).collect()
     assert len(r) == 1 and (r[0].report_id, r[0].first_name, r[0].tax_number, r[0].narrative) == ("r1", "Ann", "0012", "Wire abroad")
+
+
+def test_xml_people_at_any_depth_and_the_first_long_text(spark, tmp_path):
+    long = "The client moved funds between accounts without any purpose that could be seen. " * 3
+    (tmp_path / "r3.xml").write_text(f"<report><note>short</note><body><x>{long}</x></body><a><b><t_person><first_name>Bo</first_name></t_person></b><t_person><last_name>Ray</last_name></t_person></a></report>")
+    (tmp_path / "other.txt").write_text("<report><t_person><first_name>No</first_name></t_person></report>")
+    r = sorted((x.report_id, x.first_name, x.last_name, x.narrative) for x in ledger.read_reports(spark, str(tmp_path)).collect())
+    assert r == [("r3", "", "Ray", long.strip()), ("r3", "Bo", "", long.strip())]
+
+
+def test_sinks(spark, tmp_path):
+    scores = spark.createDataFrame([("a", 0.5, None)], "account_id string, risk_score double, note string")
+    done = sinks.save({"scores": scores, "alerts": scores.limit(0), "metrics": scores}, str(tmp_path))
+    assert done == ["risk_scores", "model_metrics"] and spark.read.option("header", True).csv(str(tmp_path / "risk_scores.csv")).first().account_id == "a"
+    assert spark.read.text(str(tmp_path / "model_metrics.json")).first().value == '{"account_id":"a","note":null,"risk_score":0.5}'
+    accounts = spark.createDataFrame([(1, None, "B"), (2, "X", None)], "account_id long, name string, institution string")
+    tx = spark.createDataFrame([(1, 2, 5.0, None), (1, 9, 5.0, "USD")], "Sender_account long, Receiver_account long, amount_local_npr double, Payment_currency string")
+    sinks.write_graph(accounts, tx, str(tmp_path / "g"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "g/nodes")).collect())) == [("1", "Unknown Entity", "B", 0.0), ("2", "X", "KYC Pending", 0.0)]
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "g/edges")).select("source", "target", "currency", "cross_border").collect()] == [("1", "2", "NPR", 0)]
+
+
+def test_features_by_preference(spark, tmp_path):
+    (tmp_path / "ml.csv").write_text("Sender_account,Receiver_account,Amount,Is_laundering\na,b,10,1\nb,c,5,0\n")
+    got = by(ledger.read_features(spark, str(tmp_path / "none.csv"), str(tmp_path / "ml.csv")))
+    assert got["b"].received_amount_sum == 10 and got["b"].is_suspicious == 1 and got["c"].is_suspicious == 0
+    (tmp_path / "node.csv").write_text("account_id,x\na,1.5\n")
+    assert ledger.read_features(spark, str(tmp_path / "node.csv"), str(tmp_path / "ml.csv")).first().x == 1.5
+
+
+def test_attributions_add_up_to_the_margin(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x, y = r.normal(size=200), r.normal(size=200)
+    kind = r.choice(["p", "q", "r"], 200)
+    rows = [(f"a{i}", float(x[i]), float(y[i]), str(kind[i]), int(x[i] + (kind[i] == "q") * 2 + 0.3 * r.normal() > 0.8)) for i in range(200)]
+    d = spark.createDataFrame(rows, "account_id string, x double, y double, kind string, is_suspicious int")
+    scores, model, cols = learn.train_and_score(d, trees=8, depth=3, rate=0.3)
+    got = {}
+    for row in learn.tree_shap(model, learn.model_input(d, cols)).collect():
+        got.setdefault(row.account_id, {})[row.feature] = row.shap_value
+    margin = {r.account_id: np.log(r.risk_score / (1 - r.risk_score)) / 2 for r in scores.collect()}  # the trees' sum, as the model squashes twice of it
+    base = [margin[a] - sum(got[a].values()) for a in margin]
+    assert set(cols) == {"x", "y", "kind"} and max(base) - min(base) < 1e-9 and np.mean([abs(v["kind"]) for v in got.values()]) > 0.05
+    top = learn.importance(model, cols)
+    assert {n for n, _, _ in top[:2]} == {"x", "kind"} and sum(g for _, g, _ in top) == pytest.approx(1)
+    # against all subsets on one path: two features, one of them tested twice
+    o, z = [np.array([1.0]), np.array([0.0]), np.array([1.0])], [0.5, 0.25, 0.1]
+    from itertools import combinations
+    from math import factorial
+
+    v = lambda s: np.prod([o[i][0] if i in s else z[i] for i in range(3)])
+    want = [sum(factorial(k) * factorial(2 - k) / 6 * (v({*s, j}) - v(set(s))) for k in range(3) for s in combinations([i for i in range(3) if i != j], k)) for j in range(3)]
+    assert [float(p[0]) for p in learn.leaf_shares(o, z)] == pytest.approx(want)
+
+
+def test_labels_under_any_known_name(spark):
+    f = spark.createDataFrame([("1",), ("2",)], "account_id string")
+    y = spark.createDataFrame([(1, 1), (2, None)], "Sender_account long, Is_laundering int")
+    assert {r.account_id: r.is_suspicious for r in learn.attach_labels(f, y).collect()} == {"1": 1, "2": 0}
+
+
+def test_leiden_finds_planted_communities(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    n, k = 60, 4
+    pairs = {(i, j) for i in range(n) for j in range(i) if r.random() < (0.5 if i % k == j % k else 0.03)}
+    e = edges(spark, [(f"{i:02d}", f"{j:02d}", 1, 0, 0) for i, j in sorted(pairs)])
+    a = spark.createDataFrame([(f"{i:02d}",) for i in range(n)] + [("alone",)], "account_id string")
+    c = {r.account_id: r.community_id for r in graph.leiden(e, a).collect()}
+    assert len(c) == n + 1 and c["alone"] == "alone"
+
+    def modularity(of):
+        deg, m = [0] * n, len(pairs)
+        for i, j in pairs:
+            deg[i] += 1
+            deg[j] += 1
+        same = sum(of(i) == of(j) for i, j in pairs) / m
+        return same - sum((sum(deg[i] for i in range(n) if of(i) == g) / (2 * m)) ** 2 for g in {of(i) for i in range(n)})
+
+    assert modularity(lambda i: c[f"{i:02d}"]) >= modularity(lambda i: i % k) - 0.01
+
+
+def test_pagerank_plan_does_not_grow(small):
+    plan = graph.pagerank(small, 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 3
