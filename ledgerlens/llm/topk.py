@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import require, stored
+from ledgerlens.llm.common import require, small_side, stored
 
 HEAD_DIMS = 16
 
@@ -84,7 +85,7 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256,
     Each query meets all vectors but those of its own id. Null vectors, and those with null or non-finite
     components, take no part, nor do null ids; only vectors of the query's dimension are comparable. Equal
     scores go to the smaller id; repeated rows count as the vectors they are. An empty table gives no rows.
-    Blocks of queries meet blocks of vectors; no task holds more than one block of each.
+    Blocks of queries meet the blocks of vectors that their bounds leave; no task holds more than one block of each at a time.
     """
     require(vectors, id_col, vec_col)
     spark = vectors.sparkSession
@@ -97,19 +98,19 @@ def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256,
         turn = rotation(mine, dim)
         n_blocks = max(1, -(-n // block))
         ranged = mine.repartitionByRange(n_blocks, F.desc("norm2"), "id").sortWithinPartitions(F.desc("norm2"), "id")
-        packed = stored(ranged.select("id", "v", "norm2").mapInArrow(packer(block), "ids array<long>, v array<long>, top double"), "topk-blocks")
+        packed = stored(ranged.select("id", "v", "norm2").mapInArrow(packer(block), "block long, ids array<long>, v array<long>, top double"), "topk-blocks")
         # the longest block serves first
         head = packed.orderBy(F.desc("top")).limit(1).collect()
         hid = np.array(head[0]["ids"], np.int64)
         hv = np.array(head[0]["v"], np.int64).reshape(-1, dim)
         queries = mine.where(F.col("id") % every == 0).select("id", "v").repartition(max(1, -(-(n // every) // query_block)), "id")
         bounded = stored(queries.mapInArrow(bounds(hid, hv, dim, k, turn), "at long, qids array<long>, q array<long>, low array<double>, qmax double"), "topk-queries")
-        keys = [r["at"] for r in bounded.select("at").collect()]  # one per block of queries
-        if not keys:
-            continue
-        pairs = packed.withColumn("at", F.explode(F.expr(f"array({', '.join(f'{x}L' for x in keys)})")))
-        joined = pairs.join(bounded, "at").where(F.sqrt("top") * F.col("qmax") * 1.000001 + 1 >= F.array_min("low"))
-        joined = joined.select("ids", "v", "qids", "q", "low").repartition(min(512, n_blocks * len(keys)))
+        # bounds meet as numbers, a row a block; vectors follow only where a block of queries may need them
+        asked = bounded.select("at", "qmax", F.array_min("low").alias("low"))
+        near = F.sqrt("top") * F.col("qmax") * 1.000001 + 1 >= F.col("low")
+        pairs = stored(packed.select("block", "top").join(small_side(asked, "32"), near).select("block", "at"), "topk-pairs")
+        tasks = max(1, -(-pairs.count() // 4))
+        joined = pairs.join(packed, "block").join(bounded, "at").select("ids", "v", "qids", "q", "low").repartition(tasks)
         results.append(joined.mapInArrow(searcher(dim, k, turn), schema))
     if not results:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -130,11 +131,14 @@ def rotation(mine: DataFrame, dim: int, sample: int = 4096) -> np.ndarray:
 def packer(block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        part, made = TaskContext.get().partitionId(), 0
 
         def flush():
+            nonlocal made
+            made += 1
             ids = np.concatenate([x.column(0).to_numpy() for x in held])
             v = np.concatenate([np.asarray(x.column(1).flatten()) for x in held])
-            return pa.record_batch({"ids": pa.array([ids], pa.list_(pa.int64())), "v": pa.array([v], pa.list_(pa.int64())), "top": pa.array([held[0].column(2)[0].as_py()], pa.float64())})
+            return pa.record_batch({"block": pa.array([part << 32 | made], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "v": pa.array([v], pa.list_(pa.int64())), "top": pa.array([held[0].column(2)[0].as_py()], pa.float64())})
 
         for b in batches:
             while b.num_rows:
