@@ -57,3 +57,9 @@ def indel_ratio(a: str, b: str) -> Column:
 def weight(i: str, j: str, seed: float, scale: float) -> Column:
     """Closed-form projection weight, the same in every run and engine."""
     return F.sin(F.expr(f"12.9898D * {i} + 78.233D * {j} + {seed}D")) * scale
+
+
+def sentence_case(c):
+    """Underscores as spaces, the first letter upper case and the rest lower."""
+    text = F.lower(F.replace(c, F.lit("_"), F.lit(" ")))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.flow import collapse, neighbours, undirected
+from ledgerlens.operators.flow import collapse, multigraph, neighbours, undirected
 from ledgerlens.sources.shared import stored
 
 HOUR = 3_600_000_000
@@ -283,6 +283,23 @@ def ego_subgraph(edges: DataFrame, account: str, hops: int = 2) -> DataFrame:
     return edges.join(seen.withColumnRenamed("k", "src"), "src", "left_semi").join(seen.withColumnRenamed("k", "dst"), "dst", "left_semi").select("tx_id", "src", "dst", "amount", "us", "cb")
 
 
+def evidence_subgraph(accounts: DataFrame, edges: DataFrame, account: str, hops: int = 2) -> DataFrame:
+    """relation, source, target, amount, us, cb: edges of all relations among what lies within ``hops`` undirected steps of an account."""
+    e = multigraph(accounts, edges)[1]
+    seen = e.sparkSession.createDataFrame([(account,)], "k string")
+    for _ in range(hops):
+        out = e.join(seen.withColumnRenamed("k", "source"), "source", "left_semi").select(F.col("target").alias("k"))
+        back = e.join(seen.withColumnRenamed("k", "target"), "target", "left_semi").select(F.col("source").alias("k"))
+        seen = cut(seen.unionByName(out).unionByName(back).distinct())
+    within = e.join(seen.withColumnRenamed("k", "source"), "source", "left_semi").join(seen.withColumnRenamed("k", "target"), "target", "left_semi")
+    return within.select("relation", "source", "target", "amount", "us", "cb")
+
+
+def ego_edges(edges: DataFrame, account: str, limit: int = 80) -> DataFrame:
+    """The account's first ``limit`` transactions by time and id, parallel ones apart."""
+    return edges.where((F.col("src") == account) | (F.col("dst") == account)).orderBy("us", "tx_id").limit(limit)
+
+
 def alluvial_path(edges: DataFrame, account: str) -> DataFrame:
     """The account's largest outgoing transaction and its receiver's largest: up to two rows (hop, src, dst, amount); missing hops stay missing."""
     top = lambda df, hop: df.orderBy(F.desc("amount"), "tx_id").limit(1).select(F.lit(hop).alias("hop"), "src", "dst", "amount")

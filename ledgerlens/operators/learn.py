@@ -129,6 +129,20 @@ def pr_metrics(scored: DataFrame, score: str = "score", label: str = "label") ->
     )
 
 
+def label_correlations(df: DataFrame, cols: list[str], label: str, top: int = 12) -> DataFrame:
+    """feature, correlation: the ``top`` columns of greatest absolute correlation with the label, in one pass."""
+    one = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in cols])
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("correlation")) for c in cols])).alias("x")).select("x.*")
+    return rows.orderBy(F.abs("correlation").desc_nulls_last(), "feature").limit(top)
+
+
+def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
+    """feature_a, feature_b, correlation of every two columns, in one pass."""
+    two = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in enumerate(two)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"{i}").alias("correlation")) for i, (a, b) in enumerate(two)])).alias("x")).select("x.*")
+
+
 def slots(model) -> list[str]:
     """The column that each place of the feature vector comes from."""
     sizes = {s.getOutputCol(): int(s.categorySizes[0]) for s in model.stages if hasattr(s, "categorySizes")}

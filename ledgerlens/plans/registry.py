@@ -623,8 +623,28 @@ CORR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
 @query("y AS (SELECT *, CAST(l_returnflag = 'R' AS DOUBLE) y FROM lineitem) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, y), 6) AS correlation FROM y" for c in CORR), "")
 def label_correlation(spark, d):
     t = table(spark, d, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("double"))
-    one = t.agg(*[F.corr(F.col(c).cast("double"), "y").alias(c) for c in CORR])
-    return rounded(one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("correlation")) for c in CORR])).alias("x")).select("x.*"))
+    return rounded(learn.label_correlations(t, list(CORR), "y"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS correlation FROM lineitem" for i, a in enumerate(CORR) for b in CORR[i:]), "")
+def correlation_matrix(spark, d):
+    return rounded(learn.correlation_matrix(table(spark, d, "lineitem"), list(CORR)))
+
+
+@query(f"SELECT tx_id, src, dst, amount, us, cb FROM e WHERE src = '{ACCOUNT}' OR dst = '{ACCOUNT}' ORDER BY us, tx_id LIMIT 80")
+def ego_edges(spark, d):
+    return graph.ego_edges(ev(spark, d), ACCOUNT).select("tx_id", "src", "dst", "amount", "us", "cb")
+
+
+RELATIONS = """r AS (SELECT 'SENDS' relation, src source, dst target FROM e UNION ALL SELECT 'OWNS', CASE WHEN name <> '' THEN 'cust_' || replace(name, ' ', '_') ELSE 'cust_' || account_id END, account_id FROM a
+  UNION ALL SELECT 'LOCATED_IN', account_id, branch FROM a UNION ALL SELECT 'LOCATED_IN', branch, institution FROM a UNION ALL SELECT 'LOCATED_IN', institution, 'NP' FROM a)"""
+
+
+@query(RELATIONS + f""", f1 AS (SELECT '{ACCOUNT}' k UNION SELECT target FROM r WHERE source = '{ACCOUNT}' UNION SELECT source FROM r WHERE target = '{ACCOUNT}'),
+f2 AS (SELECT k FROM f1 UNION SELECT target FROM r WHERE source IN (SELECT k FROM f1) UNION SELECT source FROM r WHERE target IN (SELECT k FROM f1))
+SELECT relation, source, target, count(*) AS n FROM r WHERE source IN (SELECT k FROM f2) AND target IN (SELECT k FROM f2) GROUP BY ALL""")
+def evidence_subgraph(spark, d):
+    return graph.evidence_subgraph(acc(spark, d), ev(spark, d), ACCOUNT).groupBy("relation", "source", "target").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.scalars import indel_ratio, phonetic, risk_band
+from ledgerlens.functions.scalars import indel_ratio, phonetic, risk_band, sentence_case
 from ledgerlens.operators import flow, graph, learn, risk, text, typology
 from ledgerlens.sources import ledger, sinks
 
@@ -276,3 +276,8 @@ def test_leiden_finds_planted_communities(spark):
 def test_pagerank_plan_does_not_grow(small):
     plan = graph.pagerank(small, 6)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") <= 3
+
+
+def test_sentence_case(spark):
+    got = spark.createDataFrame([("rapid_MOVEMENT of",), ("",), (None,)], "x string").select(sentence_case(F.col("x")).alias("y")).collect()
+    assert [r.y for r in got] == ["Rapid movement of", "", None]
