@@ -144,12 +144,22 @@ def betti_persistence(edges: DataFrame, accounts: DataFrame, steps: int = 10) ->
     return best.select(F.col("k").alias("account_id"), F.col("x.birth").alias("betti_birth"), F.col("x.death").alias("betti_death"), F.col("x.p").alias("betti_persistence"))
 
 
+def time_bucket(us: str, w: int):
+    """The bucket of ``w`` microseconds that a time falls in; whole-number division, so times within ``w`` are at most one bucket apart."""
+    return F.expr(f"{us} div {w}")
+
+
+def ahead_of(us: str, w: int):
+    """The buckets that times from ``us`` to ``us + w`` fall in. Joined on these besides the account, a hub's edges meet in pieces."""
+    return F.expr(f"array({us} div {w}, {us} div {w} + 1)")
+
+
 def motif_triangles_cycles(edges: DataFrame, window_hours: float = 24.0) -> DataFrame:
     """account_id, motif_triangle, motif_cycle: closed u>v>w within the window, counted for all three."""
     w = int(window_hours * HOUR)
     e = edges.where("us is not null").select("src", "dst", "us")
-    a, b = e.alias("a"), e.alias("b")
-    two = a.join(b, F.expr(f"a.dst = b.src and b.us > a.us and b.us <= a.us + {w} and a.src <> b.dst")).select(F.expr("a.src as u"), F.expr("a.dst as v"), F.expr("b.dst as w"), F.expr("b.us as t2"), F.expr(f"a.us + {w} as hi"))
+    a, b = e.withColumn("tb", F.explode(ahead_of("us", w))).alias("a"), e.withColumn("tb", time_bucket("us", w)).alias("b")
+    two = a.join(b, F.expr(f"a.dst = b.src and a.tb = b.tb and b.us > a.us and b.us <= a.us + {w} and a.src <> b.dst")).select(F.expr("a.src as u"), F.expr("a.dst as v"), F.expr("b.dst as w"), F.expr("b.us as t2"), F.expr(f"a.us + {w} as hi"))
     # both closings in one join: the closing edge's ends in either order
     close = e.select(F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q"), "src", "us")
     two = two.withColumn("p", F.least("u", "w")).withColumn("q", F.greatest("u", "w"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import money_sum
 from ledgerlens.operators.flow import both_ends
-from ledgerlens.operators.graph import HOUR
+from ledgerlens.operators.graph import HOUR, ahead_of, time_bucket
 
 
 def alert(df: DataFrame, name: str, confidence, details) -> DataFrame:
@@ -18,14 +18,21 @@ def alert(df: DataFrame, name: str, confidence, details) -> DataFrame:
 
 
 def layering(edges: DataFrame, features: DataFrame, *, window_hours: float = 72.0, min_nodes: int = 3, conservation: float = 0.97, max_nodes: int = 6, start_ratio: float = 0.97, start_volume: float = 200_000.0) -> DataFrame:
-    """Ends of chains along which the amount is kept within the window; times that are null aren't checked. Hops count nodes."""
+    """Ends of chains along which the amount is kept within the window; times that are null aren't checked. Hops count nodes.
+
+    Hops meet on the account and on logarithmic buckets of the amount, as wide as an amount may change, so that a hub's edges are dealt by amount.
+    """
     w, hi = int(window_hours * HOUR), 2 - conservation
+    width = max(-math.log(conservation), math.log(hi), 1e-9) * 1.001
     e = edges.select("src", "dst", "amount", "us").join(features.select(F.col("account_id").alias("dst")), "dst", "left_semi")
     start = features.where((F.col("flow_ratio") >= start_ratio) & (F.col("out_volume") > start_volume)).select(F.col("account_id").alias("src"))
+    bucket = lambda x: f"floor(ln(abs({x})) / {width})"
+    e = e.withColumn("ab", F.expr(bucket("amount")))
     path = e.join(start, "src", "left_semi").where("src <> dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("last"), F.col("amount").alias("la"), F.col("us").alias("lu"))
     found = []
     for n in range(3, max_nodes + 1):
-        nxt = path.join(e, F.expr(f"last = src and not array_contains(path, dst) and coalesce(us between lu and lu + {w}, true) and amount / (la + 1e-9) between {conservation} and {hi}"))
+        near = path.withColumn("b", F.expr(bucket("la + 1e-9"))).select("*", F.explode(F.expr("array(b - 1, b, b + 1)")).alias("pb"))
+        nxt = near.join(e, F.expr(f"last = src and pb = ab and not array_contains(path, dst) and coalesce(us between lu and lu + {w}, true) and amount / (la + 1e-9) between {conservation} and {hi}"))
         path = nxt.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last"), F.col("amount").alias("la"), F.col("us").alias("lu"))
         if n >= min_nodes:
             found.append(path)
@@ -45,14 +52,14 @@ def structuring(features: DataFrame, *, min_recipients: int = 3, min_share: floa
 def carousel(edges: DataFrame, *, max_hours: float = 24.0, conservation: float = 0.98, max_nodes: int = 6) -> DataFrame:
     """Members of cycles of 3 to ``max_nodes`` accounts over each pair's latest edge, in time order from some start, amounts alike.
 
-    Each cycle is grown from the leg its time order starts with, so the order prunes every join.
+    Each cycle is grown from the leg its time order starts with, so the order prunes every join; legs meet on the account and on buckets of time.
     """
     w = int(max_hours * HOUR)
-    last = edges.where("src <> dst").groupBy("src", "dst").agg(F.max_by(F.struct("amount", "us"), F.struct(F.coalesce("us", F.lit(-(1 << 62))), "tx_id")).alias("x")).select("src", "dst", "x.amount", "x.us").where("us is not null")
+    last = edges.where("src <> dst").groupBy("src", "dst").agg(F.max_by(F.struct("amount", "us"), F.struct(F.coalesce("us", F.lit(-(1 << 62))), "tx_id")).alias("x")).select("src", "dst", "x.amount", "x.us").where("us is not null").withColumn("tb", time_bucket("us", w))
     path = last.select(F.array("src", "dst").alias("p"), F.col("src").alias("s"), F.col("dst").alias("l"), F.col("us").alias("t0"), F.col("us").alias("t"), F.col("amount").alias("lo"), F.col("amount").alias("hi"))
     rows = []
     for n in range(3, max_nodes + 2):
-        step = path.join(last, F.expr(f"l = src and us >= t and us <= t0 + {w} and least(lo, amount) / greatest(hi, amount) >= {conservation}"))
+        step = path.withColumn("pb", F.explode(ahead_of("t", w))).join(last, F.expr(f"l = src and pb = tb and us >= t and us <= t0 + {w} and least(lo, amount) / greatest(hi, amount) >= {conservation}"))
         if n > 3:
             rows.append(step.where("dst = s").select("p"))
         path = step.where("not array_contains(p, dst)").select(F.concat("p", F.array("dst")).alias("p"), "s", F.col("dst").alias("l"), "t0", F.col("us").alias("t"), F.least("lo", "amount").alias("lo"), F.greatest("hi", "amount").alias("hi"))
@@ -124,8 +131,9 @@ def ghost_payroll(edges: DataFrame, features: DataFrame, *, min_edges: int = 10,
     hubs = edges.groupBy("src").agg(F.count("*").alias("n")).where((F.col("n") >= min_edges) & (F.col("n") >= min_recipients)).select("src")
     even = features.where(F.col("flow_ratio").between(low, high)).select(F.col("account_id").alias("dst"))
     pay = edges.where("us is not null").join(hubs, "src", "left_semi").join(even, "dst", "left_semi").select(F.col("tx_id").alias("pay"), F.col("src").alias("hub"), F.col("dst").alias("mid"), F.col("us").alias("t"))
-    on = edges.where("us is not null").select(F.col("src").alias("mid"), F.col("dst").alias("target"), "amount", "us", "tx_id")
-    first = pay.join(on, (pay["mid"] == on["mid"]) & (on["us"] > pay["t"]) & (on["us"] <= pay["t"] + w))
+    pay = pay.withColumn("pb", F.explode(ahead_of("t", w)))
+    on = edges.where("us is not null").select(F.col("src").alias("mid"), F.col("dst").alias("target"), "amount", "us", "tx_id").withColumn("tb", time_bucket("us", w))
+    first = pay.join(on, (pay["mid"] == on["mid"]) & (pay["pb"] == on["tb"]) & (on["us"] > pay["t"]) & (on["us"] <= pay["t"] + w))
     first = first.groupBy("pay", "hub").agg(F.min_by(F.struct("target", "amount"), F.struct("us", "tx_id")).alias("x")).select("hub", "x.target", "x.amount")
     hit = first.groupBy("hub", "target").agg(money_sum("amount").alias("v")).where(F.col("v") > volume)
     rows = hit.select(F.explode(F.array("hub", "target")).alias("account_id"), "v").groupBy("account_id").agg(F.max("v").alias("v"))

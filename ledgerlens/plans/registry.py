@@ -423,7 +423,19 @@ def link_cascade(spark, d):
     return text.link_entities(str_entities(spark, d), acc(spark, d)).select("report_id", "account_id", "match_method")
 
 
-@query()
+#: Longest common subsequence by bits: the zeros left after every letter of x has passed over the places of y (62 letters at most).
+CONFIDENCE = LINK[: LINK.index("SELECT rid AS report_id, bt")].rstrip() + """,
+near AS (SELECT rid, ac.account_id, ep.f || ' ' || ep.l ent, ac.name FROM ep JOIN ac ON ac.pf = ep.pf AND ac.pl = ep.pl AND ep.pf <> '' AND ep.pl <> '' WHERE ep.tax NOT IN (SELECT tax FROM bt)),
+uq AS (SELECT DISTINCT lower(ent) x, lower(name) y FROM near),
+ls AS (SELECT x, y, 0 i, (1::BIGINT << length(y)) - 1 v FROM uq UNION ALL
+  SELECT x, y, i + 1, ((v + m) | (v - m)) & ((1::BIGINT << length(y)) - 1) FROM (
+    SELECT x, y, i, v, v & CAST(list_sum(list_transform(range(1, length(y) + 1), lambda j: CASE WHEN substr(y, j, 1) = substr(x, i + 1, 1) THEN 1::BIGINT << (j - 1) ELSE 0 END)) AS BIGINT) m FROM ls WHERE i < length(x))),
+sim AS (SELECT x, y, 2.0::DOUBLE * (length(y) - bit_count(v)) / (length(x) + length(y)) r FROM ls WHERE i = length(x))
+SELECT rid AS report_id, f || ' ' || l AS str_entity, bt.account_id, 'direct' AS match_method, CAST(1 AS DOUBLE) AS confidence FROM en JOIN bt ON bt.tax = en.tax AND en.tax <> ''
+UNION ALL SELECT rid, ent, account_id, 'phonetic_fuzzy', round_even(0.6::DOUBLE + 0.38::DOUBLE * r, 3) FROM near JOIN sim ON x = lower(ent) AND y = lower(name)"""
+
+
+@query(CONFIDENCE)
 def link_confidence(spark, d):
     return text.link_entities(str_entities(spark, d), acc(spark, d)).drop("narrative")
 
@@ -544,7 +556,16 @@ def case_record(spark, d):
     return rounded(c.drop("claims").withColumn("typologies", F.array_join("typologies", ",")))
 
 
-@query()
+REPORT = SCORE + "," + ALERTS.removeprefix(FLOW + ",") + "," + VERDICT.removeprefix(FLOW + ",") + """,
+ty AS (SELECT account_id, string_agg(DISTINCT typology, ', ' ORDER BY typology) t FROM al GROUP BY 1),
+cs AS (SELECT account_id, string_agg('- ' || claim_type || ': ' || s, chr(10) ORDER BY claim_type) t FROM (SELECT account_id, claim_type, max(s) s FROM vd GROUP BY ALL) GROUP BY 1)
+SELECT rk.account_id, printf('Case file of account %s', rk.account_id) || chr(10) || printf('Risk %s, score %.3f, rank %d', band, s, rn) || chr(10) || chr(10) || '1. Summary' || chr(10) || format('Inbound {:,.2f}, outbound {:,.2f}', vin, vout)
+  || printf(', ratio %.2f', vout / (vin + 1e-5)) || chr(10) || chr(10) || '2. Typologies' || chr(10) || coalesce(ty.t, 'none') || chr(10) || chr(10) || '3. Claims' || chr(10) || coalesce(cs.t, '- none')
+  || chr(10) || chr(10) || '4. Recommendation' || chr(10) || 'Review and decide on filing.' AS report
+FROM rk JOIN cf ON cf.account_id = rk.account_id LEFT JOIN ty ON ty.account_id = rk.account_id LEFT JOIN cs ON cs.account_id = rk.account_id"""
+
+
+@query(REPORT)
 def case_report(spark, d):
     f = graph.cut(core(spark, d))
     return text.case_report(risk.case_records(risk.rank_scores(risk.heuristic_score(f)), f, all_alerts(spark, d), verdicts(spark, d)))
@@ -661,14 +682,47 @@ def ranked_features(spark, d) -> DataFrame:
     return graph.cut(core(spark, d).join(graph.pagerank(ev(spark, d)), "account_id", "left").na.fill(0.0))
 
 
-@query()
+def weight_sql(i, j, seed: float) -> str:
+    return f"sin(12.9898::DOUBLE * {i} + 78.233::DOUBLE * {j} + {seed}::DOUBLE)"
+
+
+def projected_sql(columns: tuple[str, ...], j: str, seed: float) -> str:
+    return "(" + " + ".join(f"{c} * {weight_sql(i, j, seed)}" for i, c in enumerate(columns)) + ") * 0.5::DOUBLE"
+
+
+def wide_sql(prefix: str, dim: int = 16) -> str:
+    return ", ".join(f"round(max(v) FILTER (j = {i}), 6) AS emb_{prefix}_{i}" for i in range(dim))
+
+
+HAN = FLOW + "," + PR + f""", hx AS (SELECT cf.account_id, CASE WHEN name <> '' THEN name ELSE cf.account_id END cu, branch, fr, tps, coalesce(x, 0)::DOUBLE pr, hi FROM cf JOIN a ON a.account_id = cf.account_id LEFT JOIN x10 ON x10.k = cf.account_id),
+hh AS (SELECT account_id, cu, branch, j, {projected_sql(('fr', 'tps', 'pr', 'hi'), 'j', 1.0)} h FROM hx, (SELECT unnest(range(16)) j)),
+hz AS (SELECT account_id, j, avg(h) OVER (PARTITION BY cu, j) zc, avg(h) OVER (PARTITION BY branch, j) zb FROM hh),
+he AS (SELECT sum(tanh(zc) * {weight_sql(0, 'j', 7.0)}) / count(DISTINCT account_id) ec, sum(tanh(zb) * {weight_sql(0, 'j', 7.0)}) / count(DISTINCT account_id) eb FROM hz),
+hv AS (SELECT account_id, j, (exp(ec) * zc + exp(eb) * zb) / (exp(ec) + exp(eb)) v FROM hz, he)
+SELECT account_id, {wide_sql('han')} FROM hv GROUP BY account_id"""
+
+
+@query(HAN)
 def han_embedding(spark, d):
-    return embed.wide(embed.han(acc(spark, d), ranked_features(spark, d)), "han")
+    return rounded(embed.wide(embed.han(acc(spark, d), ranked_features(spark, d)), "han"))
 
 
-@query()
+STANDARD = ", ".join(f"({c} - avg({c}) OVER ()) / (stddev_pop({c}) OVER () + 1e-9::DOUBLE) {c}" for c in ("vin", "vout", "pr", "hi"))
+TGAT = FLOW + "," + PR + f""", tx AS (SELECT account_id, {STANDARD} FROM (SELECT account_id, vin, vout, coalesce(x, 0)::DOUBLE pr, hi FROM cf LEFT JOIN x10 ON x10.k = account_id)),
+th AS (SELECT account_id, j, {projected_sql(('vin', 'vout', 'pr', 'hi'), 'j', 2.0)} h FROM tx, (SELECT unnest(range(8)) j)),
+tl AS (SELECT account_id, list(h ORDER BY j) h FROM th GROUP BY account_id),
+te AS (SELECT b.k, b.o, (max(us) OVER (PARTITION BY b.k) - us) / 3.6e9::DOUBLE dh FROM b JOIN tl ON tl.account_id = b.o WHERE us IS NOT NULL),
+tp2 AS (SELECT te.k, p.h hk, q.h g, list_transform(range(8), lambda i: cos(dh * pow(10000.0::DOUBLE, -2.0::DOUBLE * i / 16))) pc, list_transform(range(8), lambda i: sin(dh * pow(10000.0::DOUBLE, -2.0::DOUBLE * i / 16))) ps FROM te JOIN tl p ON p.account_id = te.k JOIN tl q ON q.account_id = te.o),
+tn AS (SELECT k, list_concat(g, pc) v, list_sum(list_transform(range(8), lambda i: hk[i + 1] * g[i + 1] * {weight_sql('i', 'i', 3.0)}))
+   + list_sum(list_transform(range(16), lambda i: (list_concat(pc, ps))[i + 1] * {weight_sql('i', 0, 4.0)} * 0.1::DOUBLE)) en FROM tp2),
+tw AS (SELECT k, v, exp(en - max(en) OVER (PARTITION BY k)) w FROM tn), tj AS (SELECT k, w, unnest(v) x, unnest(range(16)) j FROM tw), ts AS (SELECT k, j, sum(w * x) / sum(w) v FROM tj GROUP BY ALL),
+tv AS (SELECT account_id, n.j, CASE WHEN EXISTS (SELECT 1 FROM tw WHERE tw.k = account_id) THEN ts.v WHEN n.j < 8 THEN tl.h[n.j + 1] ELSE 0 END v FROM tl CROSS JOIN (SELECT unnest(range(16)) j) n LEFT JOIN ts ON ts.k = account_id AND ts.j = n.j)
+SELECT account_id, {wide_sql('tgat')} FROM tv GROUP BY account_id"""
+
+
+@query(TGAT)
 def tgat_embedding(spark, d):
-    return embed.wide(embed.tgat(ev(spark, d), ranked_features(spark, d)), "tgat")
+    return rounded(embed.wide(embed.tgat(ev(spark, d), ranked_features(spark, d)), "tgat"))
 
 
 @query()

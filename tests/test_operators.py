@@ -281,3 +281,39 @@ def test_pagerank_plan_does_not_grow(small):
 def test_sentence_case(spark):
     got = spark.createDataFrame([("rapid_MOVEMENT of",), ("",), (None,)], "x string").select(sentence_case(F.col("x")).alias("y")).collect()
     assert [r.y for r in got] == ["Rapid movement of", "", None]
+
+
+def test_joins_on_buckets_find_what_plain_joins_find(spark):
+    """Pairs on both sides of bucket borders, times before 1970, null times, null and negative amounts."""
+    import random
+    from itertools import product
+
+    from ledgerlens.operators import graph, typology
+
+    rng, day, names = random.Random(5), 86_400_000_000, "abcdef"
+    times = [k * day + x for k in (-2, -1, 0, 1, 2) for x in (-1, 0, 1)]
+    rows = [(i, *rng.sample(names, 2), rng.choice([100.0, 97.0, 103.0, 99.999999, -100.0, -98.0, 0.0, None]), rng.choice([*times, None]), 0) for i in range(90)]
+    e = spark.createDataFrame(rows, "tx_id long, src string, dst string, amount double, us long, cb int")
+    timed = [r for r in rows if r[4] is not None]
+    want = dict.fromkeys(names, (0, 0))
+    for p, q, r in product(timed, timed, timed):
+        if p[2] == q[1] and p[4] < q[4] <= p[4] + day and p[1] != q[2] and {r[1], r[2]} == {p[1], q[2]} and q[4] < r[4] <= p[4] + day:
+            for k in (p[1], p[2], q[2]):
+                t, c = want[k]
+                want[k] = (t + (r[1] == p[1]), c + (r[1] != p[1]))
+    got = {r.account_id: (r.motif_triangle, r.motif_cycle) for r in graph.motif_triangles_cycles(e).collect()}
+    assert got == {k: v for k, v in want.items() if v != (0, 0)}
+    feats = spark.createDataFrame([(k, 1.0, 1e6) for k in names], "account_id string, flow_ratio double, out_volume double")
+    ends = set()
+
+    def grow(path, last):
+        if len(path) >= 3:
+            ends.add(path[-1])
+        for r in rows if len(path) < 4 else ():
+            near = last[3] is not None and r[3] is not None and 0.97 <= r[3] / (last[3] + 1e-9) <= 1.03
+            if r[1] == path[-1] and r[2] not in path and near and (r[4] is None or last[4] is None or last[4] <= r[4] <= last[4] + 3 * day):
+                grow([*path, r[2]], r)
+
+    for r in rows:
+        grow([r[1], r[2]], r)
+    assert {r.account_id for r in typology.layering(e, feats, max_nodes=4).collect()} == ends
