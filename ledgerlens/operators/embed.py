@@ -23,15 +23,16 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def han(accounts: DataFrame, features: DataFrame, *, dim: int = 16, columns: tuple[str, ...] = ("flow_ratio", "tps_score", "pagerank", "hawkes_intensity")) -> DataFrame:
     """account_id, embedding: attention over two metapaths. Accounts that share a customer or branch have equal rows in the
-    metapath's matrix, so its product with the features is the mean over the group: two aggregations, no matrix."""
+    metapath's matrix, so its product with the features is the mean over the group: two aggregations, no matrix. An account
+    without a branch has an empty row there, so zeros."""
     cols = list(columns)
     x = accounts.select("account_id", "name", "branch").join(features.select("account_id", *cols), "account_id", "left").na.fill(0.0, cols)
     x = x.withColumn("customer", F.when(F.col("name") != "", F.col("name")).otherwise(F.col("account_id")))
     z = cut(x.withColumn("h", project(cols, dim, 1.0)).select("account_id", "customer", "branch", "h"))
     paths = []
     for g in ("customer", "branch"):
-        mean = z.groupBy(g).agg(F.array(*[F.avg(F.col("h")[k]) for k in range(dim)]).alias(f"z_{g}"))
-        z = z.join(mean, g)
+        mean = z.where(F.col(g).isNotNull()).groupBy(g).agg(F.array(*[F.avg(F.col("h")[k]) for k in range(dim)]).alias(f"z_{g}"))
+        z = z.join(mean, g, "left").withColumn(f"z_{g}", F.coalesce(f"z_{g}", F.array_repeat(F.lit(0.0), dim)))
         paths.append(f"z_{g}")
     q = [weight("0", f"{k}", 7.0, 1.0) for k in range(dim)]
     energy = [F.avg(sum((F.tanh(F.col(p)[k]) * q[k] for k in range(dim)), F.lit(0.0))).alias(f"e_{p}") for p in paths]

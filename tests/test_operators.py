@@ -317,3 +317,27 @@ def test_joins_on_buckets_find_what_plain_joins_find(spark):
     for r in rows:
         grow([r[1], r[2]], r)
     assert {r.account_id for r in typology.layering(e, feats, max_nodes=4).collect()} == ends
+
+
+def test_attention_over_metapaths_by_hand(spark):
+    """Against whole matrices; an account without a branch or a name keeps its row."""
+    import numpy as np
+
+    from ledgerlens.operators import embed
+
+    rows = [("1", "x", "B1"), ("2", "x", "B2"), ("3", "", "B1"), ("4", None, None)]
+    values = [(0.9, 0.1, 0.4, 0.3), (1.1, 0.5, 0.1, 0.0), (1.0, 0.0, 0.2, 0.9), (0.2, 0.3, 0.3, 0.1)]
+    accounts = spark.createDataFrame(rows, "account_id string, name string, branch string")
+    feats = spark.createDataFrame([(r[0], *v) for r, v in zip(rows, values)], "account_id string, flow_ratio double, tps_score double, pagerank double, hawkes_intensity double")
+    got = {r.account_id: r.embedding for r in embed.han(accounts, feats, dim=4).collect()}
+    w = lambda i, j, seed: np.sin(12.9898 * i + 78.233 * j + seed)
+    h = np.array(values) @ np.array([[w(i, j, 1.0) * 0.5 for j in range(4)] for i in range(4)])
+    same = lambda keys: np.array([[float(a is not None and a == b) for b in keys] for a in keys])
+    paths = []
+    for keys in ([r[1] or r[0] for r in rows], [r[2] for r in rows]):
+        m = same(keys)
+        paths.append(m / np.maximum(m.sum(1, keepdims=True), 1) @ h)
+    q = np.array([w(0, k, 7.0) for k in range(4)])
+    e = np.exp([np.mean(np.tanh(z) @ q) for z in paths])
+    want = (e[0] * paths[0] + e[1] * paths[1]) / e.sum()
+    assert sorted(got) == ["1", "2", "3", "4"] and all(got[r[0]] == pytest.approx(list(x)) for r, x in zip(rows, want))
