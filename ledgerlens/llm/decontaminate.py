@@ -39,14 +39,17 @@ def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, w: int) ->
     """Windows of every item with their slot values; an item shorter than ``w`` tokens is one window.
 
     Windows with fewer than four plain words say too little and are left out. An item of ``w`` tokens or more that has
-    no others keeps those of three different tokens, marked ``exact``: they count with equal values only.
+    no others keeps those of three different tokens, marked ``exact``: they count with equal values only. Windows that
+    an item repeats, values included, are one, at the first place: else a phrase said n times would meet itself n * n times.
     """
-    items = bench.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), tokens(F.col(text_col), True).alias("tv"))
+    items = bench.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), F.xxhash64(text_col).alias("th"), tokens(F.col(text_col), True).alias("tv"))
     items = items.withColumn("w", F.least(F.lit(w), F.size("tv"))).where("w > 0")
+    items = stored(items, "decon-items")  # else Catalyst may put the tokenising into the lambda, once for every window
     items = items.withColumn("all", F.expr("transform(sequence(0, size(tv) - w), i -> struct(i as b_pos, slice(tv, i + 1, w) as win))"))
     items = items.withColumn("usable", F.expr("filter(all, x -> size(filter(x.win, t -> not startswith(t, '<'))) >= 4)"))
     items = items.withColumn("exact", F.expr("size(usable) = 0")).withColumn("keep", F.expr(f"case when not exact then usable when w >= {w} then filter(all, x -> size(array_distinct(x.win)) >= 3) end"))
-    rows = items.select("item", "w", "exact", F.size("keep").alias("n_item"), F.explode("keep").alias("x")).select("item", "w", "exact", "n_item", "x.*")
+    items = items.withColumn("n_item", F.expr("size(array_distinct(transform(keep, x -> xxhash64(x.win))))"))
+    rows = items.select("item", "th", "w", "exact", "n_item", F.explode("keep").alias("x")).groupBy("item", "th", "w", "exact", "n_item", "x.win").agg(F.min("x.b_pos").alias("b_pos"))
     rows = rows.withColumn("template", F.expr("transform(win, t -> regexp_replace(t, '=.*', '>'))"))
     return rows.select("item", "w", "b_pos", F.expr("xxhash64(w, template)").alias("h"), "template", F.expr("transform(filter(win, t -> startswith(t, '<')), t -> regexp_replace(t, '^<[a-z]+=|>$', ''))").alias("b_slots"), "n_item", "exact")
 
@@ -55,7 +58,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, mi
     """``id, text_hash, item_id, n_windows, n_item_windows, share, reparameterised`` for each document and item that it holds.
 
     Windows count by occurrence, where document and item run side by side, if each slot value of the item stands for
-    one value there. A pair counts when at least ``min_share`` of the item's usable windows match so, or ``min_run``
+    one value there; what an item repeats word for word counts once. A pair counts when at least ``min_share`` of the item's usable windows match so, or ``min_run``
     tokens in a row. ``reparameterised`` is that of the occurrence of most windows. Null and empty texts hold nothing; a null item id or text is left
     out; repeated rows give one pair; extra columns are ignored; an empty table on either side gives no rows.
     Documents are scanned once for matches and once more for the few that have any. The benchmark's windows are
