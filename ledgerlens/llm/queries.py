@@ -55,7 +55,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.quality_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_substring_dedup, op4_source_mixing, op5_html_main_text, op6_benchmark_decontamination, op7_lm_score, op8_personal_data, op9_exact_top_k, op10_quality_classifier)}
