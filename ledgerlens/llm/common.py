@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.sources.shared import shared_dir as shared_dir
 from ledgerlens.sources.shared import stored as stored
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, html_text, lm_score, mixing, ngram_join, passages, pii, quality, token_counts, topk
+from ledgerlens.llm import clusters, decontaminate, filter_audit, html_text, lm_score, mixing, ngram_join, passages, pii, quality, token_counts, token_files, topk
 from ledgerlens.llm.common import crc_mod, table
 
 
@@ -58,7 +58,30 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_substring_dedup, op4_source_mixing, op5_html_main_text, op6_benchmark_decontamination, op7_lm_score, op8_personal_data, op9_exact_top_k, op10_quality_classifier)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after five rounds from 40 centroids, with distances and the centroids' digests."""
+    return clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids, written to token files and read back: where they start, how many, and their crc32."""
+    docs = table(spark, sf_dir, "documents")
+    back = token_files.read_tokens(spark, token_files.write_tokens(docs, tokenizer("byte_bpe_50k.json")))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each language in all 120 orders."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join, op2_token_counts, op3_substring_dedup, op4_source_mixing, op5_html_main_text, op6_benchmark_decontamination,
+        op7_lm_score, op8_personal_data, op9_exact_top_k, op10_quality_classifier, op11_centroid_clusters, op12_token_files, op13_filter_audit,
+    )
+}
 
 #: The exact search in SQL: integer inner products of every query against every other row.
 TOP_K_SQL = """
@@ -70,4 +93,9 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) r FROM s) WHERE r <= 5
 """
 
-ORACLES: dict[str, str] = {"op4_source_mixing": mixing.SQL.format(docs="documents"), "op9_exact_top_k": TOP_K_SQL}
+ORACLES: dict[str, str] = {
+    "op4_source_mixing": mixing.SQL.format(docs="documents"),
+    "op9_exact_top_k": TOP_K_SQL,
+    "op11_centroid_clusters": clusters.sql(),
+    "op13_filter_audit": filter_audit.SQL,
+}
