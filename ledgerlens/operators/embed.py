@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import weight
 from ledgerlens.operators.flow import both_ends, neighbours, undirected
-from ledgerlens.operators.graph import cut
+from ledgerlens.operators.forest import cut
+from ledgerlens.operators.order import sums_before
 
 
 def project(columns: list[str], dim: int, seed: float, scale: float = 0.5):
@@ -64,52 +65,96 @@ def tgat(edges: DataFrame, features: DataFrame, *, dim: int = 16, columns: tuple
     return h.join(out, "account_id", "left").select("account_id", F.coalesce("z", alone).alias("embedding"))
 
 
-def netmf(edges: DataFrame, accounts: DataFrame, *, dim: int = 16, window: int = 3, iterations: int = 2) -> DataFrame:
+def walk_weights(links: DataFrame, *, window: int = 3, samples: int = 4) -> tuple[DataFrame, float]:
+    """(k, o, v for k <= o: the logarithm of the walks' co-occurrence over chance, where it is above 0; the sum of degrees), from links (k, o) both ways.
+
+    Walks of one step are the links themselves. From each link ``samples`` walks go on to ``window`` steps, and each place they come
+    to counts 1 / samples: without bias the walks of that length between the two ends, as many rows as links a step. A step
+    picks a link of the place by its number in the order of all links, a key that no two links share, so hubs
+    aren't hot; picks are hashes, so a task tried again makes the same.
+    """
+    numbered, total = sums_before(links, [F.col("k"), F.col("o")], {"g": F.lit(1)})
+    numbered = cut(numbered)
+    node = numbered.groupBy("k").agg(F.min("g").alias("g0"), F.count("*").alias("d"))
+    to = node.select(F.col("k").alias("o"), F.col("g0").alias("o0"), F.col("d").alias("do"))
+    adjacent = cut(numbered.join(node.select("k", F.col("d").alias("dk")), "k").join(to, "o").select("g", "k", "o", "o0", "do", "dk"))
+    at = adjacent.select("k", "dk", "o", "do", "o0", F.col("g").alias("from"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("s"))
+    parts = [adjacent.select("k", "dk", "o", "do", F.lit(1.0).alias("x"))]
+    for step in range(2, window + 1):
+        nxt = adjacent.select(F.col("g").alias("pick"), F.col("o").alias("o2"), F.col("do").alias("do2"), F.col("o0").alias("o02"))
+        pick = F.col("o0") + F.pmod(F.xxhash64("from", "s", F.lit(step)), F.col("do"))
+        at = at.withColumn("pick", pick).join(nxt, "pick").select("k", "dk", F.col("o2").alias("o"), F.col("do2").alias("do"), F.col("o02").alias("o0"), "from", "s")
+        at = cut(at) if step < window else at
+        parts.append(at.select("k", "dk", "o", "do", F.lit(1.0 / samples).alias("x")))
+    seen = parts[0]
+    for p in parts[1:]:
+        seen = seen.unionByName(p)
+    # either direction estimates the same number: their mean
+    half = F.when(F.col("k") == F.col("o"), F.col("x")).otherwise(F.col("x") / 2)
+    pair = seen.select(F.least("k", "o").alias("k"), F.greatest("k", "o").alias("o"), (F.col("dk") * F.col("do")).alias("dd"), half.alias("x")).groupBy("k", "o").agg(F.sum("x").alias("x"), F.first("dd").alias("dd"))
+    vol = float(total["g"])
+    return pair.select("k", "o", F.ln(F.col("x") * (vol / window) / F.col("dd")).alias("v")).where("v > 0"), vol
+
+
+def gram(y: DataFrame, dim: int):
+    """The dim x dim products of the columns of ``y``, one row a task summed on the driver."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        g = np.zeros((dim, dim))
+        for b in batches:
+            m = np.asarray(b.column(0).flatten()).reshape(-1, dim)
+            g += m.T @ m
+        yield pa.record_batch({"g": pa.array([g.ravel()], pa.list_(pa.float64()))})
+
+    return sum((np.array(r["g"]).reshape(dim, dim) for r in y.select("y").mapInArrow(run, "g array<double>").collect()), np.zeros((dim, dim)))
+
+
+def turned(y: DataFrame, t) -> DataFrame:
+    """k, y: each row of ``y`` times the small matrix ``t``."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            m = np.asarray(b.column(1).flatten()).reshape(-1, len(t)) @ t
+            yield pa.record_batch({"k": b.column(0), "y": pa.array(list(m), pa.list_(pa.float64()))})
+
+    return y.select("k", "y").mapInArrow(run, f"k {y.schema['k'].dataType.simpleString()}, y array<double>")
+
+
+def netmf(edges: DataFrame, accounts: DataFrame, *, dim: int = 16, window: int = 3, iterations: int = 2, samples: int = 4) -> DataFrame:
     """account_id, embedding of the log co-occurrence matrix of walks up to ``window`` steps, by randomised subspace iteration.
 
-    The matrix stays a table (i, j, v); its product with a block of ``dim`` vectors is a join and a sum, and only
+    The matrix is estimated from ``samples`` walks a link (``walk_weights``), so its rows grow with the links, not with the square of
+    the accounts. Its product with a block of ``dim`` vectors is a join and a sum, and only
     dim x dim Gram matrices reach the driver. The sign of each dimension is that of its largest component.
     """
     import numpy as np
 
-    und = cut(neighbours(undirected(edges)).join(accounts.select(F.col("account_id").alias("k")), "k", "left_semi").join(accounts.select(F.col("account_id").alias("o")), "o", "left_semi"))
-    deg = cut(und.groupBy("k").agg(F.count("*").alias("d")))
-    vol = deg.agg(F.sum("d")).first()[0]
+    und = neighbours(undirected(edges)).join(accounts.select(F.col("account_id").alias("k")), "k", "left_semi").join(accounts.select(F.col("account_id").alias("o")), "o", "left_semi")
+    half, vol = walk_weights(und, window=window, samples=samples)
     zero = F.array_repeat(F.lit(0.0), dim)
     if not vol:
         return accounts.select("account_id", zero.alias("embedding"))
-    p = cut(und.join(deg, "k").select("k", "o", (1.0 / F.col("d")).alias("v")))
-    power, total = p, p
-    for _ in range(window - 1):
-        power = cut(power.select("k", F.col("o").alias("m"), F.col("v").alias("x")).join(p.select(F.col("k").alias("m"), "o", "v"), "m").groupBy("k", "o").agg(F.sum(F.col("x") * F.col("v")).alias("v")))
-        total = total.unionByName(power)
-    s = total.groupBy("k", "o").agg(F.sum("v").alias("v")).join(deg.select(F.col("k").alias("o"), "d"), "o")
-    m = cut(s.select("k", "o", F.ln(F.greatest(F.col("v") * (float(vol) / window) / F.col("d"), F.lit(1.0))).alias("v")).where("v > 0"))
-    y = deg.select("k", F.array(*[F.sin(F.xxhash64("k", F.lit(j)) / 1e15) for j in range(dim)]).alias("y"))
+    half = cut(half)
+    both = F.explode(F.expr("case when k = o then array(struct(k, o)) else array(struct(k, o), struct(o as k, k as o)) end")).alias("e")
+    m = cut(half.select(both, "v").select("e.k", "e.o", "v"))
+    y = m.select("k").distinct().select("k", F.array(*[F.sin(F.xxhash64("k", F.lit(j)) / 1e15) for j in range(dim)]).alias("y"))
 
     def times(y: DataFrame) -> DataFrame:
         return cut(m.join(y.select(F.col("k").alias("o"), "y"), "o").groupBy("k").agg(F.array(*[F.sum(F.col("v") * F.col("y")[j]) for j in range(dim)]).alias("y")))
 
-    def gram(y: DataFrame):
-        row = y.agg(*[F.sum(F.col("y")[i] * F.col("y")[j]) for i in range(dim) for j in range(i, dim)]).first()
-        g, at = np.zeros((dim, dim)), iter(row)
-        for i in range(dim):
-            for j in range(i, dim):
-                g[i, j] = g[j, i] = next(at) or 0.0
-        return g
-
-    def turned(y: DataFrame, t) -> DataFrame:
-        return y.select("k", F.array(*[sum((F.col("y")[i] * float(t[i, j]) for i in range(dim)), F.lit(0.0)) for j in range(dim)]).alias("y"))
-
     y = times(y)
+    w, u = np.linalg.eigh(gram(y, dim))
     scale = None
     for _ in range(iterations + 1):
-        w, u = np.linalg.eigh(gram(y))
         w, u = w[::-1], u[:, ::-1]
         q = turned(y, u * np.where(w > 1e-12 * max(w[0], 1e-300), 1 / np.sqrt(np.maximum(w, 1e-300)), 0.0))
         y = times(q)
-        scale = np.sqrt(np.sqrt(np.maximum(np.linalg.eigvalsh(gram(y))[::-1], 0.0)))
-    w, u = np.linalg.eigh(gram(y))
+        w, u = np.linalg.eigh(gram(y, dim))
+        scale = np.sqrt(np.sqrt(np.maximum(w[::-1], 0.0)))
     w, u = w[::-1], u[:, ::-1]
     z = turned(y, u * np.where(w > 1e-12 * max(w[0], 1e-300), scale / np.sqrt(np.maximum(w, 1e-300)), 0.0))
     z = cut(z)

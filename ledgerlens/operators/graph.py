@@ -6,16 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.flow import collapse, multigraph, neighbours, undirected
-from ledgerlens.sources.shared import stored
+from ledgerlens.operators.forest import connected_components, cut, level_components, spanning_forest
+from ledgerlens.operators.order import quantiles
 
 HOUR = 3_600_000_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage ended by a table in the shared checkpoint folder."""
-    return stored(df, "graph")
-
-
 def pagerank(edges: DataFrame, iterations: int = 10, alpha: float = 0.85) -> DataFrame:
     """account_id, pagerank: damped power iteration on summed amounts; rank of nodes without outflow is spread evenly.
 
@@ -77,22 +73,6 @@ def burt_constraint(edges: DataFrame, accounts: DataFrame | None = None, sink_po
     return out
 
 
-def connected_components(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """k, root of undirected pairs (u, v), apart for every value of ``keys``: least neighbours and pointer jumps until nothing changes."""
-    keys = keys or []
-    both = cut(pairs.select(*keys, F.col("u").alias("k"), F.col("v").alias("o")).unionByName(pairs.select(*keys, F.col("v").alias("k"), F.col("u").alias("o"))))
-    label = both.groupBy(*keys, "k").agg(F.least(F.col("k"), F.min("o")).alias("root"))
-    while True:
-        far = label.select(*keys, F.col("k").alias("o"), F.col("root").alias("r"))
-        low = both.join(far, [*keys, "o"]).groupBy(*keys, "k").agg(F.min("r").alias("m"))
-        low = cut(low.join(label, [*keys, "k"]).select(*keys, "k", F.least("m", "root").alias("r1"), F.col("root").alias("was")))
-        jump = low.select(*keys, F.col("k").alias("r1"), F.col("r1").alias("r2"))
-        new = cut(low.join(jump, [*keys, "r1"], "left").select(*keys, "k", F.least("r1", F.coalesce("r2", "r1")).alias("root"), "was"))
-        label = new.select(*keys, "k", "root")
-        if new.where("root <> was").isEmpty():
-            return label
-
-
 def scan(edges: DataFrame, accounts: DataFrame, epsilon: float = 0.6, mu: int = 3) -> DataFrame:
     """account_id, scan_cluster: least core id of the cluster (the greatest for borders of several), HUB or OUTLIER otherwise.
 
@@ -124,22 +104,27 @@ def betti_persistence(edges: DataFrame, accounts: DataFrame, steps: int = 10) ->
     """account_id, betti_birth, betti_death, betti_persistence of components under rising amount thresholds.
 
     A component is told by its least member and size: raising the threshold only splits components, so equal
-    (least member, size) at two thresholds is the same set. All thresholds run in one pass.
+    (least member, size) at two thresholds is the same set. The components at a threshold are those of the greatest
+    spanning forest's links that reach it, so only the forest, not the ledger, is looked at for every threshold.
     """
     e = edges.join(accounts.select(F.col("account_id").alias("src")), "src", "left_semi").join(accounts.select(F.col("account_id").alias("dst")), "dst", "left_semi")
-    lo, hi = (float(x) for x in (e.agg(F.percentile("amount", F.array(F.lit(0.1), F.lit(0.98)))).first()[0] or (0.0, 0.0)))
-    if e.isEmpty():
+    e = cut(e.select("src", "dst", "amount"))
+    bounds = quantiles(e, "amount", [0.1, 0.98])
+    if bounds is None:
         return accounts.select("account_id", *[F.lit(0.0).alias(c) for c in ("betti_birth", "betti_death", "betti_persistence")])
+    lo, hi = bounds
     cuts = F.array(*[F.struct(F.lit(i).alias("t_idx"), F.lit(lo + (hi - lo) * i / (steps - 1)).alias("t")) for i in range(steps)])
-    at = e.where("src <> dst").groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.max("amount").alias("w"))
-    pairs = at.select("u", "v", "w", F.explode(cuts).alias("c")).where("w >= c.t").select("c.t_idx", "u", "v")
-    comp = connected_components(pairs, ["t_idx"])
+    pairs = e.where("src <> dst").groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.max("amount").alias("w"))
+    tree = spanning_forest(pairs.where(F.col("w") >= lo))
+    level = F.size(F.filter(cuts, lambda c: F.col("w") >= c["t"])) - 1
+    comp = level_components(tree.select("u", "v", level.alias("level")), steps)
     nodes = accounts.select(F.col("account_id").alias("k"), F.explode(cuts).alias("c")).select("k", "c.t_idx", "c.t")
-    every = nodes.join(comp, ["t_idx", "k"], "left").withColumn("root", F.coalesce("root", "k"))
-    size = every.groupBy("t_idx", "root").agg(F.count("*").alias("n"))
-    life = every.join(size, ["t_idx", "root"])
-    span = life.groupBy("root", "n").agg(F.min("t").alias("birth"), F.max("t").alias("death"))
-    mine = life.select("k", "root", "n").distinct().join(span, ["root", "n"]).withColumn("p", F.col("death") - F.col("birth"))
+    every = cut(nodes.join(comp, ["t_idx", "k"], "left").withColumn("root", F.coalesce("root", "k")))
+    size = every.groupBy("t_idx", "root").agg(F.count("*").alias("n"), F.first("t").alias("t"))
+    span = size.groupBy("root", "n").agg(F.min("t").alias("birth"), F.max("t").alias("death"), F.collect_list("t_idx").alias("at"))
+    # a component's members are those of any threshold of its life
+    one = span.select("root", "birth", "death", (F.col("death") - F.col("birth")).alias("p"), F.element_at("at", 1).alias("t_idx"))
+    mine = every.join(one, ["t_idx", "root"])
     best = mine.groupBy("k").agg(F.max_by(F.struct("birth", "death", "p"), F.struct("p", (-F.col("birth")).alias("b"))).alias("x"))
     return best.select(F.col("k").alias("account_id"), F.col("x.birth").alias("betti_birth"), F.col("x.death").alias("betti_death"), F.col("x.p").alias("betti_persistence"))
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.operators.flow import both_ends
+from ledgerlens.operators.order import sums_before
 
 #: Column names under which labels and accounts are known, in order of preference, and columns that are no features.
 LABELS = (
@@ -117,16 +118,21 @@ def train_and_score(labelled: DataFrame, **params) -> tuple[DataFrame, object, l
 
 
 def pr_metrics(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """average_precision, base_rate, best_f1, best_threshold of scores against labels; equal scores enter together."""
-    per = scored.groupBy(score).agg(F.sum(label).cast("long").alias("p"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    c = per.select(F.col(score).alias("s"), "p", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("k"), F.sum("p").over(every).alias("tot"), F.sum("n").over(every).alias("all"))
-    precision, recall = F.col("tp") / F.col("k"), F.try_divide(F.col("tp"), F.col("tot"))
+    """average_precision, base_rate, best_f1, best_threshold of scores against labels; equal scores enter together.
+
+    The curve's running counts come from ranges of falling score, so no task orders all scores. A table without positive labels
+    has an average precision of 0, an empty one nulls.
+    """
+    per = scored.groupBy(F.col(score).alias("s")).agg(F.sum(label).cast("long").alias("p"), F.count("*").alias("n"))
+    placed, total = sums_before(per, [F.desc("s")], {"tp": F.col("p"), "k": F.col("n")})
+    c = placed.select("s", "p", (F.col("tp") + F.coalesce("p", F.lit(0))).alias("tp"), (F.col("k") + F.col("n")).alias("k"))
+    positive = F.lit(total["tp"]).cast("long")
+    precision, recall = F.col("tp") / F.col("k"), F.try_divide(F.col("tp"), positive)
     f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
-    return c.withColumn("f1", f1).agg(
-        F.coalesce(F.sum(F.try_divide(F.col("p"), F.col("tot")) * precision), F.lit(0.0)).alias("average_precision"), (F.max("tot") / F.max("all")).alias("base_rate"), F.max("f1").alias("best_f1"), F.max_by("s", F.struct("f1", (-F.col("s")).alias("x"))).alias("best_threshold"),
-    )
+    base = F.try_divide(positive, F.nullif(F.lit(total["k"]).cast("long"), F.lit(0)))
+    best = F.max_by("s", F.struct("f1", (-F.col("s")).alias("x")))
+    average = F.coalesce(F.sum(F.try_divide(F.col("p"), positive) * precision), F.lit(0.0))
+    return c.withColumn("f1", f1).agg(average.alias("average_precision"), F.max(base).alias("base_rate"), F.max("f1").alias("best_f1"), best.alias("best_threshold"))
 
 
 def label_correlations(df: DataFrame, cols: list[str], label: str, top: int = 12) -> DataFrame:

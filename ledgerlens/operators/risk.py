@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import clip, money_sum, risk_band
 from ledgerlens.operators.graph import cut
+from ledgerlens.operators.order import sums_before
 
 #: Feature-name tokens of the driver groups, tried in order.
 DRIVER_GROUPS = (
@@ -66,19 +67,17 @@ def contagion(scores: DataFrame, edges: DataFrame, *, iterations: int = 5, alpha
 
 
 def rank_scores(scores: DataFrame, score: str = "risk_score") -> DataFrame:
-    """The rows with risk_percentile (average ties), risk_band and rank (score descending, then account).
+    """The rows with risk_percentile (average ties), risk_band and rank (score descending, then account; from 1).
 
-    Ranks come from counts of distinct rounded-free scores, so only one row per score passes through the single ordered window.
+    Both come from sums over ranges of the order: rows of one score are spread over ranges by account, so neither all
+    scores nor one that many accounts share pass through one task. Null scores rank last and have the least percentiles.
     """
-    per = scores.groupBy(score).agg(F.count("*").alias("c"))
-    up = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("c").over(Window.partitionBy())
-    per = per.select(F.col(score).alias("_s"), "c", F.coalesce(F.sum("c").over(up), F.lit(0)).alias("below"), total.alias("n"))
-    tie = Window.partitionBy(score).orderBy("account_id")
-    out = scores.join(per, F.col(score).eqNullSafe(F.col("_s"))).withColumn("tie", F.row_number().over(tie))
-    pct = (F.col("below") + (F.col("c") + 1) / 2.0) / F.col("n") * 100
-    rank = F.col("n") - F.col("below") - F.col("c") + F.col("tie")
-    return out.withColumn("risk_percentile", pct).withColumn("risk_band", risk_band(F.col(score))).withColumn("rank", rank.cast("long")).drop("_s", "c", "below", "n", "tie")
+    placed, _ = sums_before(scores, [F.desc_nulls_last(score), F.col("account_id")], {"rank": F.lit(1)})
+    per, total = sums_before(placed.groupBy(score).agg(F.count("*").alias("_c")), [F.asc_nulls_first(score)], {"_below": F.col("_c")})
+    out = placed.join(per.withColumnRenamed(score, "_s"), F.col(score).eqNullSafe(F.col("_s")))
+    pct = (F.col("_below") + (F.col("_c") + 1) / 2.0) / float(max(total["_below"], 1)) * 100
+    ranked = out.withColumn("risk_percentile", pct).withColumn("risk_band", risk_band(F.col(score)))
+    return ranked.select(*scores.columns, "risk_percentile", "risk_band", (F.col("rank") + 1).cast("long").alias("rank"))
 
 
 def driver_group(feature):

@@ -126,9 +126,15 @@ def loan_back(edges: DataFrame, features: DataFrame, *, pagerank: float = 0.002,
 
 
 def ghost_payroll(edges: DataFrame, features: DataFrame, *, min_edges: int = 10, min_recipients: int = 5, low: float = 0.9, high: float = 1.1, hours: float = 12.0, volume: float = 500_000.0) -> DataFrame:
-    """Hubs whose receivers pass payments on to one target; the first onward edge of each receiver's payment counts."""
+    """Hubs whose receivers pass payments on to one target; the first onward edge of each receiver's payment counts.
+
+    A hub has ``min_edges`` links out, of any relation: its payments and, for an account of the register (``features``), the link to its branch;
+    and ``min_recipients`` payments.
+    """
     w = int(hours * HOUR)
-    hubs = edges.groupBy("src").agg(F.count("*").alias("n")).where((F.col("n") >= min_edges) & (F.col("n") >= min_recipients)).select("src")
+    placed = features.select(F.col("account_id").alias("src"), F.lit(1).alias("branch")).distinct()
+    out = edges.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= min_recipients)
+    hubs = out.join(placed, "src", "left").where(F.col("n") + F.coalesce("branch", F.lit(0)) >= min_edges).select("src")
     even = features.where(F.col("flow_ratio").between(low, high)).select(F.col("account_id").alias("dst"))
     pay = edges.where("us is not null").join(hubs, "src", "left_semi").join(even, "dst", "left_semi").select(F.col("tx_id").alias("pay"), F.col("src").alias("hub"), F.col("dst").alias("mid"), F.col("us").alias("t"))
     pay = pay.withColumn("pb", F.explode(ahead_of("t", w)))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import risk_band
 from ledgerlens.operators import embed, flow, graph, learn, risk, text, typology
+from ledgerlens.plans import serve
+from ledgerlens.plans.point import LedgerIndex
 from ledgerlens.sources import ledger
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,18 +274,18 @@ def carousel_cycles(spark, d):
     return typology.carousel(ev(spark, d), max_hours=72.0, conservation=0.5)
 
 
-@query(FLOW + " SELECT account_id, 'Mule Account' AS typology, CAST(0.88 AS DOUBLE) AS confidence FROM cf WHERE hi > 0.1 AND fr BETWEEN 0.9 AND 1.1 AND vout > 1000")
+@query(FLOW + " SELECT account_id, 'Mule Account' AS typology, CAST(0.88 AS DOUBLE) AS confidence, printf('intensity %.3f', hi) AS details FROM cf WHERE hi > 0.1 AND fr BETWEEN 0.9 AND 1.1 AND vout > 1000")
 def mule_accounts(spark, d):
-    return typology.mule(core(spark, d), hawkes=0.1, low=0.9, high=1.1, volume=1000.0).drop("details")
+    return typology.mule(core(spark, d), hawkes=0.1, low=0.9, high=1.1, volume=1000.0)
 
 
 ACCD = f"""ad AS (SELECT k, avg(us) FILTER (out = 0) ti, avg(us) FILTER (out = 1) t_o, count(*) FILTER (out = 0) ni, count(*) FILTER (out = 1) no, CAST(sum({AMT}) FILTER (out = 0) AS DOUBLE) vi, CAST(sum({AMT}) FILTER (out = 1) AS DOUBLE) vo FROM b GROUP BY k),
-ax AS (SELECT k FROM ad WHERE ni >= 4 AND no >= 4 AND ti < t_o AND vo / (vi + 1e-5) BETWEEN 0.8 AND 1.2 AND vi > 500)"""
+ax AS (SELECT k, vi, vo FROM ad WHERE ni >= 4 AND no >= 4 AND ti < t_o AND vo / (vi + 1e-5) BETWEEN 0.8 AND 1.2 AND vi > 500)"""
 
 
-@query(FLOW + "," + ACCD + " SELECT k AS account_id, 'Accumulate and Disperse' AS typology, CAST(0.89 AS DOUBLE) AS confidence FROM ax")
+@query(FLOW + "," + ACCD + " SELECT k AS account_id, 'Accumulate and Disperse' AS typology, CAST(0.89 AS DOUBLE) AS confidence, printf('in %.2f, out %.2f', vi, vo) AS details FROM ax")
 def accumulate_disperse(spark, d):
-    return typology.accumulate_disperse(ev(spark, d), tolerance=0.2, volume=500.0).drop("details")
+    return typology.accumulate_disperse(ev(spark, d), tolerance=0.2, volume=500.0)
 
 
 GHOST = """gp AS (SELECT x.tx_id cb_tx, y.tx_id dom_tx, x.src sender, y.dst receiver FROM e x JOIN e y ON x.cb = 1 AND y.cb = 0 AND x.amount > 0 AND y.amount > 0 AND y.amount >= x.amount * (1 - 0.05) AND y.amount <= x.amount * (1 + 0.05) AND abs(y.us - x.us) <= 3600000000 AND x.src <> y.dst
@@ -295,31 +297,38 @@ def ghost_flows(spark, d):
     return typology.ghost_pairs(ev(spark, d)).select("cb_tx", "dom_tx", "sender", "receiver")
 
 
-LOAN = PR + """, lb AS (SELECT account_id FROM cf JOIN x10 ON x10.k = account_id WHERE x > 0.0001 AND fr BETWEEN 0.95 AND 1.05 AND account_id IN (SELECT p.src FROM e p JOIN e q ON p.src = q.dst AND p.dst = q.src))"""
+@query(GHOST + """, gc AS (SELECT gp.*, x.us, x.amount FROM gp JOIN e x ON x.tx_id = cb_tx ORDER BY x.us, cb_tx, x.amount, dom_tx LIMIT 250)
+SELECT k AS account_id, 'Hawala Ghost Flow' AS typology, CAST(0.9 AS DOUBLE) AS confidence, printf('from transaction %d', min(cb_tx)) AS details FROM (SELECT sender k, cb_tx FROM gc UNION ALL SELECT receiver, cb_tx FROM gc) GROUP BY k""")
+def ghost_flow_alerts(spark, d):
+    """The detector with its cap of 500 alerts, in order of time."""
+    return typology.ghost_flow(ev(spark, d))
 
 
-@query(FLOW + "," + LOAN + """ SELECT account_id, 'Loan-Back' AS typology, CAST(0.80 AS DOUBLE) AS confidence FROM lb""")
+LOAN = PR + """, lb AS (SELECT account_id, x FROM cf JOIN x10 ON x10.k = account_id WHERE x > 0.0001 AND fr BETWEEN 0.95 AND 1.05 AND account_id IN (SELECT p.src FROM e p JOIN e q ON p.src = q.dst AND p.dst = q.src))"""
+
+
+@query(FLOW + "," + LOAN + """ SELECT account_id, 'Loan-Back' AS typology, CAST(0.80 AS DOUBLE) AS confidence, printf('pagerank %.4f', x::DOUBLE) AS details FROM lb""")
 def loan_back(spark, d):
     f = core(spark, d).join(graph.pagerank(ev(spark, d)), "account_id")
-    return typology.loan_back(ev(spark, d), f, pagerank=0.0001).drop("details")
+    return typology.loan_back(ev(spark, d), f, pagerank=0.0001)
 
 
-PAY = f"""hb AS (SELECT src k FROM e GROUP BY src HAVING count(*) >= 10), pm AS (SELECT x.tx_id pay, x.src hub, y.dst target, y.amount, row_number() OVER (PARTITION BY x.tx_id ORDER BY y.us, y.tx_id) r
+PAY = f"""hb AS (SELECT src k FROM e GROUP BY src HAVING count(*) >= 5 AND count(*) + CAST(src IN (SELECT account_id FROM a) AS INTEGER) >= 10), pm AS (SELECT x.tx_id pay, x.src hub, y.dst target, y.amount, row_number() OVER (PARTITION BY x.tx_id ORDER BY y.us, y.tx_id) r
       FROM e x JOIN e y ON y.src = x.dst AND y.us > x.us AND y.us <= x.us + 43200000000 WHERE x.src IN (SELECT k FROM hb) AND x.dst IN (SELECT account_id FROM cf WHERE fr BETWEEN 0.9 AND 1.1)),
 pt AS (SELECT hub, target, CAST(sum({AMT}) AS DOUBLE) v FROM pm WHERE r = 1 GROUP BY ALL HAVING CAST(sum({AMT}) AS DOUBLE) > 60)"""
 
 
-@query(FLOW + "," + PAY + " SELECT DISTINCT k AS account_id, 'Ghost Payroll' AS typology, CAST(0.92 AS DOUBLE) AS confidence FROM (SELECT hub k FROM pt UNION SELECT target FROM pt)")
+@query(FLOW + "," + PAY + " SELECT k AS account_id, 'Ghost Payroll' AS typology, CAST(0.92 AS DOUBLE) AS confidence, printf('volume %.2f', max(v)) AS details FROM (SELECT hub k, v FROM pt UNION SELECT target, v FROM pt) GROUP BY k")
 def ghost_payroll(spark, d):
-    return typology.ghost_payroll(ev(spark, d), core(spark, d), volume=60.0).drop("details")
+    return typology.ghost_payroll(ev(spark, d), core(spark, d), volume=60.0)
 
 
 SHELL = f"""sv AS (SELECT dst k, CAST(sum({AMT}) AS DOUBLE) v, coalesce(CAST(sum({AMT}) FILTER (CAST(src AS BIGINT) % 7 = CAST(dst AS BIGINT) % 7) AS DOUBLE), 0) own FROM e GROUP BY dst)"""
 
 
-@query(FLOW + "," + SHELL + " SELECT account_id, 'Shell Layering' AS typology, CAST(0.87 AS DOUBLE) AS confidence FROM cf JOIN sv ON sv.k = account_id WHERE acct_type = 'CURRENT' AND fr > 0.95 AND own / v > 0.15 AND v > 500")
+@query(FLOW + "," + SHELL + " SELECT account_id, 'Shell Layering' AS typology, CAST(0.87 AS DOUBLE) AS confidence, printf('share %.3f', own / v) AS details FROM cf JOIN sv ON sv.k = account_id WHERE acct_type = 'CURRENT' AND fr > 0.95 AND own / v > 0.15 AND v > 500")
 def shell_layering(spark, d):
-    return typology.shell_layering(ev(spark, d), core(spark, d), communities(acc(spark, d)), share=0.15, volume=500.0).drop("details")
+    return typology.shell_layering(ev(spark, d), core(spark, d), communities(acc(spark, d)), share=0.15, volume=500.0)
 
 
 def all_alerts(spark, d) -> DataFrame:
@@ -536,6 +545,11 @@ def linear_shap(spark, d):
     return rounded(linear_shap_rows(spark, d), 5)
 
 
+@query(SHAP_SQL + f" SELECT account_id, feature, round(v, 5) AS shap_value, round(abs(v), 5) AS abs_shap_value FROM sh WHERE account_id = '{ACCOUNT}' ORDER BY abs(v) DESC, feature LIMIT 15")
+def serve_shap(spark, d):
+    return rounded(serve.account_shap(linear_shap_rows(spark, d), ACCOUNT), 5)
+
+
 @query(SHAP_SQL + """, gr AS (SELECT account_id, CASE WHEN regexp_matches(feature, 'sent_|sender_|tx_count|velocity|amount|threshold|tps|dfa|hawkes') THEN 'self_behavior' WHEN regexp_matches(feature, 'received_|receiver_|counterparty|neighbor|degree') THEN 'counterparty' ELSE 'self_behavior' END g, abs(v) v FROM sh),
 gs AS (SELECT u.account_id, n.g, coalesce((SELECT sum(v) FROM gr WHERE gr.account_id = u.account_id AND gr.g = n.g), 0) s FROM (SELECT DISTINCT account_id FROM sh) u, (SELECT unnest(['self_behavior', 'counterparty', 'community', 'external']) g) n)
 SELECT account_id, g AS driver_group, round(s / sum(s) OVER (PARTITION BY account_id), 6) AS share FROM gs""")
@@ -548,12 +562,13 @@ def counterfactual_edges(spark, d):
     return risk.counterfactual_edges(ev(spark, d), ACCOUNT)
 
 
-@query(SCORE + "," + ALERTS.removeprefix(FLOW + ",") + """ SELECT rk.account_id, round(s, 6) AS risk_score, band AS risk_band, rn AS rank, round(vin, 6) AS in_volume, round(vout, 6) AS out_volume, coalesce((SELECT string_agg(DISTINCT typology, ',' ORDER BY typology) FROM al WHERE al.account_id = rk.account_id), '') AS typologies
+@query(SCORE + "," + ALERTS.removeprefix(FLOW + ",") + "," + VERDICT.removeprefix(FLOW + ",") + """ SELECT coalesce((SELECT string_agg(claim_type || '=' || s, ',' ORDER BY claim_type) FROM (SELECT claim_type, max(s) s FROM vd WHERE vd.account_id = rk.account_id GROUP BY claim_type)), '') AS claims, rk.account_id, round(s, 6) AS risk_score, band AS risk_band, rn AS rank, round(vin, 6) AS in_volume, round(vout, 6) AS out_volume, coalesce((SELECT string_agg(DISTINCT typology, ',' ORDER BY typology) FROM al WHERE al.account_id = rk.account_id), '') AS typologies
     FROM rk JOIN cf USING (account_id)""")
 def case_record(spark, d):
     f = graph.cut(core(spark, d))
     c = risk.case_records(risk.rank_scores(risk.heuristic_score(f)), f, all_alerts(spark, d), verdicts(spark, d))
-    return rounded(c.drop("claims").withColumn("typologies", F.array_join("typologies", ",")))
+    said = F.array_join(F.expr("transform(map_entries(claims), x -> concat(x.key, '=', x.value))"), ",")
+    return rounded(c.withColumn("claims", said).withColumn("typologies", F.array_join("typologies", ",")))
 
 
 REPORT = SCORE + "," + ALERTS.removeprefix(FLOW + ",") + "," + VERDICT.removeprefix(FLOW + ",") + """,
@@ -571,6 +586,70 @@ def case_report(spark, d):
     return text.case_report(risk.case_records(risk.rank_scores(risk.heuristic_score(f)), f, all_alerts(spark, d), verdicts(spark, d)))
 
 
+# ---- an analyst's questions about one account, and the queue
+
+
+MINE = f"mine AS (SELECT * FROM e WHERE src = '{ACCOUNT}' OR dst = '{ACCOUNT}')"
+
+
+@query(MINE + " SELECT tx_id, src, dst, amount, us, cb FROM mine ORDER BY us, tx_id LIMIT 2500")
+def point_transactions(spark, d):
+    return LedgerIndex.build(ev(spark, d)).transactions(ACCOUNT)
+
+
+@query(MINE + f""", t AS (SELECT * FROM mine ORDER BY us, tx_id LIMIT 100), h0 AS (SELECT 0 hop, '{ACCOUNT}' k, amount FROM t ORDER BY us, tx_id LIMIT 1),
+h1 AS (SELECT 1 hop, dst k, amount FROM t WHERE src = '{ACCOUNT}' ORDER BY amount DESC, us, tx_id LIMIT 1), h2 AS (SELECT 2 hop, dst k, amount FROM t WHERE src IN (SELECT k FROM h1) ORDER BY amount DESC, us, tx_id LIMIT 1)
+SELECT CAST(hop AS INTEGER) AS hop, k AS account_id, CAST(trunc(amount) AS BIGINT) AS amount FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)""")
+def point_path(spark, d):
+    return LedgerIndex.build(ev(spark, d)).path(ACCOUNT)
+
+
+@query(SUB.replace("SELECT src, dst, us, amount, CASE", ", li AS (SELECT src, dst, us, amount, CASE", 1) + """),
+ro AS (SELECT src id, role_source role FROM li UNION SELECT dst, role_target FROM li)
+SELECT id, coalesce(name, 'Unknown Entity') AS name, coalesce(institution, 'N/A') AS bank, role FROM ro LEFT JOIN a ON a.account_id = id""")
+def point_subgraph_nodes(spark, d):
+    return LedgerIndex.build(ev(spark, d)).subgraph(ACCOUNT, acc(spark, d))[0]
+
+
+@query(SUB.replace("SELECT src, dst, us, amount, CASE", ", li AS (SELECT src, dst, us, amount, CASE", 1) + ") SELECT src AS source, dst AS target, amount, us FROM li")
+def point_subgraph_links(spark, d):
+    return LedgerIndex.build(ev(spark, d)).subgraph(ACCOUNT, acc(spark, d))[1]
+
+
+@query(f"""f1 AS (SELECT '{ACCOUNT}' k UNION SELECT dst FROM e WHERE src = '{ACCOUNT}' UNION SELECT src FROM e WHERE dst = '{ACCOUNT}'),
+f2 AS (SELECT k FROM f1 UNION SELECT dst FROM e WHERE src IN (SELECT k FROM f1) UNION SELECT src FROM e WHERE dst IN (SELECT k FROM f1))
+SELECT tx_id, src, dst, amount, us, cb FROM e WHERE src IN (SELECT k FROM f2) AND dst IN (SELECT k FROM f2)""")
+def point_within(spark, d):
+    return LedgerIndex.build(ev(spark, d)).within(ACCOUNT)
+
+
+@query(FLOW + f""" SELECT account_id, acct_type, round(vin, 6) AS in_volume, round(vout, 6) AS out_volume, din AS in_degree, dout AS out_degree, round(fr, 6) AS flow_ratio, round(dfa, 6) AS dfa_score,
+       round(hi, 6) AS hawkes_intensity, round(tps, 6) AS tps_score, br AS band_recipients FROM cf WHERE account_id = '{ACCOUNT}'""")
+def serve_features(spark, d):
+    return rounded(serve.account_features(core(spark, d), ACCOUNT))
+
+
+@query(VERDICT + f""" SELECT doc_id AS report_id, account_id, CASE WHEN claim_type = 'cross_border_activity' THEN 'Cross-border transfers' WHEN claim_type = 'rapid_movement' THEN 'Speed of movement' ELSE 'Claim: ' || claim_type END AS text,
+    CASE WHEN s = 'CONFIRMED' THEN 'The transaction network bears the claim out.' ELSE 'The transaction network doesn''t bear the claim out.' END AS details, s AS status FROM vd WHERE account_id = '{ACCOUNT}'""")
+def serve_claims(spark, d):
+    return serve.account_claims(verdicts(spark, d), ACCOUNT)
+
+
+@query(ALERTS + " SELECT account_id, typology, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM al ORDER BY CAST(confidence AS DOUBLE) DESC, account_id, typology LIMIT 500")
+def serve_alerts(spark, d):
+    return rounded(serve.alerts(all_alerts(spark, d)).drop("details"))
+
+
+@query(SCORE + " SELECT count(*) AS accounts, count(*) FILTER (band = 'CRITICAL') AS critical, round(max(s), 6) AS max_score FROM rk")
+def serve_overview(spark, d):
+    return rounded(serve.overview(serve.loaded_scores(risk.heuristic_score(core(spark, d)))))
+
+
+@query(SCORE + " SELECT account_id, round(s, 6) AS risk_score, round(pct, 6) AS risk_percentile, band AS risk_band, rn AS rank FROM rk WHERE s >= 0.3 AND band IN ('ELEVATED', 'HIGH')")
+def serve_queue(spark, d):
+    return rounded(serve.filtered_queue(serve.loaded_scores(risk.heuristic_score(core(spark, d))), 0.3, ("ELEVATED", "HIGH")))
+
+
 # ---- learning
 
 TXA = f"""ag AS (SELECT k, """ + ", ".join(
