@@ -18,7 +18,7 @@ import numpy as np
 
 WINDOW, LOW_BITS, WORD = 60, 44, 16
 SHARE_BITS, FINE_BITS = 16, 20
-SLOTS, CONTEXTS, FIRST_SNAPSHOT = 2048, 32, 64
+SLOTS, CONTEXTS, FIRST_SNAPSHOT = 1024, 32, 64
 SOURCES = 4
 
 
@@ -140,7 +140,7 @@ def encode(blocks: list[np.ndarray], vocabulary: Vocabulary) -> list[bytes]:
     rows[2:] = x.T
     m = Mixture(n)
     low, span, written = np.zeros(n, np.int64), np.full(n, 1 << WINDOW, np.int64), np.zeros(n, np.int64)
-    words = np.zeros((2 * steps + 8, n), np.int32)
+    words = np.zeros((2 * steps + 8, n), np.int32)  # with carries, so over 16 bits until the end
     flat = words.reshape(-1)
     lane = np.arange(n, dtype=np.int64)
     spot, runs, bits, taken = None, None, 0, 0
@@ -188,7 +188,7 @@ def encode(blocks: list[np.ndarray], vocabulary: Vocabulary) -> list[bytes]:
     for j in range(int(written.max()) - 1, 0, -1):
         words[j - 1] += words[j] >> WORD
     out: list[bytes] = [b""] * n
-    columns = np.ascontiguousarray((words & 0xFFFF).astype(">u2").T)
+    columns = np.ascontiguousarray(words[: int(written.max())].astype(">u2").T)  # keeps the low 16 bits
     for i, b in enumerate(order):
         out[b] = columns[i, : written[i]].tobytes()
     return out
@@ -201,12 +201,14 @@ def decode(coded: list[bytes], sizes: np.ndarray, vocabulary: Vocabulary) -> lis
     order, open_ = by_length(sizes)
     n, steps = len(coded), len(open_)
     longest = max(len(c) // 2 for c in coded)
-    raw = np.zeros((longest + 6, n), np.int64)
+    raw = np.zeros((longest + 6, n), np.uint16)
     for lane, b in enumerate(order):
         w = np.frombuffer(coded[b], ">u2")
         raw[: len(w), lane] = w
-    off = raw[0] << 44 | raw[1] << 28 | raw[2] << 12 | raw[3] >> 4
-    follow = (((raw[3:-1] & 15) << 12) | raw[4:] >> 4).astype(np.int64).reshape(-1)  # the words after the first 60 bits
+    head = raw[:4].astype(np.int64)
+    off = head[0] << 44 | head[1] << 28 | head[2] << 12 | head[3] >> 4
+    follow = ((raw[3:-1] & 15) << 12 | raw[4:] >> 4).reshape(-1)  # the words after the first 60 bits
+    del raw
     span, taken_words = np.full(n, 1 << WINDOW, np.int64), np.zeros(n, np.int64)
     x = np.zeros((steps + 2, n), np.int32)
     m = Mixture(n)
@@ -215,7 +217,10 @@ def decode(coded: list[bytes], sizes: np.ndarray, vocabulary: Vocabulary) -> lis
     for t in range(steps):
         a = int(open_[t])
         if t >= FIRST_SNAPSHOT and t & (t - 1) == 0:
-            ids, start, runs = (y.reshape(-1) for y in snapshot(np.ascontiguousarray(x[2 : t + 2, :a].T)))
+            ids, start, runs = np.empty((3, a, t), np.int32)
+            for i in range(0, a, 256):
+                ids[i : i + 256], start[i : i + 256], runs[i : i + 256] = snapshot(x[2 : t + 2, i : min(i + 256, a)].T)
+            ids, start, runs = ids.reshape(-1), start.reshape(-1), runs.reshape(-1)
             bits, taken = t.bit_length() - 1, t
         one = x[t + 1][:a]
         m.predict(slot1(one), slot2(one, x[t][:a]))
@@ -245,7 +250,7 @@ def decode(coded: list[bytes], sizes: np.ndarray, vocabulary: Vocabulary) -> lis
         k = np.flatnonzero(span[:a] < 1 << LOW_BITS)
         while len(k):
             w, s = taken_words.take(k), span.take(k) << WORD
-            off[k] = off.take(k) << WORD | follow.take(w * n + k)
+            off[k] = off.take(k) << WORD | follow.take(w * n + k).astype(np.int64)
             taken_words[k] = w + 1
             span[k] = s
             k = k[s < 1 << LOW_BITS]

@@ -69,6 +69,7 @@ class Encoder:
 
         self.library = Tokenizer.from_str(vocabulary)
         self.special = [t["content"] for t in json.loads(vocabulary).get("added_tokens", [])]
+        self.mark = (self.special[0], self.library.token_to_id(self.special[0])) if self.special else None
         self.kinds, self.end_id = kinds, end_id
         size = np.minimum(np.arange(SHORT + 1), 8)
         self.low_mask = np.array([(1 << 8 * int(n)) - 1 for n in size], np.uint64)
@@ -98,9 +99,18 @@ class Encoder:
         return new
 
     def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids in a row, ids of each word): one call of the library, which takes the words as they are split."""
-        e = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
-        return np.array(e.ids, np.int32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(words))
+        """(ids in a row, ids of each word): one call of the library, which takes the words as they are split.
+
+        A special token between words, which no word holds, tells where each ends: cheaper than the library's word numbers.
+        """
+        if self.mark is None:
+            e = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+            return np.array(e.ids, np.int32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(words))
+        mixed = [self.mark[0]] * (2 * len(words))
+        mixed[::2] = words
+        ids = np.array(self.library.encode_batch_fast([mixed], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(ids == self.mark[1])
+        return ids[ids != self.mark[1]], np.diff(np.r_[-1, ends]) - 1
 
     def find(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number or -1, slot) of each key; the slot is the key's own or the free one where it belongs."""

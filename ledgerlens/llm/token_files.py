@@ -31,7 +31,7 @@ from ledgerlens.llm.pretokens import Encoder, character_classes
 MAGIC = b"LLTOK\x01\r\n"
 HEAD, TAIL, BLOCK = "<8sII", "<QQQI8s", "<IIII"
 #: Ids in a block, blocks coded side by side, ids in a file (a document stays in one file).
-BLOCK_IDS, LANES, FILE_IDS = 2048, 4096, 8_000_000
+BLOCK_IDS, LANES, FILE_IDS = 2048, 2048, 4_000_000
 END = 2
 
 
@@ -54,7 +54,9 @@ def lanes(n: int) -> Iterator[slice]:
 def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray, vocabulary: mixing_coder.Vocabulary) -> bytes:
     """The bytes of a file of these documents: their ids in a row, ``sizes`` of each."""
     blocks = [ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS)]
-    coded = [c for part in lanes(len(blocks)) for c in mixing_coder.encode(blocks[part], vocabulary)]
+    coded: list[bytes] = []
+    for part in lanes(len(blocks)):
+        coded += mixing_coder.encode(blocks[part], vocabulary)
     index = [np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids), sizes.astype("<u8").tobytes()]
     index += [struct.pack(BLOCK, len(b), len(c), zlib.crc32(b.astype("<u4").tobytes()), zlib.crc32(c)) for b, c in zip(blocks, coded)]
     told = b"".join(index)
@@ -175,7 +177,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, *, id_col: str = "doc_
                 raw = ids.astype("<u4").tobytes()
                 first = 0
                 while first < len(doc_ids):  # some million ids a batch, one document at least
-                    last = max(first + 1, int(np.searchsorted(stop, (stop[first - 1] if first else 0) + 2_000_000, side="right")))
+                    last = max(first + 1, int(np.searchsorted(stop, (stop[first - 1] if first else 0) + 1_000_000, side="right")))
                     begin = (stop - sizes)[first:last]
                     texts = [raw[4 * a : 4 * b] for a, b in zip(begin.tolist(), stop[first:last].tolist())]
                     yield pa.record_batch({id_col: pa.array(doc_ids[first:last], pa.int64()), "start": pa.array(begin + base, pa.int64()), "n_tokens": pa.array(sizes[first:last], pa.int64()), "ids": pa.array(texts, pa.binary())})

@@ -34,7 +34,7 @@ def tables(spark, tmp_path_factory):
 
 QUERIES = dict(queries.QUERIES, pipeline=corpus_pipeline.run)
 #: Queries of one row per row of their table, with the column of its id.
-WHOLE = {"op1_ngram_jaccard_join": "doc_id", "op2_token_counts": "doc_id", "op5_html_main_text": "page_id", "op7_lm_score": "doc_id", "op8_personal_data": "doc_id", "op10_quality_classifier": "doc_id"}
+WHOLE = {"op12_token_files": "doc_id", "op1_ngram_jaccard_join": "doc_id", "op2_token_counts": "doc_id", "op5_html_main_text": "page_id", "op7_lm_score": "doc_id", "op8_personal_data": "doc_id", "op10_quality_classifier": "doc_id"}
 
 
 @pytest.mark.parametrize("name", QUERIES)
