@@ -2,13 +2,13 @@
 
 Texts become templates: numbers, units after numbers and names turn into typed placeholders, the rest into
 lower-case words. Windows of template tokens are hashed and joined with the benchmark's; where the windows
-have slots, each value of the item must stand for one value throughout an occurrence, so that a re-parameterised
+have slots, stretches of an occurrence count in which each value of the item stands for one value, so that a re-parameterised
 question matches and a chance likeness with clashing values doesn't.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import fits, require, small_side, stored
@@ -54,13 +54,45 @@ def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, w: int) ->
     return rows.select("item", "w", "b_pos", F.expr("xxhash64(w, template)").alias("h"), "template", F.expr("transform(filter(win, t -> startswith(t, '<')), t -> regexp_replace(t, '^<[a-z]+=|>$', ''))").alias("b_slots"), "n_item", "exact")
 
 
+def stretches(pairs: DataFrame) -> DataFrame:
+    """The windows of each diagonal's longest stretch whose slots agree: with ``n`` windows, ``changed`` of them with other values; and ``run``.
+
+    ``pairs`` has a row for each window of a document that is an item's (id, th, item, w, diagonal, b_pos, n_item), with its distinct slot
+    values ``v`` of (b, d) and whether any differ (``new``). Windows of one diagonal are a stretch while each value of the item stands for one
+    value. For each window ``cut`` is the last one before it with a value that clashes with its own or with one's between them, so the longest
+    stretch that ends in a window starts after its cut. ``run`` is the longest row of tokens of windows that overlap or touch
+    within any stretch.
+    """
+    of = ("id", "th", "item", "w", "diagonal")
+    along = Window.partitionBy(*of).orderBy("b_pos")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    before = F.lag("b_pos").over(along)
+    rows = pairs.withColumns({"rn": F.row_number().over(along), "next": F.lead("b_pos").over(along), "seen": F.sum("new").over(so_far), "starts": F.when(before.isNull() | (F.col("b_pos") - before > F.col("w")), F.col("b_pos"))})
+    rows = rows.withColumn("run_start", F.max("starts").over(so_far))
+    value = Window.partitionBy(*of, "s.b").orderBy("rn")
+    other = F.when(F.lag("s.d").over(value) != F.col("s.d"), F.lag(F.struct("rn", "next", "seen")).over(value))
+    each = rows.select("*", F.explode_outer("v").alias("s")).withColumn("clash", F.max(other).over(value.rowsBetween(Window.unboundedPreceding, 0)))
+    clash = each.groupBy(*of, "rn", "b_pos", "n_item", "next", "seen", "run_start").agg(F.max("clash").alias("clash"))
+    line = Window.partitionBy(*of).orderBy("rn")
+    cut = clash.withColumn("cut", F.max("clash").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.coalesce(F.col("cut.rn"), F.lit(0))
+    told = cut.withColumns({
+        "n": F.col("rn") - first, "changed": F.col("seen") - F.coalesce(F.col("cut.seen"), F.lit(0)), "length": F.col("b_pos") + F.col("w") - F.greatest("run_start", F.coalesce("cut.next", "run_start")),
+    })
+    whole = Window.partitionBy(*of)
+    best = told.withColumns({"run": F.max("length").over(whole), "best": F.max(F.struct("n", (-F.col("changed")).alias("kept"), "rn")).over(whole)})
+    inside = best.where("rn <= best.rn and rn > best.rn - best.n")
+    return inside.select("id", "th", "item", "b_pos", "n_item", "run", F.col("best.n").alias("n"), (-F.col("best.kept")).alias("changed"))
+
+
 def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, min_share: float = 0.3, min_run: int = 32, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", broadcast_bytes: int = 32_000_000) -> DataFrame:
     """``id, text_hash, item_id, n_windows, n_item_windows, share, reparameterised`` for each document and item that it holds.
 
-    Windows count by occurrence, where document and item run side by side, if each slot value of the item stands for
-    one value there; what an item repeats word for word counts once. A pair counts when at least ``min_share`` of the item's usable windows match so, or ``min_run``
+    Windows count by occurrence, where document and item run side by side, and there in the longest stretch in which each slot value of
+    the item stands for one value (``stretches``); what an item repeats word for word counts once. A pair counts when at least ``min_share`` of the item's usable windows match so, or ``min_run``
     tokens in a row. ``reparameterised`` is that of the occurrence of most windows. Null and empty texts hold nothing; a null item id or text is left
-    out; repeated rows give one pair; extra columns are ignored; an empty table on either side gives no rows.
+    out; repeated rows give one pair; extra columns are ignored; an empty table on either side gives no rows. Texts of any length are read
+    whole; an item and a document that hold one template n and m times with other values meet in n * m windows.
     Documents are scanned once for matches and once more for the few that have any. The benchmark's windows are
     broadcast only up to ``broadcast_bytes`` of them and shuffled beyond that.
     """
@@ -84,16 +116,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, mi
     pairs = at.join(hint(known), ["h", "w", "template"])
     slots = F.expr("transform(filter(win, t -> startswith(t, '<')), t -> regexp_replace(t, '^<[a-z]+=|>$', ''))")
     pairs = pairs.withColumn("d_slots", slots).where("not exact or b_slots = d_slots")
-    pairs = pairs.select("id", "th", "item", "w", "b_pos", "n_item", (F.col("pos") - F.col("b_pos")).alias("diagonal"), F.explode_outer(F.arrays_zip(F.col("b_slots").alias("b"), F.col("d_slots").alias("d"))).alias("s"))
-    # values are compared over the windows of one occurrence
-    once = pairs.groupBy("id", "th", "item", "w", "diagonal").agg(F.array_sort(F.collect_set("b_pos")).alias("at"), F.max("n_item").alias("n_item"), F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s.b", "s.d"))).alias("v"))
-    once = once.where("size(v) = size(array_distinct(transform(v, x -> x.b)))").withColumn("new", F.expr("exists(v, x -> x.b <> x.d)"))
-    # windows that overlap or touch make one run of tokens
-    run = F.expr("aggregate(at, struct(-1000000 as first, -1000000 as last, 0 as best), (a, p) -> struct(if(p - a.last <= w, a.first, p) as first, p as last, greatest(a.best, p + w - if(p - a.last <= w, a.first, p)) as best), a -> a.best)")
-    out = once.withColumn("run", run).groupBy("id", "th", "item").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"), F.max("n_item").alias("n_item_windows"), F.max("run").alias("run"),
-        F.max_by("new", F.struct(F.size("at"), ~F.col("new"))).alias("reparameterised"),
-    )
+    pairs = pairs.withColumn("v", F.array_distinct(F.arrays_zip(F.col("b_slots").alias("b"), F.col("d_slots").alias("d")))).where("size(v) = size(array_distinct(v.b))")
+    pairs = pairs.select("id", "th", "item", "w", "b_pos", "n_item", (F.col("pos") - F.col("b_pos")).alias("diagonal"), "v", F.expr("int(exists(v, x -> x.b <> x.d))").alias("new"))
+    out = stretches(pairs).groupBy("id", "th", "item").agg(
+        F.count_distinct("b_pos").alias("n_windows"), F.max("n_item").alias("n_item_windows"), F.max("run").alias("run"), (F.max_by("changed", F.struct("n", -F.col("changed"))) > 0).alias("reparameterised")
+    )
     out = out.withColumn("share", F.col("n_windows") / F.col("n_item_windows")).where(f"share >= {min_share} or run >= {min_run}")
     return out.select(F.col("id").alias(id_col), F.col("th").alias("text_hash"), F.col("item").alias(item_col), "n_windows", "n_item_windows", "share", "reparameterised")
 

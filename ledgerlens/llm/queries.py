@@ -16,43 +16,53 @@ def tokenizer(name: str) -> str:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of near copies (five-word shingles, similarity 0.8 or more) and its number of links."""
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every whole text."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of every document that others hold too, with few changes."""
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out by Poisson counts toward the sources' target weights."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item that it holds, verbatim or with other numbers, names or units."""
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("text_hash")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-probability of every whole text under a trigram model, and under single words."""
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data in every whole text."""
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors of greatest inner product for every row whose id is divisible by 50."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chance that a document's quality is labelled 1, from its whole text."""
     docs = table(spark, sf_dir, "documents")
     scored = quality.quality_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
@@ -85,12 +95,12 @@ QUERIES = {
 
 #: The exact search in SQL: integer inner products of every query against every other row.
 TOP_K_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) q FROM embeddings
+WITH v AS (SELECT row_number() OVER () r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) q FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id query_id, b.vec_id, CAST(list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[]) AS BIGINT) score
-      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
+s AS (SELECT a.r q, a.vec_id query_id, b.vec_id, CAST(list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[]) AS BIGINT) score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.r <> b.r AND len(a.q) = len(b.q))
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) r FROM s) WHERE r <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) r FROM s) WHERE r <= 5
 """
 
 ORACLES: dict[str, str] = {
