@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.flow import collapse, multigraph, neighbours, undirected
 from ledgerlens.operators.forest import connected_components, cut, level_components, spanning_forest
-from ledgerlens.operators.order import quantiles
+from ledgerlens.operators.order import quantiles, sums_before
 
 HOUR = 3_600_000_000
 
@@ -153,17 +153,24 @@ def motif_triangles_cycles(edges: DataFrame, window_hours: float = 24.0) -> Data
     return rows.groupBy("account_id").agg(F.sum("tri").cast("long").alias("motif_triangle"), F.sum(1 - F.col("tri")).cast("long").alias("motif_cycle"))
 
 
-def motif_fans(edges: DataFrame, window_hours: float = 24.0, ahead: int = 100) -> DataFrame:
-    """account_id, motif_fanout, motif_fanin: pairs of edges of one hub within the window, at most ``ahead`` edges apart, counted for hub and both others."""
-    from pyspark.sql import Window
+def motif_fans(edges: DataFrame, window_hours: float = 24.0, ahead: int = 100, slice_edges: int = 2000) -> DataFrame:
+    """account_id, motif_fanout, motif_fanin: pairs of edges of one hub within the window, at most ``ahead`` edges apart, counted for hub and both others.
 
-    w = int(window_hours * HOUR)
+    Edges are numbered in the order of hub, time and id, and a hub is looked at in slices of ``slice_edges`` numbers; the first
+    ``ahead`` edges of a slice are also seen by the slice before it, so pairs over the border count once and a hub of any size is many small
+    windows, not one.
+    """
+    w, size = int(window_hours * HOUR), max(slice_edges, ahead)
     out = []
     for hub, other, name in (("src", "dst", "motif_fanout"), ("dst", "src", "motif_fanin")):
         t = edges.where("us is not null").select(F.col(hub).alias("hub"), F.col(other).alias("o"), "us", "tx_id")
-        frame = Window.partitionBy("hub").orderBy("us", "tx_id")
-        later = F.collect_list(F.struct("o", "us")).over(frame.rowsBetween(1, ahead))
-        rows = t.select("hub", "o", "us", later.alias("next")).select("hub", "o", F.explode(F.expr(f"filter(next, x -> x.us - us <= {w} and x.o <> o)")).alias("x"))
+        placed, _ = sums_before(t, [F.col("hub"), F.col("us"), F.col("tx_id")], {"n": F.lit(1)})
+        at = F.expr(f"n div {size}")
+        seen = F.when((F.col("n") % size < ahead) & (at > 0), F.array(F.struct(at.alias("slice"), F.lit(True).alias("own")), F.struct((at - 1).alias("slice"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(at.alias("slice"), F.lit(True).alias("own"))))
+        cut_up = placed.select("hub", "o", "us", "n", F.explode(seen).alias("s")).select("hub", "o", "us", "n", "s.slice", "s.own")
+        frame = Window.partitionBy("hub", "slice").orderBy("n").rowsBetween(1, ahead)
+        later = F.when(F.col("own"), F.collect_list(F.struct("o", "us")).over(frame))
+        rows = cut_up.select("hub", "o", "us", later.alias("next")).select("hub", "o", F.explode(F.expr(f"filter(next, x -> x.us - us <= {w} and x.o <> o)")).alias("x"))
         each = rows.select(F.explode(F.array("hub", "o", "x.o")).alias("account_id")).groupBy("account_id").agg(F.count("*").alias(name))
         out.append(each)
     return out[0].join(out[1], "account_id", "full").na.fill(0, ["motif_fanout", "motif_fanin"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import money_sum
 from ledgerlens.operators.flow import both_ends
-from ledgerlens.operators.graph import HOUR, ahead_of, time_bucket
+from ledgerlens.operators.graph import HOUR, ahead_of, cut, time_bucket
 
 
 def alert(df: DataFrame, name: str, confidence, details) -> DataFrame:
@@ -49,6 +49,26 @@ def structuring(features: DataFrame, *, min_recipients: int = 3, min_share: floa
     return alert(hit, "Structuring Star", F.least(0.7 + 0.3 * F.col("tps_score"), F.lit(0.99)), F.format_string("%d receivers below the threshold", F.col("band_recipients").cast("int")))
 
 
+def in_cycles(legs: DataFrame, w: int, rounds: int = 3) -> DataFrame:
+    """The legs (src, dst, us, amount, tb) that can lie on a cycle whose times fall within ``w``: another leg comes into the sender and one leaves the receiver, each at most ``w`` away.
+
+    The test is a semi-join from either end on the account and buckets of time; a leg that goes takes others with it, so it is repeated
+    while that removes a tenth of the legs, at most ``rounds`` times. What stays too long costs time, not results.
+    """
+    n = None
+    for _ in range(rounds):
+        times = lambda end: legs.groupBy(F.col(end).alias("k"), F.col("tb").alias("b")).agg(F.min("us").alias("t1"), F.max("us").alias("t2"))
+        near = legs.withColumn("b", F.explode(F.expr("array(tb - 1, tb, tb + 1)")))
+        close = f"us between t1 - {w} and t2 + {w}"
+        fed = near.join(times("dst").withColumnRenamed("k", "src"), ["src", "b"]).where(close).select("src", "dst").distinct()
+        led = near.join(times("src").withColumnRenamed("k", "dst"), ["dst", "b"]).where(close).select("src", "dst").distinct()
+        legs = cut(legs.join(fed, ["src", "dst"], "left_semi").join(led, ["src", "dst"], "left_semi"))
+        was, n = n, legs.count()
+        if was is not None and n > 0.9 * was:
+            break
+    return legs
+
+
 def carousel(edges: DataFrame, *, max_hours: float = 24.0, conservation: float = 0.98, max_nodes: int = 6) -> DataFrame:
     """Members of cycles of 3 to ``max_nodes`` accounts over each pair's latest edge, in time order from some start, amounts alike.
 
@@ -56,6 +76,7 @@ def carousel(edges: DataFrame, *, max_hours: float = 24.0, conservation: float =
     """
     w = int(max_hours * HOUR)
     last = edges.where("src <> dst").groupBy("src", "dst").agg(F.max_by(F.struct("amount", "us"), F.struct(F.coalesce("us", F.lit(-(1 << 62))), "tx_id")).alias("x")).select("src", "dst", "x.amount", "x.us").where("us is not null").withColumn("tb", time_bucket("us", w))
+    last = in_cycles(last, w)
     path = last.select(F.array("src", "dst").alias("p"), F.col("src").alias("s"), F.col("dst").alias("l"), F.col("us").alias("t0"), F.col("us").alias("t"), F.col("amount").alias("lo"), F.col("amount").alias("hi"))
     rows = []
     for n in range(3, max_nodes + 2):
@@ -88,16 +109,28 @@ def accumulate_disperse(edges: DataFrame, *, least: int = 4, tolerance: float =
     return alert(hit, "Accumulate and Disperse", 0.89, F.format_string("in %.2f, out %.2f", "v_in", "v_out"))
 
 
-def band_join(a: DataFrame, b: DataFrame, *, tolerance: float, seconds: int) -> DataFrame:
+def band_join(a: DataFrame, b: DataFrame, *, tolerance: float, seconds: int, cell: int = 2000) -> DataFrame:
     """Pairs of rows (a.*, b.*) with b.amount within ``tolerance`` of a.amount and times within ``seconds``.
 
     Amounts fall in logarithmic buckets and times in even ones; one side is dealt to neighbouring buckets, so that
-    the join is on equal keys and work follows the matches, not the product. Amounts must be positive.
+    the join is on equal keys and work follows the matches, not the product. A bucket where a side has more than ``cell``
+    rows, as round amounts in a busy hour make, is a grid: each row of one side goes to one line of it and each of the other to one
+    column, in numbers measured before, so a task meets about ``cell`` rows of each side at a time. Amounts must be positive.
     """
     width, span = -math.log(1 - tolerance), seconds * 1_000_000
     key = lambda df, p: df.where("amount > 0 and us is not null").select(F.struct("*").alias(p), F.floor(F.ln("amount") / width).alias("ab"), F.floor(F.col("us") / span).alias("tb"))
     left = key(a, "a").select("a", F.explode(F.expr("array(ab - 1, ab, ab + 1)")).alias("ab"), "tb").select("a", "ab", F.explode(F.expr("array(tb - 1, tb, tb + 1)")).alias("tb"))
-    return left.join(key(b, "b"), ["ab", "tb"]).where(f"b.amount >= a.amount * (1 - {tolerance}) and b.amount <= a.amount * (1 + {tolerance}) and abs(b.us - a.us) <= {span}")
+    right = key(b, "b")
+    both = left.select("ab", "tb", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(right.select("ab", "tb", F.lit(0).alias("x"), F.lit(1).alias("y")))
+    size = both.groupBy("ab", "tb").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).where(f"x > 0 and y > 0 and greatest(x, y) > {cell}")
+    hot = cut(size.select("ab", "tb", F.ceil(F.col("x") / cell).alias("lines"), F.ceil(F.col("y") / cell).alias("columns")))
+    # a row of 32 bytes for each bucket of over ``cell`` rows: broadcast up to 16 MB of them
+    grid = F.broadcast(hot) if hot.count() <= 500_000 else hot
+    one = lambda df, c: df.join(grid, ["ab", "tb"], "left").na.fill(1, ["lines", "columns"]).withColumn("at", F.pmod(F.xxhash64(f"{c}.tx_id", f"{c}.us", f"{c}.amount"), F.col("lines" if c == "a" else "columns")))
+    left = one(left, "a").select("a", "ab", "tb", F.col("at").alias("line"), F.explode(F.expr("sequence(0L, columns - 1)")).alias("column"))
+    right = one(right, "b").select("b", "ab", "tb", F.explode(F.expr("sequence(0L, lines - 1)")).alias("line"), F.col("at").alias("column"))
+    near = f"b.amount >= a.amount * (1 - {tolerance}) and b.amount <= a.amount * (1 + {tolerance}) and abs(b.us - a.us) <= {span}"
+    return left.join(right, ["ab", "tb", "line", "column"]).where(near)
 
 
 def ghost_pairs(edges: DataFrame, *, seconds: int = 3600, tolerance: float = 0.05) -> DataFrame:

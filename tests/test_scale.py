@@ -216,3 +216,63 @@ def test_levels_of_a_forest_by_one_task_and_by_joins(spark):
         links = [(int(u), int(v)) for u, v, w in rows if w >= t]
         want = roots(40, links)
         assert [(int(k), int(r)) for i, k, r in one if i == t] == sorted((x, want[x]) for x in {x for p in links for x in p})
+
+
+def slowest_share(df) -> float:
+    """The rows of the largest partition over those of an even deal."""
+    n = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(n) * len(n) / sum(n)
+
+
+@pytest.mark.parametrize("ahead, size", [(3, 5), (100, 2000), (7, 7)])
+def test_fans_of_a_hub_in_slices(spark, ahead, size):
+    rnd = random.Random(ahead)
+    edges = [(i, "hub" if i % 4 else f"a{rnd.randint(0, 5)}", f"a{rnd.randint(0, 9)}", 1.0, rnd.randint(0, 3 * 24) * 3_600_000_000, 0) for i in range(150)] + [(999, "hub", "a1", 1.0, None, 0)]
+    got = {r.account_id: (r.motif_fanout, r.motif_fanin) for r in graph.motif_fans(spark.createDataFrame(edges, EDGE), ahead=ahead, slice_edges=size).collect()}
+    want = Counter()
+    for hub, other, way in ((1, 2, 0), (2, 1, 1)):
+        for h in {e[hub] for e in edges}:
+            mine = sorted((e for e in edges if e[hub] == h and e[4] is not None), key=lambda e: (e[4], e[0]))
+            for i, x in enumerate(mine):
+                for y in mine[i + 1 : i + 1 + ahead]:
+                    if y[4] - x[4] <= 24 * 3_600_000_000 and y[other] != x[other]:
+                        for k in (h, x[other], y[other]):
+                            want[k, way] += 1
+    assert got == {k: (want[k, 0], want[k, 1]) for k in {k for k, _ in want}}
+
+
+def test_a_hub_of_many_edges_is_dealt_over_tasks(spark):
+    hub = spark.range(100_000).select(F.col("id").alias("tx_id"), F.lit("hub").alias("src"), (F.col("id") % 977).cast("string").alias("dst"), F.lit(1.0).alias("amount"), (F.col("id") * 60_000_000).alias("us"), F.lit(0).alias("cb"))
+    placed, total = order.sums_before(hub.select("src", "us", "tx_id"), [F.col("src"), F.col("us"), F.col("tx_id")], {"n": F.lit(1)})
+    assert total["n"] == 100_000 and slowest_share(placed) < 1.6
+    got = graph.motif_fans(hub, ahead=5, slice_edges=500)
+    assert got.where("account_id = 'hub'").first().motif_fanout == sum(min(5, 99_999 - i) for i in range(100_000))
+
+
+def test_band_join_of_round_amounts(spark):
+    """One amount in one hour: a grid of cells, each pair once, no task with more than its share."""
+    from ledgerlens.operators import typology
+
+    rnd = random.Random(5)
+    rows = [(i, "x", "y", rnd.choice([100.0] * 6 + [99.0, 104.9, 60.0, 1e6]), rnd.randint(0, 7_200) * 1_000_000, i % 2) for i in range(400)]
+    e = spark.createDataFrame(rows, EDGE)
+    for cell in (2000, 17):
+        got = Counter((r.a, r.b) for r in typology.band_join(e.where("cb = 1"), e.where("cb = 0"), tolerance=0.05, seconds=3600, cell=cell).select("a.tx_id", "b.tx_id").toDF("a", "b").collect())
+        want = Counter((x[0], y[0]) for x in rows for y in rows if x[5] and not y[5] and x[3] * 0.95 <= y[3] <= x[3] * 1.05 and abs(x[4] - y[4]) <= 3_600_000_000)
+        assert got == want
+    many = spark.range(40_000).select(F.col("id").alias("tx_id"), F.lit("s").alias("src"), F.lit("d").alias("dst"), F.lit(500.0).alias("amount"), (F.col("id") * 20).alias("us"), (F.col("id") % 2).cast("int").alias("cb"))
+    pairs = typology.band_join(many.where("cb = 1").limit(9000), many.where("cb = 0").limit(2500), tolerance=0.05, seconds=3600, cell=500)
+    assert "CartesianProduct" not in plan(pairs) and pairs.count() == 9000 * 2500
+
+
+def test_carousels_grow_only_where_a_cycle_can_close(spark):
+    """A hub that thousands pay and that pays thousands opens no paths unless some close."""
+    from ledgerlens.operators import typology
+
+    hour = 3_600_000_000
+    fan = [(i, f"p{i}", "hub", 100.0, i, 0) for i in range(400)] + [(1000 + i, "hub", f"q{i}", 100.0, hour + i, 0) for i in range(400)]
+    ring = [(5000, "hub", "r1", 100.0, 2 * hour, 0), (5001, "r1", "r2", 99.5, 3 * hour, 0), (5002, "r2", "hub", 99.2, 4 * hour, 0)]
+    e = spark.createDataFrame(fan + ring, EDGE)
+    last = e.select("src", "dst", "amount", "us", F.expr(f"us div {24 * hour}").alias("tb"))
+    assert typology.in_cycles(last, 24 * hour).count() == 3
+    assert {r.account_id: r.details for r in typology.carousel(e).collect()} == dict.fromkeys(["hub", "r1", "r2"], "hub -> r1 -> r2")
