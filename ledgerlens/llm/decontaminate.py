@@ -126,7 +126,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, window: int = WINDOW, mi
 
 
 def clean_documents(docs: DataFrame, pairs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, columns unchanged. ``pairs`` is a stored result, as it is measured; up to 16 MB of ids are broadcast."""
+    """The rows of ``docs`` that hold no benchmark item, columns unchanged. ``pairs`` is a stored result, as it is measured; up to 16 MB of ids are broadcast.
+
+    Null and empty texts hold none and stay, rows of one id stay or go by their text, an empty table stays empty."""
     bad = pairs.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th")).distinct()
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
     return docs.join(small_side(bad, "24 + coalesce(octet_length(cast(__id as string)), 0)"), on, "left_anti")

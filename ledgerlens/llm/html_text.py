@@ -193,7 +193,27 @@ def features(page: Page) -> np.ndarray:
     return out
 
 
+def never_content(page: Page) -> list[bool]:
+    """What is no article whatever surrounds it: what stands in a form, unless the form holds half of the page's text or more, and a last short text outside article and main that begins with a copyright sign or word."""
+    n = len(page.parent)
+    chars = page.chars[:]
+    for i in range(n - 1, 0, -1):
+        chars[page.parent[i]] += chars[i]
+    form, body = [False] * n, [False] * n
+    for i in range(1, n):
+        q = page.parent[i]
+        form[i] = form[q] or (page.tag[i] == "form" and 2 * chars[i] < chars[0])
+        body[i] = body[q] or page.tag[i] in ("article", "main")
+    last = max((i for i in range(n) if page.text[i]), default=0)
+    if last and not body[last] and page.chars[last] < SIZES[-1] and RIGHTS.match(page.text[last]):
+        form[last] = True
+    return form
+
+
 LEVELS = (len(TAGS), len(KINDS), 3, len(SIZES) + 1)
+#: What evidence that rules a state out takes from its log potential.
+RULED_OUT = 50.0
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 
 
 class Model:
@@ -230,6 +250,7 @@ class Model:
         cuts = np.searchsorted(depth[order], np.arange(depth.max(initial=0) + 2))
         level = [order[cuts[d] : cuts[d + 1]] for d in range(len(cuts) - 1)]
         up = sum(self.emit[j][:, f[:, j]].T for j in range(4))  # own evidence and that of the subtree
+        up[np.concatenate([np.array(never_content(p), bool) for p in pages]), C] -= RULED_OUT
         message = np.zeros_like(up)
         for nodes in reversed(level[1:]):
             message[nodes] = log_sum(self.tie[None] + up[nodes][:, None, :], 2)
@@ -329,7 +350,8 @@ def extract(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] =
     """``keep``, ``text`` and ``n_chars`` (code points) of every page, from the whole html.
 
     One map pass, no shuffle. Null and empty html give an empty text; null ids and repeated rows keep their rows;
-    an empty table gives none; extra columns are ignored. Broken markup never fails.
+    an empty table gives none; extra columns are ignored. Broken markup never fails, and html of any length is read whole, in time
+    proportional to it.
     """
     require(pages, html_col, *keep)
     model = Model(labelled_pages())

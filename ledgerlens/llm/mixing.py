@@ -17,7 +17,7 @@ ADDED = ("copy", "shuffle_key")
 
 
 def rates(docs: DataFrame, *, source_col: str, text_col: str, weights: dict | None, temperature: float, growth: float) -> DataFrame:
-    """``source, rate, cdf`` of every source; the null source is one of its own."""
+    """``source, rate, cdf`` of every source; the null source is one of its own, repeated rows count as often as they come, an empty table has no sources."""
     size = F.greatest(F.coalesce(F.length(text_col), F.lit(0)), F.lit(1)).cast("double")
     per = stored(docs.groupBy(F.col(source_col).alias("src")).agg(F.sum(size).alias("size")), "mix-sources")
     if weights is None:

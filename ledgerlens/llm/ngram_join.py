@@ -484,7 +484,7 @@ def join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float =
     ``class_id`` is the least id of the group that links of similarity ``threshold`` or more connect, ``n_links`` the
     number of other rows at least so similar (copies among them), ``copies`` the rows with the same set. Rows without
     words and rows with a null id link to nothing (a null id has a null class); repeated rows are copies of each other;
-    extra columns are ignored; an empty table gives no rows. Recall at the threshold, whatever it is, is ``recall`` for a
+    extra columns are ignored; an empty table gives no rows; texts of any length count with all their shingles. Recall at the threshold, whatever it is, is ``recall`` for a
     pair that no third text connects, higher above it.
     """
     require(docs, id_col, text_col)

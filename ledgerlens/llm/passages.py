@@ -358,7 +358,8 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, identity: float =
     Earlier documents are the one of least id and the next lower id for each seed, so every document but the first of
     those that share a passage has a row for it. Stretches reach ``min_words`` (touching ones of several partners count
     as one) and ``identity``, and share ``least`` seeds; ``window`` 1 makes every k-mer a seed. Null and empty texts and
-    rows with a null id hold nothing; rows that repeat an id hold what either does, each text against the others' ids
+    rows with a null id hold nothing; texts of any length are read whole, in slices; aligned pieces of under a fifth of ``min_words`` don't
+    join a stretch; rows that repeat an id hold what either does, each text against the others' ids
     only; extra columns are ignored; an empty table gives no rows.
     """
     require(docs, id_col, text_col)

@@ -283,7 +283,7 @@ def joined(spans_col: str) -> str:
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts per kind of the rules' spans, their hash, and all spans as text."""
+    """Counts per kind of the rules' spans, their hash, and all spans as text; a row for each row of ``found``, none for an empty table. Without spans the hash is that of the empty text."""
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select(id_col, *counts, F.expr(f"sha2({joined('base')}, 256)").alias("base_sha256"), F.expr(joined("spans")).alias("spans"))
 
@@ -291,6 +291,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every found span replaced by its kind in capitals, as in <EMAIL>; columns unchanged. Overlapping spans become one.
 
+    Null and empty texts stay as they are, as do null ids; rows of one id and text are all redacted; an empty table stays empty.
     ``found`` is a stored result of ``detect``, as it is measured; up to 16 MB of spans are broadcast.
     """
     hit = found.where("size(spans) > 0").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__th"])

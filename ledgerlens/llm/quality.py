@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held: int = 2, sa
 def quality_scores(docs: DataFrame, weights: dict[str, np.ndarray], *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
     """``id``, the columns in ``keep`` and ``score_col`` for every row, from the whole text's bytes alone.
 
-    One map pass, no shuffle. A null text scores as the empty text; a null id stays; repeated rows repeat; an empty
+    One map pass, no shuffle; a text of any length is read in chunks that overlap, to its end. A null text scores as the empty text; a null id stays; repeated rows repeat; an empty
     table gives no rows; other columns are ignored, and one in ``keep`` may not be named as the score.
     """
     require(docs, id_col, text_col)

@@ -153,7 +153,7 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     """``id, n_bytes, n_tokens, over_limit`` of every row's whole text.
 
     One map pass, no shuffle. A null text counts as empty (0 tokens); a null id stays null; repeated rows
-    give repeated results; an empty table gives none. Extra columns are ignored whatever their names.
+    give repeated results; an empty table gives none; texts of any length are counted whole. Extra columns are ignored whatever their names.
     ``vocabulary`` is the path of a byte-level BPE vocabulary, read once on the driver.
     """
     require(docs, id_col, text_col)

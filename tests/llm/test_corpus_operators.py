@@ -517,3 +517,17 @@ def test_gradients_agree_with_differences():
         up[k][at] += 1e-2
         down[k][at] -= 1e-2
         assert (loss(up) - loss(down)) / 2e-2 == pytest.approx(float(g[k][at]), rel=0.15)
+
+
+def test_forms_and_closing_lines_are_no_article():
+    model = html_text.Model(html_text.labelled_pages())
+    body = "".join(f"<p>{prose(30, i)}.</p>" for i in range(3))
+    text = lambda page: html_text.main_texts([page], model)[0]
+    plain = text(f"<body><div class='content'>{body}</div></body>")
+    assert plain.count("\n\n") == 2
+    form = "<form><p>Enter your email address here to subscribe to the list</p></form>"
+    assert text(f"<body><div class='content'>{body}{form}</div></body>") == plain
+    assert text(f"<body><form id='aspnetForm'><div class='content'>{body}</div></form></body>") == plain  # a form around the whole page
+    assert text(f"<body><div class='content'>{body}</div><div class='x4'>Copyright 2020 Company. Privacy. Terms.</div></body>") == plain
+    inside = text(f"<body><article>{body}<p>Copyright law is old.</p></article></body>")
+    assert inside.endswith("Copyright law is old.")
