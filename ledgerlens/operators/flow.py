@@ -70,12 +70,26 @@ def whitelist(accounts: DataFrame, edges: DataFrame, receipts: int = 100) -> Dat
 
 
 def multigraph(accounts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, type) and (edges: source, target, relation, amount, us, cb) of the heterogeneous graph; accounts of one name share a customer."""
+    """(nodes: id, type) and (edges: source, target, relation, amount, us, cb) of the heterogeneous graph; accounts of one name share a customer.
+
+    Transactions with banks and countries of both ends (src_bank, src_country, dst_bank, dst_country) place these banks in these
+    countries, each pair once; without them every account's bank is in 'NP'.
+    """
     cust = F.when(F.col("name") != "", F.concat(F.lit("cust_"), F.replace("name", F.lit(" "), F.lit("_")))).otherwise(F.concat(F.lit("cust_"), F.col("account_id")))
-    a = accounts.withColumn("customer", cust).withColumn("country", F.lit("NP"))
-    kinds = [("account_id", "Account"), ("customer", "Customer"), ("branch", "Branch"), ("institution", "Bank"), ("country", "Country")]
-    nodes = a.select(F.explode(F.array(*[F.struct(F.col(c).alias("id"), F.lit(t).alias("type")) for c, t in kinds])).alias("n")).select("n.*").distinct()
-    links = [("customer", "account_id", "OWNS"), ("account_id", "branch", "LOCATED_IN"), ("branch", "institution", "LOCATED_IN"), ("institution", "country", "LOCATED_IN")]
-    fixed = a.select(F.explode(F.array(*[F.struct(F.col(x).alias("source"), F.col(y).alias("target"), F.lit(r).alias("relation")) for x, y, r in links])).alias("l")).select("l.*", F.lit(None).cast("double").alias("amount"), F.lit(None).cast("long").alias("us"), F.lit(None).cast("int").alias("cb"))
+    a = accounts.withColumn("customer", cust)
+    kinds = [("account_id", "Account"), ("customer", "Customer"), ("branch", "Branch"), ("institution", "Bank")]
+    links = [("customer", "account_id", "OWNS"), ("account_id", "branch", "LOCATED_IN"), ("branch", "institution", "LOCATED_IN")]
+    if {"src_bank", "src_country", "dst_bank", "dst_country"} <= set(edges.columns):
+        ends = F.explode(F.expr("array(struct(src_bank as bank, src_country as country), struct(dst_bank as bank, dst_country as country))")).alias("x")
+        placed = edges.select(ends).select("x.*").where("bank is not null and country is not null").distinct()
+    else:
+        placed = a.select(F.col("institution").alias("bank"), F.lit("NP").alias("country")).distinct()
+    node = lambda df, kinds: df.select(F.explode(F.array(*[F.struct(F.col(c).alias("id"), F.lit(t).alias("type")) for c, t in kinds])).alias("n")).select("n.*")
+    nodes = node(a, kinds).unionByName(node(placed, [("bank", "Bank"), ("country", "Country")])).distinct()
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("amount", "double"), ("us", "long"), ("cb", "int"))]
+    fixed = a.select(F.explode(F.array(*[F.struct(F.col(x).alias("source"), F.col(y).alias("target"), F.lit(r).alias("relation")) for x, y, r in links])).alias("l")).select("l.*", *none)
+    where = placed.select(F.col("bank").alias("source"), F.col("country").alias("target"), F.lit("LOCATED_IN").alias("relation"), *none)
+    if "src_bank" not in edges.columns:  # as the register has them, one for each account
+        where = a.select(F.col("institution").alias("source"), F.lit("NP").alias("target"), F.lit("LOCATED_IN").alias("relation"), *none)
     sends = edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("SENDS").alias("relation"), "amount", "us", "cb")
-    return nodes, sends.unionByName(fixed)
+    return nodes, sends.unionByName(fixed).unionByName(where)

@@ -193,71 +193,119 @@ def label_propagation(edges: DataFrame, accounts: DataFrame, rounds: int = 5) ->
     return label.join(least, "l").select(F.col("k").alias("account_id"), F.col("c").alias("community_id"))
 
 
+def modularity(e: DataFrame, label: DataFrame) -> float:
+    """Of communities (k, c) on weighted links (k, o, w; both ways, self-loops count twice)."""
+    c = e.join(label, "k").join(label.select(F.col("k").alias("o"), F.col("c").alias("oc")), "o")
+    by = c.groupBy("c").agg(F.sum("w").alias("t"), F.sum(F.when(F.col("c") == F.col("oc"), F.col("w")).otherwise(0.0)).alias("inside"))
+    inside, total, squares = by.agg(F.sum("inside"), F.sum("t"), F.sum(F.col("t") * F.col("t"))).first()
+    return inside / total - squares / total**2 if total else 0.0
+
+
+def turn(k: str, i: int):
+    """Whether a node has its turn in round ``i``: each half of the nodes, by hash, every second round."""
+    return F.pmod(F.xxhash64(k, F.lit(i // 2)), F.lit(2)) == i % 2
+
+
 def local_moves(e: DataFrame, label: DataFrame, rounds: int) -> DataFrame:
     """k, c: communities after rounds of moves for modularity on weighted links (k, o, w; both ways, self-loops count twice).
 
-    In each round half of the nodes, by hash, may go to the neighbouring community of greatest gain, ties to the least,
-    and a round that raises modularity no more ends the moves. A round is joins and sums over the links, whatever the
-    size of communities and components.
+    In each round half of the nodes, by hash, may go to the neighbouring community of greatest gain, ties to the least. After
+    the first two rounds only nodes with a neighbour that moved in the last two are looked at, and two rounds without a move end the moves. What comes
+    out is never of lower modularity than what came in. A round is joins and sums over links, whatever the size of communities and components.
     """
     deg = cut(e.groupBy("k").agg(F.sum("w").alias("d")))
     two_m = deg.agg(F.sum("d")).first()[0]
-
-    def modularity(label: DataFrame) -> float:
-        c = e.join(label, "k").join(label.select(F.col("k").alias("o"), F.col("c").alias("oc")), "o")
-        inside = c.agg(F.coalesce(F.sum(F.when(F.col("c") == F.col("oc"), F.col("w"))), F.lit(0.0))).first()[0]
-        total = deg.join(label, "k").groupBy("c").agg(F.sum("d").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
-        return inside / two_m - total / two_m**2
-
-    best, idle = modularity(label), 0
+    links, start = e.where("k <> o"), label
+    moved: list[DataFrame] = []
     for i in range(rounds):
+        near = links.where(turn("k", i))
+        if i >= 2:
+            recent = moved[-2].unionByName(moved[-1])
+            near = near.join(links.join(recent.withColumnRenamed("k", "o"), "o", "left_semi").select("k").distinct(), "k", "left_semi")
         total = deg.join(label, "k").groupBy("c").agg(F.sum("d").alias("t"))
-        near = e.where("k <> o").join(label.select(F.col("k").alias("o"), "c"), "o").groupBy("k", "c").agg(F.sum("w").alias("w"))
+        to = near.join(label.select(F.col("k").alias("o"), "c"), "o").groupBy("k", "c").agg(F.sum("w").alias("w"))
         own = label.join(deg, "k").select("k", F.col("c").alias("was"), "d")
-        stay = label.select("k", "c", F.lit(0.0).alias("w"))
-        gain = near.unionByName(stay).groupBy("k", "c").agg(F.sum("w").alias("w")).join(own, "k").join(total, "c")
+        here = to.select("k").distinct().join(label, "k").select("k", "c", F.lit(0.0).alias("w"))
+        gain = to.unionByName(here).groupBy("k", "c").agg(F.sum("w").alias("w")).join(own, "k").join(total, "c")
         gain = gain.withColumn("g", F.col("w") - F.col("d") * (F.col("t") - F.when(F.col("c") == F.col("was"), F.col("d")).otherwise(0.0)) / two_m)
-        to = gain.groupBy("k", "was").agg(F.min(F.struct((-F.round("g", 9)).alias("g"), (F.col("c") != F.col("was")).alias("moves"), "c")).alias("b"))
-        new = cut(to.select("k", F.when(F.pmod(F.xxhash64("k", F.lit(i // 2)), F.lit(2)) == i % 2, F.col("b.c")).otherwise(F.col("was")).alias("c")))
-        q = modularity(new)
-        if q > best + 1e-9:
-            best, label, idle = q, new, 0
-        else:
+        best = gain.groupBy("k", "was").agg(F.min(F.struct((-F.round("g", 9)).alias("g"), (F.col("c") != F.col("was")).alias("moves"), "c")).alias("b"))
+        go = cut(best.where("b.c <> was").select("k", F.col("b.c").alias("new")))
+        moved.append(go.select("k"))
+        n = go.count()
+        if n:
+            label = cut(label.join(go, "k", "left").select("k", F.coalesce("new", "c").alias("c")))
+        elif len(moved) > 1 and moved[-2].isEmpty():
+            break
+    return label if modularity(e, label) > modularity(e, start) + 1e-9 else start
+
+
+def refined(e: DataFrame, label: DataFrame, rounds: int) -> DataFrame:
+    """k, root: parts of each community, grown from single nodes by joining along links what is well connected in the community.
+
+    A set is well connected if its links to the rest of its community are at least what its degrees make likely. In each round the
+    nodes of one half, by hash, that are still alone and well connected join the well-connected set of their community of
+    greatest gain, if there is one that gains; such nodes join no node that joins in the same round, so parts stay connected. What never joins stays
+    alone, for the next level to place.
+    """
+    deg = cut(e.groupBy("k").agg(F.sum("w").alias("d")).join(label, "k"))
+    two_m = deg.agg(F.sum("d")).first()[0]
+    whole = deg.groupBy("c").agg(F.sum("d").alias("dc"))
+    inside = cut(e.where("k <> o").join(label, "k").join(label.select(F.col("k").alias("o"), F.col("c").alias("oc")), "o").where("c = oc").select("k", "o", "w"))
+    part = label.select("k", F.col("k").alias("root"))
+    idle = 0
+    for i in range(rounds):
+        both = inside.join(part, "k").join(part.select(F.col("k").alias("o"), F.col("root").alias("to")), "o").where("root <> to")
+        to = cut(both.groupBy("k", "root", "to").agg(F.sum("w").alias("w")))
+        out = to.groupBy("root").agg(F.sum("w").alias("out"))
+        sets = deg.join(part, "k").groupBy("root", "c").agg(F.sum("d").alias("ds"), F.count("*").alias("n")).join(whole, "c").join(out, "root")
+        well = sets.where(F.col("out") >= F.col("ds") * (F.col("dc") - F.col("ds")) / two_m)
+        alone = (F.col("n") == 1) & turn("root", i)
+        joins = well.where(alone).select("root", F.col("ds").alias("d"))
+        open_ = well.where(~alone).select(F.col("root").alias("to"), F.col("ds").alias("dt"))
+        gain = to.join(joins, "root").join(open_, "to").withColumn("g", F.round(F.col("w") - F.col("d") * F.col("dt") / two_m, 9)).where("g > 0")
+        go = cut(gain.groupBy("k").agg(F.min(F.struct((-F.col("g")).alias("g"), "to")).alias("b")).select("k", F.col("b.to").alias("to")))
+        if go.isEmpty():
             idle += 1
-            if idle == 2:  # neither half gains
+            if idle == 2:  # neither half joins
                 break
-    return label
+        else:
+            idle = 0
+            part = cut(part.join(go, "k", "left").select("k", F.coalesce("to", "root").alias("root")))
+    return part
 
 
 def leiden(edges: DataFrame, accounts: DataFrame, rounds: int = 12, levels: int = 8) -> DataFrame:
     """account_id, community_id by moves for modularity, refinement and aggregation, at any size; a community is named by its least account.
 
-    A level moves nodes (``local_moves``), splits each community into its connected parts and makes the parts the nodes
-    of the next level, which start in the communities that they came from. Levels end when moves join nothing more.
-    Accounts without links are communities of their own.
+    A level moves nodes (``local_moves``), grows well-connected parts within each community (``refined``) and makes the parts the nodes
+    of the next level, which start in the communities that they came from. Levels end when parts join nothing more; then each community's connected
+    parts are the result. Accounts without links are communities of their own.
     """
     pairs = cut(undirected(edges))
     alone = accounts.select("account_id")
     if pairs.isEmpty():
         return alone.select("account_id", F.col("account_id").alias("community_id"))
-    e = cut(pairs.select(F.col("u").alias("k"), F.col("v").alias("o"), F.lit(1.0).alias("w")).unionByName(pairs.select(F.col("v").alias("k"), F.col("u").alias("o"), F.lit(1.0).alias("w"))))
-    place = e.select("k").distinct().select("k", F.col("k").alias("node"))  # account to node of the level
-    label, size = e.select("k").distinct().select("k", F.col("k").alias("c")), None
+    first = cut(pairs.select(F.col("u").alias("k"), F.col("v").alias("o"), F.lit(1.0).alias("w")).unionByName(pairs.select(F.col("v").alias("k"), F.col("u").alias("o"), F.lit(1.0).alias("w"))))
+    e, place = first, first.select("k").distinct().select("k", F.col("k").alias("node"))  # account to node of the level
+    label = e.select("k").distinct().select("k", F.col("k").alias("c"))
+    size = label.count()
     for _ in range(levels):
         label = local_moves(e, label, rounds)
-        inside = e.where("k < o").join(label, "k").join(label.select(F.col("k").alias("o"), F.col("c").alias("oc")), "o").where("c = oc")
-        own = label.select(F.col("k").alias("u"), F.col("k").alias("v"))
-        part = connected_components(inside.select(F.col("k").alias("u"), F.col("o").alias("v")).unionByName(own))
-        place = cut(place.join(part.select(F.col("k").alias("node"), "root"), "node").select("k", F.col("root").alias("node")))
+        part = refined(e, label, rounds)
         n = part.select("root").distinct().count()
         if n == size:
             break
         size = n
-        label = cut(label.join(part, "k").groupBy("root").agg(F.min("c").alias("c")).withColumnRenamed("root", "k"))
         up = part.select("k", "root")
-        e = cut(e.join(up, "k").join(up.select(F.col("k").alias("o"), F.col("root").alias("ro")), "o").groupBy(F.col("root").alias("k"), F.col("ro").alias("o")).agg(F.sum("w").alias("w")))
-    found = place.select(F.col("k").alias("account_id"), F.col("node").alias("community_id"))
-    return alone.join(found, "account_id", "left").select("account_id", F.coalesce("community_id", "account_id").alias("community_id"))
+        place = cut(place.join(up.withColumnRenamed("k", "node"), "node").select("k", F.col("root").alias("node")))
+        label = cut(label.join(part, "k").groupBy("root").agg(F.min("c").alias("c")).withColumnRenamed("root", "k"))
+        far = up.select(F.col("k").alias("o"), F.col("root").alias("ro"))
+        e = cut(e.join(up, "k").join(far, "o").groupBy(F.col("root").alias("k"), F.col("ro").alias("o")).agg(F.sum("w").alias("w")))
+    found = cut(place.join(label.withColumnRenamed("k", "node"), "node").select("k", "c"))
+    inside = first.where("k < o").join(found, "k").join(found.select(F.col("k").alias("o"), F.col("c").alias("oc")), "o").where("c = oc").select(F.col("k").alias("u"), F.col("o").alias("v"))
+    comp = connected_components(inside.unionByName(found.select(F.col("k").alias("u"), F.col("k").alias("v"))))
+    named = comp.select(F.col("k").alias("account_id"), F.col("root").alias("community_id"))
+    return alone.join(named, "account_id", "left").select("account_id", F.coalesce("community_id", "account_id").alias("community_id"))
 
 
 def two_hop_subgraph(edges: DataFrame, account: str, limit: int = 200) -> DataFrame:

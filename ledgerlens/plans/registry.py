@@ -6,6 +6,7 @@ real currency, would find nothing. Derived doubles are rounded to six places in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from ledgerlens.operators import embed, flow, graph, learn, risk, text, typology
 from ledgerlens.plans import serve
 from ledgerlens.plans.point import LedgerIndex
 from ledgerlens.sources import ledger
+from ledgerlens.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,6 +146,16 @@ def graph_edges(spark, d):
     return rounded(e.groupBy("relation", "source").agg(F.count("*").alias("n"), flow.money_sum("amount").alias("amount")))
 
 
+@query(TR_SQL.rstrip() + """, ac AS (SELECT CAST(u.user_id AS VARCHAR) account_id, 'BR' || (u.user_id % 7) branch, 'BANK' || (u.user_id % 3) institution FROM (SELECT DISTINCT user_id FROM events) u),
+ct AS (SELECT o_custkey a, l_partkey % n b FROM orders JOIN lineitem ON o_orderkey = l_orderkey, nc), en AS (SELECT a k FROM ct UNION SELECT b FROM ct),
+pl AS (SELECT DISTINCT 'BANK' || (k % 5) bank, coalesce('C' || c_nationkey, 'NP') country FROM en LEFT JOIN customer ON c_custkey = k)
+SELECT source, target, count(*) AS n FROM (SELECT account_id source, branch target FROM ac UNION ALL SELECT branch, institution FROM ac UNION ALL SELECT bank, country FROM pl) GROUP BY ALL""", "")
+def graph_places(spark, d):
+    """Where accounts, branches and the transactions' banks lie."""
+    e = flow.multigraph(acc(spark, d), ledger.order_ledger(spark, d, with_places=True))[1]
+    return e.where("relation = 'LOCATED_IN'").groupBy("source", "target").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT account_id, min(reason) AS reason FROM (SELECT account_id, 'keyword' reason FROM a WHERE regexp_matches(upper(name), 'GOVERNMENT|TAX|TELECOM|UTILITY|CLEARINGHOUSE|MINISTRY|MUNICIPALITY|REVENUE|HOSPITAL|UNIVERSITY')
           UNION ALL SELECT dst, 'receipts' FROM e GROUP BY dst HAVING count(*) > 65) GROUP BY account_id""")
 def whitelist(spark, d):
@@ -456,6 +468,21 @@ def xml_entities(spark, d):
     return ledger.entities(x.select(F.from_xml("x", ledger.REPORT.simpleString()).alias("r"))).select("report_id", "first_name", "last_name", "tax_number", "narrative")
 
 
+def report_xml(spark, d) -> DataFrame:
+    """A report for each part: names in CDATA, a comment with a person who isn't there, people at two depths."""
+    person = "concat('<t_person><first_name><![CDATA[', split(p_name, ' ')[0], ']]></first_name><last_name>', element_at(split(p_name, ' '), -1), '</last_name><tax_number>', p_partkey * 37, '</tax_number></t_person>')"
+    return table(spark, d, "part").select(F.expr(f"""concat('<report><report_id>', p_partkey, '</report_id><!-- <t_person><first_name>Nobody</first_name></t_person> --><reason>Movement of ', p_type, '</reason><body>',
+        case when p_partkey % 2 = 0 then concat('<deep>', {person}, '</deep>') else {person} end, '</body></report>')""").alias("x"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS report_id, split_part(p_name, ' ', 1) AS first_name, split_part(p_name, ' ', -1) AS last_name, CAST(p_partkey * 37 AS VARCHAR) AS tax_number, 'Movement of ' || p_type AS narrative FROM part""", "")
+def xml_files(spark, d):
+    """Reports written to files, several a file, and read back."""
+    path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    report_xml(spark, d).write.text(path)
+    return ledger.read_reports(spark, path, "*.txt").select("report_id", "first_name", "last_name", "tax_number", "narrative")
+
+
 # ---- risk
 
 SCORE = FLOW + """, hs AS (SELECT account_id, least(greatest(0.4 * (vin + vout) / (SELECT max(vin + vout) FROM cf), 0), 1) s FROM cf),
@@ -807,3 +834,27 @@ def tgat_embedding(spark, d):
 @query()
 def netmf_embedding(spark, d):
     return embed.wide(embed.netmf(ev(spark, d), acc(spark, d)), "dw")
+
+
+#: Queries whose columns make the whole feature matrix, with what stands for an account that one of them doesn't have.
+WIDE = ("pagerank_k10", "burt_constraint", "scan_clusters", "betti_persistence", "motif_triangles_cycles", "motif_fans", "tgat_embedding", "han_embedding")
+WIDE_COLUMNS = [
+    "pagerank", "structural_constraint", "betti_birth", "betti_death", "betti_persistence", "motif_triangle", "motif_cycle", "motif_fanout", "motif_fanin",
+    *[f"emb_{e}_{i}" for e in ("tgat", "han") for i in range(16)],
+]
+
+
+@query(
+    f"SELECT f.*, scan_cluster, CAST(f.account_id AS BIGINT) % 7 AS community_id, coalesce(comm_cb_ratio, 0) AS comm_cb_ratio, {', '.join(f'coalesce({c}, 0) AS {c}' for c in WIDE_COLUMNS)} FROM ({ORACLES['feature_matrix']}) f "
+    + " ".join(f"LEFT JOIN ({ORACLES[n]}) q{i} ON q{i}.account_id = f.account_id" for i, n in enumerate(WIDE))
+    + f" LEFT JOIN ({ORACLES['community_cb_ratio']}) r ON r.community_id = CAST(f.account_id AS BIGINT) % 7",
+    "",
+)
+def feature_matrix_wide(spark, d):
+    """Every account with all features that have an SQL twin: flows, times, centrality, motifs, clusters, persistence, communities, embeddings."""
+    out = feature_matrix(spark, d)
+    for n in WIDE:
+        out = out.join(QUERIES[n](spark, d), "account_id", "left")
+    c = communities(acc(spark, d))
+    ratio = rounded(graph.community_cb_ratio(ev(spark, d), c))
+    return out.join(c, "account_id", "left").join(ratio, "community_id", "left").na.fill(0)

@@ -30,8 +30,18 @@ def normalise_accounts(df: DataFrame) -> DataFrame:
     return df.withColumn("tax_number", F.regexp_replace(F.col("tax_number").cast("string"), r"\.0$", ""))
 
 
-def normalise_transactions(df: DataFrame, as_of: str | None = None, label=None) -> DataFrame:
-    """Rows of a transaction table as edges; a time that doesn't parse is null, one that is missing is ``as_of``. With ``label`` it comes along."""
+def places(df: DataFrame) -> list:
+    """The banks and countries of both ends of a transaction table's rows, with what stands for missing ones."""
+    out = []
+    for side, name in (("src", "sender"), ("dst", "receiver")):
+        bank = F.coalesce(first_existing(df, [f"{name}_institution"]).cast("string"), F.lit("UNKNOWN_BANK"))
+        country = F.coalesce(first_existing(df, [f"{name.capitalize()}_bank_location"]).cast("string"), F.lit("NP"))
+        out += [bank.alias(f"{side}_bank"), country.alias(f"{side}_country")]
+    return out
+
+
+def normalise_transactions(df: DataFrame, as_of: str | None = None, label=None, with_places: bool = False) -> DataFrame:
+    """Rows of a transaction table as edges; a time that doesn't parse is null, one that is missing is ``as_of``. With ``label`` it comes along, as do both ends' banks and countries ``with_places``."""
     if {"Date", "Time"} <= set(df.columns):
         ts = F.expr("try_to_timestamp(concat_ws(' ', Date, Time))")
     else:
@@ -41,7 +51,7 @@ def normalise_transactions(df: DataFrame, as_of: str | None = None, label=None)
     return df.select(
         tx_id.cast("long").alias("tx_id"), F.col("Sender_account").cast("string").alias("src"), F.col("Receiver_account").cast("string").alias("dst"),
         amount.alias("amount"), F.unix_micros(ts).alias("us"), F.coalesce(first_existing(df, ["cross_border_flag"], 0).cast("int"), F.lit(0)).alias("cb"),
-        *([label.cast("int").alias("label")] if label is not None else []),
+        *([label.cast("int").alias("label")] if label is not None else []), *(places(df) if with_places else []),
     )
 
 
@@ -102,10 +112,28 @@ def parsed_reports(texts: DataFrame) -> DataFrame:
     return entities(rows, F.col("f"), "people", long)
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Entities of a folder of XML reports; every value is read as text, broken files give no rows."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.xml").text(path)
-    return parsed_reports(texts.select("value", F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\.xml$", "").alias("f")))
+def plain_xml(text):
+    """XML text without comments, and with CDATA as escaped text, so that tags in either are no tags."""
+    bare = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    return F.when(bare.contains("<![CDATA["), F.array_join(F.transform(F.split(bare, r"<!\[CDATA\["), lambda x, i: F.when(i == 0, x).otherwise(cdata(x))), "")).otherwise(bare)
+
+
+def cdata(piece):
+    """What follows the start of a CDATA section: its text escaped, and the rest."""
+    inside = F.substring_index(piece, "]]>", 1)
+    rest = F.substring(piece, F.length(inside) + 4, F.length(piece))
+    return F.concat(F.replace(F.replace(inside, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), rest)
+
+
+def read_reports(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFrame:
+    """Entities of a folder of XML files with any number of reports each; every value is read as text.
+
+    Files are cut at the ends of reports while they are read, so a large file is read in splits and a row holds one report.
+    Comments are left out and CDATA is text. A report that doesn't parse has no people but those whose own elements are whole.
+    """
+    texts = spark.read.option("lineSep", "</report>").option("pathGlobFilter", pattern).text(path)
+    name = F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -1), r"\.xml$", "").alias("f")
+    return parsed_reports(texts.select(plain_xml(F.concat("value", F.lit("</report>"))).alias("value"), name).where(F.col("value").contains("<report")))
 
 
 def read_features(spark: SparkSession, *paths: str) -> DataFrame:
@@ -130,8 +158,8 @@ def event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and their lines as a wide ledger of daily resolution, with self-loops and equal rows."""
+def order_ledger(spark: SparkSession, sf_dir: str, with_places: bool = False) -> DataFrame:
+    """Orders and their lines as a wide ledger of daily resolution, with self-loops and equal rows; ``with_places`` also each end's bank and country."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     n = t("customer").count()
     rows = t("orders").select("o_orderkey", "o_custkey").join(t("lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate"), F.col("o_orderkey") == F.col("l_orderkey"))
@@ -141,6 +169,7 @@ def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.xxhash64("o_orderkey", "l_partkey", "l_extendedprice", "l_shipdate").alias("tx_id"), F.col("o_custkey").cast("string").alias("src"), F.col("to").cast("string").alias("dst"),
         F.col("l_extendedprice").alias("amount"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("us"), F.coalesce((F.col("sn") != F.col("rn")).cast("int"), F.lit(0)).alias("cb"),
+        *([F.expr("concat('BANK', o_custkey % 5)").alias("src_bank"), F.expr("coalesce(concat('C', sn), 'NP')").alias("src_country"), F.expr("concat('BANK', to % 5)").alias("dst_bank"), F.expr("coalesce(concat('C', rn), 'NP')").alias("dst_country")] if with_places else []),
     )
 
 

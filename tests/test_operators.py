@@ -198,6 +198,41 @@ def test_xml_people_at_any_depth_and_the_first_long_text(spark, tmp_path):
     assert r == [("r3", "", "Ray", long.strip()), ("r3", "Bo", "", long.strip())]
 
 
+def test_xml_files_of_many_reports(spark, tmp_path):
+    """CDATA and comments, several reports a file, and a file that is read in splits."""
+    person = lambda n: f"<t_person><first_name>{n}</first_name></t_person>"
+    (tmp_path / "a.xml").write_text(f"<?xml version='1.0'?><all><report id='1'>{person('<![CDATA[A & <B>]]>')}<!-- {person('None')} --></report>\n<report><note><![CDATA[{person('None')}]]></note>{person('C')}</report></all>")
+    assert sorted(r.first_name for r in ledger.read_reports(spark, str(tmp_path)).collect()) == ["A & <B>", "C"]
+    (tmp_path / "big.xml").write_text("<all>" + "".join(f"<report><report_id>{i}</report_id>{person(f'n{i}')}{'<x>y</x>' * 50}</report>\n" for i in range(3000)) + "</all>")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        t = ledger.read_reports(spark, str(tmp_path))
+        assert t.rdd.getNumPartitions() > 4
+        assert sorted(r.first_name for r in t.collect()) == sorted(["A & <B>", "C", *(f"n{i}" for i in range(3000))])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_countries_come_from_transactions(spark):
+    rows = spark.createDataFrame([(1, 2, 5.0, "B1", None, "NP", "IN"), (2, 1, 5.0, "B2", "B1", "IN", "NP")], "Sender_account long, Receiver_account long, Amount double, sender_institution string, receiver_institution string, Sender_bank_location string, Receiver_bank_location string")
+    a = spark.createDataFrame([("1", "X Y", "BR1", "B1")], "account_id string, name string, branch string, institution string")
+    e = ledger.normalise_transactions(rows, with_places=True)
+    nodes, links = flow.multigraph(a, e)
+    assert sorted((r.source, r.target) for r in links.where("relation = 'LOCATED_IN'").collect()) == [("1", "BR1"), ("B1", "NP"), ("B2", "IN"), ("BR1", "B1"), ("UNKNOWN_BANK", "IN")]
+    assert {r.id for r in nodes.where("type = 'Country'").collect()} == {"NP", "IN"} and {r.id for r in nodes.where("type = 'Bank'").collect()} == {"B1", "B2", "UNKNOWN_BANK"}
+    old = flow.multigraph(a, e.drop("src_bank"))[1]
+    assert ("B1", "NP") in {(r.source, r.target) for r in old.collect()}
+
+
+def test_payroll_hub_counts_its_branch(spark):
+    """Nine payments and the link to its branch make a registered account a hub."""
+    rows = [("hub", f"m{i}", 100.0, 0, 0) for i in range(9)] + [(f"m{i}", "t", 100.0, 1, 0) for i in range(9)]
+    e = edges(spark, rows)
+    f = spark.createDataFrame([("hub", 1.0)] + [(f"m{i}", 1.0) for i in range(9)], "account_id string, flow_ratio double")
+    assert {r.account_id for r in typology.ghost_payroll(e, f, volume=10.0).collect()} == {"hub", "t"}
+    assert typology.ghost_payroll(e, f.where("account_id <> 'hub'"), volume=10.0).count() == 0
+
+
 def test_sinks(spark, tmp_path):
     scores = spark.createDataFrame([("a", 0.5, None)], "account_id string, risk_score double, note string")
     done = sinks.save({"scores": scores, "alerts": scores.limit(0), "metrics": scores}, str(tmp_path))

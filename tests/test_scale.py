@@ -276,3 +276,27 @@ def test_carousels_grow_only_where_a_cycle_can_close(spark):
     last = e.select("src", "dst", "amount", "us", F.expr(f"us div {24 * hour}").alias("tb"))
     assert typology.in_cycles(last, 24 * hour).count() == 3
     assert {r.account_id: r.details for r in typology.carousel(e).collect()} == dict.fromkeys(["hub", "r1", "r2"], "hub -> r1 -> r2")
+
+
+def test_refined_parts_are_connected_and_within_communities(spark):
+    """On random weighted links: parts split communities, each is connected, and aggregated moves never lower modularity."""
+    rnd = random.Random(11)
+    n = 50
+    links = {tuple(sorted(rnd.sample(range(n), 2))): float(rnd.randint(1, 3)) for _ in range(130)}
+    rows = [(f"{x:02d}", f"{y:02d}", w) for (a, b), w in links.items() for x, y in ((a, b), (b, a))] + [("03", "03", 4.0)]
+    e = spark.createDataFrame(rows, "k string, o string, w double")
+    names = sorted({r[0] for r in rows})
+    given = spark.createDataFrame([(x, "A" if int(x) % 3 else "B") for x in names], "k string, c string")
+    of = {r.k: r.root for r in graph.refined(e, given, 10).collect()}
+    side = {x: bool(int(x) % 3) for x in names}
+    assert sorted(of) == names and all(side[x] == side[r] for x, r in of.items()) and 2 < len(set(of.values())) < n
+    inside = [(int(a), int(b)) for a, b, _ in rows if of[a] == of[b]]
+    comp = roots(n, inside)
+    assert len({(of[x], comp[int(x)]) for x in names}) == len(set(of.values()))
+    total = sum(w for *_, w in rows)
+    deg = {x: sum(w for a, _, w in rows if a == x) for x in names}
+    q = lambda c: sum(w for a, b, w in rows if c[a] == c[b]) / total - sum(sum(deg[x] for x in names if c[x] == s) ** 2 for s in set(c.values())) / total**2
+    single = spark.createDataFrame([(x, x) for x in names], "k string, c string")
+    assert graph.modularity(e, single) == pytest.approx(q({x: x for x in names}))
+    moved = {r.k: r.c for r in graph.local_moves(e, single, 12).collect()}
+    assert q(moved) > 0.25 and graph.modularity(e, graph.local_moves(e, given, 12)) >= q({x: side[x] for x in names})
