@@ -22,6 +22,8 @@ from ledgerlens.sources.shared import shared_dir
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 ACCOUNT = "7"
+#: An account with claims.
+CLAIMANT = "10"
 #: Claim rules for invented prose, which the default words don't match.
 PROSE_CLAIMS = (("cross_border_activity", "licen[sc]e|copyright"), ("high_volume", "secret|password|token"), ("rapid_movement", "@"))
 
@@ -657,9 +659,9 @@ def serve_features(spark, d):
 
 
 @query(VERDICT + f""" SELECT doc_id AS report_id, account_id, CASE WHEN claim_type = 'cross_border_activity' THEN 'Cross-border transfers' WHEN claim_type = 'rapid_movement' THEN 'Speed of movement' ELSE 'Claim: ' || claim_type END AS text,
-    CASE WHEN s = 'CONFIRMED' THEN 'The transaction network bears the claim out.' ELSE 'The transaction network doesn''t bear the claim out.' END AS details, s AS status FROM vd WHERE account_id = '{ACCOUNT}'""")
+    CASE WHEN s = 'CONFIRMED' THEN 'The transaction network bears the claim out.' ELSE 'The transaction network doesn''t bear the claim out.' END AS details, s AS status FROM vd WHERE account_id = '{CLAIMANT}'""")
 def serve_claims(spark, d):
-    return serve.account_claims(verdicts(spark, d), ACCOUNT)
+    return serve.account_claims(verdicts(spark, d), CLAIMANT)
 
 
 @query(ALERTS + " SELECT account_id, typology, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM al ORDER BY CAST(confidence AS DOUBLE) DESC, account_id, typology LIMIT 500")
