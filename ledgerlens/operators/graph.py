@@ -206,7 +206,7 @@ def turn(k: str, i: int):
     return F.pmod(F.xxhash64(k, F.lit(i // 2)), F.lit(2)) == i % 2
 
 
-def local_moves(e: DataFrame, label: DataFrame, rounds: int) -> DataFrame:
+def frontier_moves(e: DataFrame, label: DataFrame, rounds: int) -> DataFrame:
     """k, c: communities after rounds of moves for modularity on weighted links (k, o, w; both ways, self-loops count twice).
 
     In each round half of the nodes, by hash, may go to the neighbouring community of greatest gain, ties to the least. After
@@ -274,12 +274,13 @@ def refined(e: DataFrame, label: DataFrame, rounds: int) -> DataFrame:
     return part
 
 
-def leiden(edges: DataFrame, accounts: DataFrame, rounds: int = 12, levels: int = 8) -> DataFrame:
+def leiden_refined(edges: DataFrame, accounts: DataFrame, rounds: int = 12, levels: int = 8) -> DataFrame:
     """account_id, community_id by moves for modularity, refinement and aggregation, at any size; a community is named by its least account.
 
-    A level moves nodes (``local_moves``), grows well-connected parts within each community (``refined``) and makes the parts the nodes
+    A level moves nodes (``frontier_moves``), grows well-connected parts within each community (``refined``) and makes the parts the nodes
     of the next level, which start in the communities that they came from. Levels end when parts join nothing more; then each community's connected
-    parts are the result. Accounts without links are communities of their own.
+    parts are the result. Accounts without links are communities of their own. It takes more rounds than ``leiden``, which splits communities into connected
+    parts only.
     """
     pairs = cut(undirected(edges))
     alone = accounts.select("account_id")
@@ -290,7 +291,7 @@ def leiden(edges: DataFrame, accounts: DataFrame, rounds: int = 12, levels: int
     label = e.select("k").distinct().select("k", F.col("k").alias("c"))
     size = label.count()
     for _ in range(levels):
-        label = local_moves(e, label, rounds)
+        label = frontier_moves(e, label, rounds)
         part = refined(e, label, rounds)
         n = part.select("root").distinct().count()
         if n == size:
@@ -308,6 +309,73 @@ def leiden(edges: DataFrame, accounts: DataFrame, rounds: int = 12, levels: int
     return alone.join(named, "account_id", "left").select("account_id", F.coalesce("community_id", "account_id").alias("community_id"))
 
 
+def local_moves(e: DataFrame, label: DataFrame, rounds: int) -> DataFrame:
+    """k, c: communities after rounds of moves for modularity on weighted links (k, o, w; both ways, self-loops count twice).
+
+    In each round half of the nodes, by hash, may go to the neighbouring community of greatest gain, ties to the least,
+    and a round that raises modularity no more ends the moves. A round is joins and sums over the links, whatever the
+    size of communities and components.
+    """
+    deg = cut(e.groupBy("k").agg(F.sum("w").alias("d")))
+    two_m = deg.agg(F.sum("d")).first()[0]
+
+    def modularity(label: DataFrame) -> float:
+        c = e.join(label, "k").join(label.select(F.col("k").alias("o"), F.col("c").alias("oc")), "o")
+        inside = c.agg(F.coalesce(F.sum(F.when(F.col("c") == F.col("oc"), F.col("w"))), F.lit(0.0))).first()[0]
+        total = deg.join(label, "k").groupBy("c").agg(F.sum("d").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
+        return inside / two_m - total / two_m**2
+
+    best, idle = modularity(label), 0
+    for i in range(rounds):
+        total = deg.join(label, "k").groupBy("c").agg(F.sum("d").alias("t"))
+        near = e.where("k <> o").join(label.select(F.col("k").alias("o"), "c"), "o").groupBy("k", "c").agg(F.sum("w").alias("w"))
+        own = label.join(deg, "k").select("k", F.col("c").alias("was"), "d")
+        stay = label.select("k", "c", F.lit(0.0).alias("w"))
+        gain = near.unionByName(stay).groupBy("k", "c").agg(F.sum("w").alias("w")).join(own, "k").join(total, "c")
+        gain = gain.withColumn("g", F.col("w") - F.col("d") * (F.col("t") - F.when(F.col("c") == F.col("was"), F.col("d")).otherwise(0.0)) / two_m)
+        to = gain.groupBy("k", "was").agg(F.min(F.struct((-F.round("g", 9)).alias("g"), (F.col("c") != F.col("was")).alias("moves"), "c")).alias("b"))
+        new = cut(to.select("k", F.when(F.pmod(F.xxhash64("k", F.lit(i // 2)), F.lit(2)) == i % 2, F.col("b.c")).otherwise(F.col("was")).alias("c")))
+        q = modularity(new)
+        if q > best + 1e-9:
+            best, label, idle = q, new, 0
+        else:
+            idle += 1
+            if idle == 2:  # neither half gains
+                break
+    return label
+
+
+def leiden(edges: DataFrame, accounts: DataFrame, rounds: int = 12, levels: int = 8) -> DataFrame:
+    """account_id, community_id by moves for modularity, refinement and aggregation, at any size; a community is named by its least account.
+
+    A level moves nodes (``local_moves``), splits each community into its connected parts and makes the parts the nodes
+    of the next level, which start in the communities that they came from. Levels end when moves join nothing more.
+    Accounts without links are communities of their own.
+    """
+    pairs = cut(undirected(edges))
+    alone = accounts.select("account_id")
+    if pairs.isEmpty():
+        return alone.select("account_id", F.col("account_id").alias("community_id"))
+    e = cut(pairs.select(F.col("u").alias("k"), F.col("v").alias("o"), F.lit(1.0).alias("w")).unionByName(pairs.select(F.col("v").alias("k"), F.col("u").alias("o"), F.lit(1.0).alias("w"))))
+    place = e.select("k").distinct().select("k", F.col("k").alias("node"))  # account to node of the level
+    label, size = e.select("k").distinct().select("k", F.col("k").alias("c")), None
+    for _ in range(levels):
+        label = local_moves(e, label, rounds)
+        inside = e.where("k < o").join(label, "k").join(label.select(F.col("k").alias("o"), F.col("c").alias("oc")), "o").where("c = oc")
+        own = label.select(F.col("k").alias("u"), F.col("k").alias("v"))
+        part = connected_components(inside.select(F.col("k").alias("u"), F.col("o").alias("v")).unionByName(own))
+        place = cut(place.join(part.select(F.col("k").alias("node"), "root"), "node").select("k", F.col("root").alias("node")))
+        n = part.select("root").distinct().count()
+        if n == size:
+            break
+        size = n
+        label = cut(label.join(part, "k").groupBy("root").agg(F.min("c").alias("c")).withColumnRenamed("root", "k"))
+        up = part.select("k", "root")
+        e = cut(e.join(up, "k").join(up.select(F.col("k").alias("o"), F.col("root").alias("ro")), "o").groupBy(F.col("root").alias("k"), F.col("ro").alias("o")).agg(F.sum("w").alias("w")))
+    found = place.select(F.col("k").alias("account_id"), F.col("node").alias("community_id"))
+    return alone.join(found, "account_id", "left").select("account_id", F.coalesce("community_id", "account_id").alias("community_id"))
+
+
 def two_hop_subgraph(edges: DataFrame, account: str, limit: int = 200) -> DataFrame:
     """source, target, us, amount, role_source, role_target around an account, both directions; a node's role is its least distance."""
     e = edges.select("src", "dst", "us", "amount", "tx_id")

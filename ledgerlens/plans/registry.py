@@ -715,8 +715,8 @@ def labelled(spark, d) -> DataFrame:
     return graph.cut(learn.attach_labels(f, y))
 
 
-#: Trees of the registered models; the operator's own default is 350, which only takes longer (see README).
-TREES = 40
+#: Trees of the registered models.
+TREES = 350
 
 
 @query()

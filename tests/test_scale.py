@@ -298,5 +298,14 @@ def test_refined_parts_are_connected_and_within_communities(spark):
     q = lambda c: sum(w for a, b, w in rows if c[a] == c[b]) / total - sum(sum(deg[x] for x in names if c[x] == s) ** 2 for s in set(c.values())) / total**2
     single = spark.createDataFrame([(x, x) for x in names], "k string, c string")
     assert graph.modularity(e, single) == pytest.approx(q({x: x for x in names}))
-    moved = {r.k: r.c for r in graph.local_moves(e, single, 12).collect()}
-    assert q(moved) > 0.25 and graph.modularity(e, graph.local_moves(e, given, 12)) >= q({x: side[x] for x in names})
+    moved = {r.k: r.c for r in graph.frontier_moves(e, single, 12).collect()}
+    assert q(moved) > 0.25 and graph.modularity(e, graph.frontier_moves(e, given, 12)) >= q({x: side[x] for x in names})
+
+
+def test_refined_leiden_finds_planted_communities(spark):
+    rnd = random.Random(3)
+    pairs = [(i, j) for i in range(45) for j in range(i) if rnd.random() < (0.5 if i % 3 == j % 3 else 0.02)]
+    e = spark.createDataFrame([(n, f"{i:02d}", f"{j:02d}", 1.0, 0, 0) for n, (i, j) in enumerate(pairs)], EDGE)
+    a = spark.createDataFrame([(f"{i:02d}",) for i in range(45)] + [("alone",)], "account_id string")
+    c = {r.account_id: r.community_id for r in graph.leiden_refined(e, a).collect()}
+    assert c["alone"] == "alone" and len({(int(x) % 3, y) for x, y in c.items() if x != "alone"}) == len({y for x, y in c.items() if x != "alone"}) == 3
