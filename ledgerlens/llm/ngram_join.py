@@ -373,6 +373,25 @@ def parted(chunks: DataFrame, tied: DataFrame, roots: DataFrame) -> DataFrame |
     return every.select(path, "k").unionByName(every.select("home", "path").distinct().join(lost, "home").select(path, "k"))
 
 
+def unjoined(chunks: DataFrame, roots: DataFrame, limit: int) -> DataFrame | None:
+    """Rows (path, k, root) of dense buckets for a last comparison: every row outside of a bucket's largest group, in parts of about ``limit``, meets every chunk.
+
+    So all pairs of a dense bucket that nothing joins yet are compared, whatever leaders they left with; rows of the largest group are joined to each
+    other. A task holds a chunk and a part. None if each bucket is one group, as near copies are.
+    """
+    own = stored(chunks.join(roots, "k", "left").select("home", "path", "k", F.coalesce("root", "k").alias("root")), "join-dense-roots")
+    main = own.groupBy("home", "root").agg(F.count("*").alias("c")).groupBy("home").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+    rest = own.join(main, "home").where("root <> main").select("home", "k", "root")
+    size = rest.groupBy("home").agg(F.ceil(F.count("*") / limit).alias("parts"))
+    rest = stored(rest.join(size, "home").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts"))), "join-rest")
+    if rest.isEmpty():
+        return None
+    path = F.xxhash64("path", "part", F.lit("rest")).alias("path")
+    every = own.join(size, "home").select("path", "k", "root", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
+    guests = own.select("home", "path").distinct().join(rest, "home").select("path", "k", "root", "part")
+    return every.unionByName(guests).select(path, "k", "root").distinct()
+
+
 def set_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
@@ -523,6 +542,11 @@ def join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float =
     more = stored(tried, "join-second")
     if not more.isEmpty():
         roots = components(edges.select("a", "b").unionByName(more))
+    rest = unjoined(rounds[0][0], roots, bucket) if rounds else None
+    if rest is not None:
+        last = stored(by_path(rest.join(sets, "k").select("path", "k", "root", "s")).mapInArrow(second_pass(threshold), "a long, b long"), "join-last")
+        if not last.isEmpty():
+            roots = components(edges.select("a", "b").unionByName(more).unionByName(last))
     roots = stored(roots.join(reps.select("k", "id", "w"), "k"), "join-roots")
     links = link_counts(roots.select("k", "root", "w"), sets, threshold, block)
     least = roots.groupBy("root").agg(F.min("id").alias("class_id"))
