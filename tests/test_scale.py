@@ -1,6 +1,7 @@
 """Orders, forests, walks and point queries against brute force, and what their plans hold."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -309,3 +310,19 @@ def test_refined_leiden_finds_planted_communities(spark):
     a = spark.createDataFrame([(f"{i:02d}",) for i in range(45)] + [("alone",)], "account_id string")
     c = {r.account_id: r.community_id for r in graph.leiden_refined(e, a).collect()}
     assert c["alone"] == "alone" and len({(int(x) % 3, y) for x, y in c.items() if x != "alone"}) == len({y for x, y in c.items() if x != "alone"}) == 3
+
+
+def test_triangles_of_pairs_in_either_order_without_two_step_rows(spark):
+    rnd = random.Random(9)
+    pairs = [tuple(rnd.sample(range(30), 2)) for _ in range(120)] + [(0, i) for i in range(1, 30)]
+    links = {frozenset(p) for p in pairs}
+    want = sorted([x, y, z] for x in range(30) for y in range(x) for z in range(y) if {frozenset((x, y)), frozenset((y, z)), frozenset((x, z))} <= links)
+    df = spark.createDataFrame([(f"{a}", f"{b}") for a, b in [*pairs, *(p[::-1] for p in pairs), (5, 5)]], "u string, v string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = graph.triangles(df)
+        at = plan(t)
+        assert sorted(sorted(map(int, r), reverse=True) for r in t.collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\(y#\d+, z#\d+", at) and re.search(r"hashpartitioning\(y#\d+,", at)
