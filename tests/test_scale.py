@@ -326,3 +326,25 @@ def test_triangles_of_pairs_in_either_order_without_two_step_rows(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not re.search(r"hashpartitioning\(y#\d+, z#\d+", at) and re.search(r"hashpartitioning\(y#\d+,", at)
+
+
+def test_ranks_and_risk_go_to_the_links(spark, monkeypatch):
+    """Where accounts are few, links aren't dealt again in each step; where they are many, results are the same."""
+    rnd = random.Random(5)
+    e = spark.createDataFrame([(i, f"a{rnd.randint(0, 9)}", f"a{rnd.randint(0, 14)}", float(1 + i % 7), i * 3_600_000_000, 0) for i in range(120)], EDGE)
+    scores = spark.createDataFrame([(f"a{i}", i / 20) for i in range(15)], "account_id string, belief double")
+    found = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few in (True, False):
+            if not few:
+                monkeypatch.setattr(graph, "beside", lambda values, n: values)
+                monkeypatch.setattr(risk, "beside", lambda values, n: values)
+            spread = risk.contagion(scores, e)
+            assert bool(re.search(r"hashpartitioning\(src#", plan(spread))) == (not few)
+            found.append(({r.account_id: r.pagerank for r in graph.pagerank(e).collect()}, {r.account_id: r.risk for r in spread.collect()}))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(found[0][0].values()) == pytest.approx(1.0) and len(found[0][1]) == 15
+    for a, b in zip(*found):
+        assert a == pytest.approx(b)
