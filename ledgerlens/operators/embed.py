@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.scalars import weight
 from ledgerlens.operators.flow import both_ends, neighbours, undirected
 from ledgerlens.operators.forest import cut
+from ledgerlens.operators.graph import beside
 from ledgerlens.operators.order import sums_before
 
 
@@ -65,6 +66,45 @@ def tgat(edges: DataFrame, features: DataFrame, *, dim: int = 16, columns: tuple
     return h.join(out, "account_id", "left").select("account_id", F.coalesce("z", alone).alias("embedding"))
 
 
+def numbered_links(links: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """(nodes: k, i, at, d; links: g, i, j; their numbers), from links (k, o) both ways. ``i`` numbers the nodes in order, ``g`` the links by both
+    ends; a node's ``d`` links are those from ``at`` on."""
+    nodes, total = sums_before(links.groupBy("k").agg(F.count("*").alias("d")), [F.col("k")], {"i": F.lit(1), "at": F.col("d")})
+    n = int(total["i"])
+    nodes = cut(nodes.select("k", F.col("i").cast("int" if n < 1 << 31 else "long").alias("i"), "at", "d"))
+    end = lambda c, i: beside(nodes.select(F.col("k").alias(c), F.col("i").alias(i)), n)
+    ends = links.join(end("k", "i"), "k").join(end("o", "j"), "o").select("i", "j")
+    return nodes, cut(sums_before(ends, [F.col("i"), F.col("j")], {"g": F.lit(1)})[0]), n, int(total["at"])
+
+
+def walk_rows(links: DataFrame, window: int, samples: int, *, task_rows: int = 2_000_000, hub: int = 50_000) -> tuple[DataFrame, DataFrame, int, float]:
+    """(nodes as in ``numbered_links``; i, j, v both ways; the number of nodes; the sum of degrees): see ``walk_weights``.
+
+    A walk is a row of numbers that goes from step to step, with the places it came to; no step is stored. Counts are whole, in parts of 1 / (2 * samples).
+    Rows are dealt by node, about ``task_rows`` a task, those of a node of over ``hub`` links over several tasks.
+    """
+    nodes, numbered, n, vol = numbered_links(links)
+    adjacent = numbered.join(beside(nodes.select(F.col("i").alias("j"), "at", "d"), n), "j")
+    walks, places = adjacent.select("i", F.col("g").alias("from"), "at", "d", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("s")), []
+    for step in range(2, window + 1):
+        pick = (F.col("at") + F.pmod(F.xxhash64("from", "s", F.lit(step)), F.col("d"))).alias("pick")
+        walks = walks.select(pick, "i", "from", "s", *places).join(adjacent.select(F.col("g").alias("pick"), F.col("j").alias(f"j{step}"), "at", "d"), "pick")
+        places.append(f"j{step}")
+    # a link is seen from both ends, and either direction of a walk estimates the same number: their mean
+    seen = numbered.select("i", "j", F.lit(2 * samples).alias("c"))
+    if places:
+        ends = [F.struct(F.col(a).alias("i"), F.col(b).alias("j")) for p in places for a, b in (("i", p), (p, "i"))]
+        seen = seen.unionByName(walks.select(F.explode(F.array(*ends)).alias("e")).select("e.i", "e.j", F.lit(1).alias("c")))
+    hubs = nodes.where(F.col("d") > hub).select("i", F.ceil(F.col("d") / hub).alias("parts"))
+    parts = max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-vol * (1 + 2 * samples * (window - 1)) // task_rows))
+    dealt = seen.join(F.broadcast(hubs), "i", "left").select("i", "j", "c", F.pmod(F.col("j"), F.coalesce("parts", F.lit(1))).alias("part")).repartition(parts, "i", "part")
+    pair = dealt.groupBy("i", "part", "j").agg(F.sum("c").alias("c"))
+    for c in ("i", "j"):
+        pair = pair.join(beside(nodes.select(F.col("i").alias(c), F.col("d").alias(f"d{c}")), n), c)
+    v = F.ln(F.col("c") / (2 * samples) * (float(vol) / window) / (F.col("di") * F.col("dj")))
+    return nodes, pair.select("i", "j", v.alias("v")).where("v > 0"), n, float(vol)
+
+
 def walk_weights(links: DataFrame, *, window: int = 3, samples: int = 4) -> tuple[DataFrame, float]:
     """(k, o, v for k <= o: the logarithm of the walks' co-occurrence over chance, where it is above 0; the sum of degrees), from links (k, o) both ways.
 
@@ -73,27 +113,11 @@ def walk_weights(links: DataFrame, *, window: int = 3, samples: int = 4) -> tupl
     picks a link of the place by its number in the order of all links, a key that no two links share, so hubs
     aren't hot; picks are hashes, so a task tried again makes the same.
     """
-    numbered, total = sums_before(links, [F.col("k"), F.col("o")], {"g": F.lit(1)})
-    numbered = cut(numbered)
-    node = numbered.groupBy("k").agg(F.min("g").alias("g0"), F.count("*").alias("d"))
-    to = node.select(F.col("k").alias("o"), F.col("g0").alias("o0"), F.col("d").alias("do"))
-    adjacent = cut(numbered.join(node.select("k", F.col("d").alias("dk")), "k").join(to, "o").select("g", "k", "o", "o0", "do", "dk"))
-    at = adjacent.select("k", "dk", "o", "do", "o0", F.col("g").alias("from"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("s"))
-    parts = [adjacent.select("k", "dk", "o", "do", F.lit(1.0).alias("x"))]
-    for step in range(2, window + 1):
-        nxt = adjacent.select(F.col("g").alias("pick"), F.col("o").alias("o2"), F.col("do").alias("do2"), F.col("o0").alias("o02"))
-        pick = F.col("o0") + F.pmod(F.xxhash64("from", "s", F.lit(step)), F.col("do"))
-        at = at.withColumn("pick", pick).join(nxt, "pick").select("k", "dk", F.col("o2").alias("o"), F.col("do2").alias("do"), F.col("o02").alias("o0"), "from", "s")
-        at = cut(at) if step < window else at
-        parts.append(at.select("k", "dk", "o", "do", F.lit(1.0 / samples).alias("x")))
-    seen = parts[0]
-    for p in parts[1:]:
-        seen = seen.unionByName(p)
-    # either direction estimates the same number: their mean
-    half = F.when(F.col("k") == F.col("o"), F.col("x")).otherwise(F.col("x") / 2)
-    pair = seen.select(F.least("k", "o").alias("k"), F.greatest("k", "o").alias("o"), (F.col("dk") * F.col("do")).alias("dd"), half.alias("x")).groupBy("k", "o").agg(F.sum("x").alias("x"), F.first("dd").alias("dd"))
-    vol = float(total["g"])
-    return pair.select("k", "o", F.ln(F.col("x") * (vol / window) / F.col("dd")).alias("v")).where("v > 0"), vol
+    nodes, rows, n, vol = walk_rows(links, window, samples)
+    rows = rows.where("i <= j")
+    for c, name in (("i", "k"), ("j", "o")):
+        rows = rows.join(beside(nodes.select(F.col("i").alias(c), F.col("k").alias(name)), n), c)
+    return rows.select("k", "o", "v"), vol
 
 
 def gram(y: DataFrame, dim: int):
@@ -128,23 +152,25 @@ def netmf(edges: DataFrame, accounts: DataFrame, *, dim: int = 16, window: int =
     """account_id, embedding of the log co-occurrence matrix of walks up to ``window`` steps, by randomised subspace iteration.
 
     The matrix is estimated from ``samples`` walks a link (``walk_weights``), so its rows grow with the links, not with the square of
-    the accounts. Its product with a block of ``dim`` vectors is a join and a sum, and only
-    dim x dim Gram matrices reach the driver. The sign of each dimension is that of its largest component.
+    the accounts. It is stored once, dealt by row: in its product with a block of ``dim`` vectors it stays where it is (``beside``) and its rows
+    are summed in their task. Only dim x dim Gram matrices are summed on the driver. The sign of each dimension is that of its largest component.
     """
     import numpy as np
 
-    und = neighbours(undirected(edges)).join(accounts.select(F.col("account_id").alias("k")), "k", "left_semi").join(accounts.select(F.col("account_id").alias("o")), "o", "left_semi")
-    half, vol = walk_weights(und, window=window, samples=samples)
+    ids = accounts.select("account_id").distinct()
+    held = ids.count()
+    pairs = undirected(edges)
+    for c in ("u", "v"):
+        pairs = pairs.join(beside(ids.withColumnRenamed("account_id", c), held), c, "left_semi")
+    nodes, m, n, vol = walk_rows(neighbours(cut(pairs)), window, samples)
     zero = F.array_repeat(F.lit(0.0), dim)
     if not vol:
         return accounts.select("account_id", zero.alias("embedding"))
-    half = cut(half)
-    both = F.explode(F.expr("case when k = o then array(struct(k, o)) else array(struct(k, o), struct(o as k, k as o)) end")).alias("e")
-    m = cut(half.select(both, "v").select("e.k", "e.o", "v"))
-    y = m.select("k").distinct().select("k", F.array(*[F.sin(F.xxhash64("k", F.lit(j)) / 1e15) for j in range(dim)]).alias("y"))
+    m = cut(m)
+    y = nodes.select(F.col("i").alias("k"), F.array(*[F.sin(F.xxhash64("k", F.lit(j)) / 1e15) for j in range(dim)]).alias("y"))
 
     def times(y: DataFrame) -> DataFrame:
-        return cut(m.join(y.select(F.col("k").alias("o"), "y"), "o").groupBy("k").agg(F.array(*[F.sum(F.col("v") * F.col("y")[j]) for j in range(dim)]).alias("y")))
+        return cut(m.join(beside(y.select(F.col("k").alias("j"), "y"), n), "j").groupBy(F.col("i").alias("k")).agg(F.array(*[F.sum(F.col("v") * F.col("y")[j]) for j in range(dim)]).alias("y")))
 
     y = times(y)
     w, u = np.linalg.eigh(gram(y, dim))
@@ -159,7 +185,7 @@ def netmf(edges: DataFrame, accounts: DataFrame, *, dim: int = 16, window: int =
     z = turned(y, u * np.where(w > 1e-12 * max(w[0], 1e-300), scale / np.sqrt(np.maximum(w, 1e-300)), 0.0))
     z = cut(z)
     side = z.agg(*[F.max_by(F.signum(F.col("y")[j]), F.struct(F.abs(F.col("y")[j]), "k")) for j in range(dim)]).first()
-    out = z.select(F.col("k").alias("account_id"), F.array(*[F.col("y")[j] * float(side[j] or 1.0) for j in range(dim)]).alias("e"))
+    out = z.join(nodes.select(F.col("i").alias("k"), F.col("k").alias("account_id")), "k").select("account_id", F.array(*[F.col("y")[j] * float(side[j] or 1.0) for j in range(dim)]).alias("e"))
     return accounts.select("account_id").join(out, "account_id", "left").select("account_id", F.coalesce("e", zero).alias("embedding"))
 
 
